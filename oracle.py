@@ -152,10 +152,8 @@ _WIRE = (
 )
 
 _SUBSCRIPTIONS = """chats AS (
-  SELECT DISTINCT user_id AS chat_id, n.event_type AS ticker
-  FROM events e JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS slot
-                      FROM (SELECT DISTINCT event_type FROM events)) n ON e.user_id % 5 = n.slot
-  WHERE e.user_id % 2 = 0)"""
+  SELECT user_id AS chat_id, arg_min(event_type, event_id) AS ticker
+  FROM events WHERE user_id % 2 = 0 GROUP BY 1)"""
 
 _CROSSINGS = """crossings AS (
   SELECT ticker, timestamp, CASE WHEN entry_signal THEN 'entry' ELSE 'exit' END AS kind,

@@ -1,6 +1,6 @@
 """The driver's tables as posts, bars, subscriptions and texts."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitflow.schemas import RAW_FIELDS, SOURCES
@@ -76,19 +76,13 @@ def document_posts(documents: DataFrame) -> DataFrame:
 
 
 def subscriptions(events: DataFrame) -> DataFrame:
-    """One chat per user, following the event type at position user_id % 5."""
-    names = (
-        events.select("event_type")
-        .distinct()
-        .withColumn("slot", F.row_number().over(Window.orderBy("event_type")) - 1)
-    )
-    chats = events.select(F.col("user_id").alias("chat_id")).distinct()
+    """One chat per user, following the type of the user's first event."""
     return (
-        chats.withColumn("slot", (F.col("chat_id") % 5).cast("int"))
-        .join(names, "slot")
+        events.groupBy(F.col("user_id").alias("chat_id"))
+        .agg(F.min_by("event_type", "event_id").alias("ticker"))
         .select(
             "chat_id",
-            F.col("event_type").alias("ticker"),
+            "ticker",
             F.lit("1h").alias("window"),
             (F.col("chat_id") % 2 == 0).alias("subscribed"),
         )

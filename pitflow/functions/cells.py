@@ -34,10 +34,15 @@ def placed(df: DataFrame) -> DataFrame:
 
 
 def with_cells(df: DataFrame, cell: str = DEFAULT_CELL, overlap_us: int = 0) -> DataFrame:
-    """Adds ``_us`` and ``_cell``. With an overlap, a row is also copied into
-    the later cells that start at most ``overlap_us`` after it."""
+    """Adds ``_cell``, and ``_us`` in place of the timestamp. With an overlap, a
+    row is also copied into the later cells that start at most ``overlap_us``
+    after it.
+
+    With one time column instead of two, branches of a plan that order by it
+    and branches that output it need the same columns of a shuffle, and Spark
+    runs that shuffle once."""
     width = duration_us(cell)
-    df = placed(df).withColumn(US, F.unix_micros("timestamp"))
+    df = placed(df).withColumn(US, F.unix_micros("timestamp")).drop("timestamp")
     home = cell_start(F.col(US), width)
     if not overlap_us:
         return df.withColumn(CELL, home)
@@ -45,6 +50,12 @@ def with_cells(df: DataFrame, cell: str = DEFAULT_CELL, overlap_us: int = 0) ->
     return df.withColumn(CELL, F.explode(F.sequence(home, last, F.lit(width))))
 
 
+def leave_cells(df: DataFrame) -> DataFrame:
+    """Back to a timestamp, without the cell columns."""
+    rest = [c for c in df.columns if c not in ("ticker", CELL, US)]
+    return df.select("ticker", F.timestamp_micros(US).alias("timestamp"), *rest)
+
+
 def is_home(cell: str) -> Column:
     """True for the row itself, false for its copies in later cells."""
     return F.col(US) >= F.col(CELL)

@@ -10,6 +10,7 @@ from pitflow.functions.cells import (
     cell_start,
     in_cell,
     is_home,
+    leave_cells,
     placed,
     with_cells,
 )
@@ -45,9 +46,7 @@ def align_in_cells(
         .withColumn("_side", F.lit(_BARS_FIRST))
         .withColumn(_BUCKET, F.lit(None).cast(packed_type))
     )
-    bucket_rows = (
-        with_cells(packed, cell, overlap_us).drop("timestamp").withColumn("_side", F.lit(_BUCKETS_SECOND))
-    )
+    bucket_rows = with_cells(packed, cell, overlap_us).withColumn("_side", F.lit(_BUCKETS_SECOND))
     carried_rows = _carried_buckets(bars, packed, cell, width, overlap_us).withColumn(
         "_side", F.lit(_BUCKETS_SECOND)
     )
@@ -103,7 +102,7 @@ def _carried_buckets(
 def asof_align(bars: DataFrame, buckets: DataFrame, cell: str = DEFAULT_CELL) -> DataFrame:
     """Each bar with the last bucket stamped strictly before it, however old.
     Bars without one get sentiment 0.0, count 0 and null class means."""
-    return align_in_cells(bars, buckets, cell).drop(CELL, US)
+    return leave_cells(align_in_cells(bars, buckets, cell))
 
 
 def align_sentiment_with_price(

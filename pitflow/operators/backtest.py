@@ -37,16 +37,15 @@ MIN_BARS = 3
 
 def _rows(signals: DataFrame, fee: float, cell: str) -> DataFrame:
     """Per bar and per assumed start: log step, its running sum, running peak."""
-    needed = signals.filter(F.col("close") > 0).select(
-        "ticker", "timestamp", "close", "entry_signal", "exit_signal"
-    )
+    # Signals that come with their cells keep them, and so their partitioning.
+    placed = signals if {CELL, US} <= set(signals.columns) else with_cells(signals, cell)
     entry = F.coalesce("entry_signal", F.lit(False))
     exit_ = F.coalesce("exit_signal", F.lit(False))
     event = F.when(entry & ~exit_, LONG).when(exit_ & ~entry, FLAT)
     upto = in_cell().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = in_cell().rowsBetween(Window.unboundedPreceding, -1)
 
-    rows = with_cells(needed, cell).withColumn("_event", event)
+    rows = placed.filter(F.col("close") > 0).select("ticker", "close", event.alias("_event"), CELL, US)
     rows = rows.withColumns(
         {
             "_now": F.last("_event", ignorenulls=True).over(upto),
@@ -144,9 +143,9 @@ def equity_curve(
 
     log_value = F.col("base") + picked("_path")
     log_peak = F.greatest(F.col("peak"), F.col("base") + picked("_peak"))
-    return rows.join(starts, ["ticker", CELL]).select(
+    return rows.join(starts, ["ticker", CELL], "left").select(
         "ticker",
-        "timestamp",
+        F.timestamp_micros(US).alias("timestamp"),
         "close",
         F.coalesce("_now", "start").alias("position"),
         (F.lit(cash) * F.exp(log_value)).alias("value"),
@@ -169,9 +168,9 @@ def benchmark_curve(bars: DataFrame, cell: str = DEFAULT_CELL) -> DataFrame:
             ),
         )
     )
-    return rows.join(first, ["ticker", CELL]).select(
+    return rows.join(first, ["ticker", CELL], "left").select(
         "ticker",
-        "timestamp",
+        F.timestamp_micros(US).alias("timestamp"),
         "close",
         (F.col("close") / F.col("_first") - 1).alias("benchmark_cumulative_return"),
     )

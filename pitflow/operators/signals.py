@@ -10,6 +10,7 @@ from pitflow.functions.cells import (
     DEFAULT_CELL,
     US,
     in_cell,
+    leave_cells,
     over_cells,
     with_cells,
 )
@@ -59,7 +60,7 @@ def add_rolling_sentiment(
 ) -> DataFrame:
     """One ``sentiment_roll_<label>`` column per window, at least one row each."""
     spread = with_cells(aligned, cell, widest_us(windows))
-    return home_rows(roll_in_cells(spread, windows)).drop(CELL, US)
+    return leave_cells(home_rows(roll_in_cells(spread, windows)))
 
 
 def previous_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,7 +111,7 @@ def generate_signals(
     if roll_column(label) not in df.columns:
         raise ValueError(f"missing column {roll_column(label)!r}; add rolling sentiment first")
     spread = with_cells(df, cell)
-    return signals_in_cells(spread, label, entry_threshold, exit_threshold).drop(CELL, US)
+    return leave_cells(signals_in_cells(spread, label, entry_threshold, exit_threshold))
 
 
 def build_signal_frame(
@@ -123,7 +124,7 @@ def build_signal_frame(
 ) -> DataFrame:
     spread = with_cells(aligned, cell, widest_us(windows))
     rolled = home_rows(roll_in_cells(spread, windows))
-    return signals_in_cells(rolled, label, entry_threshold, exit_threshold).drop(CELL, US)
+    return leave_cells(signals_in_cells(rolled, label, entry_threshold, exit_threshold))
 
 
 def signal_frame_in_cells(

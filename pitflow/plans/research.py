@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from pitflow.functions.cells import CELL, DEFAULT_CELL, US
+from pitflow.functions.cells import CELL, DEFAULT_CELL, US, leave_cells
 from pitflow.operators.backtest import backtest_summary, equity_curve
 from pitflow.operators.sentiment import aggregate_sentiment
 from pitflow.operators.signals import signal_frame_in_cells
@@ -37,29 +37,29 @@ def signal_frame(
     frame = signal_frame_in_cells(
         bars, buckets, label, windows, entry_threshold, exit_threshold, cell
     )
-    return frame.drop(CELL, US)
+    return leave_cells(frame)
 
 
-def trading_signals(
-    scored: DataFrame,
-    bars: DataFrame,
-    label: str = SIGNAL_WINDOW,
-    bucket: str = BUCKET_WINDOW,
-    **options,
+def _signals_in_cells(
+    scored: DataFrame, bars: DataFrame, label: str, bucket: str = BUCKET_WINDOW, **options
 ) -> DataFrame:
-    """Only what a backtest reads. The narrow inputs keep every shuffle narrow,
-    and only the signal's own window is rolled."""
     narrow = bars.select("ticker", "timestamp", "close")
     buckets = aggregate_sentiment(scored, bucket).select("ticker", "timestamp", "avg_sentiment")
     frame = signal_frame_in_cells(narrow, buckets, label, (label,), **options)
-    return frame.select("ticker", "timestamp", "close", "entry_signal", "exit_signal")
+    return frame.select("ticker", "close", "entry_signal", "exit_signal", CELL, US)
+
+
+def trading_signals(scored: DataFrame, bars: DataFrame, label: str = SIGNAL_WINDOW, **options) -> DataFrame:
+    """Only what a backtest reads. The narrow inputs keep every shuffle narrow,
+    and only the signal's own window is rolled."""
+    return leave_cells(_signals_in_cells(scored, bars, label, **options))
 
 
 def backtest(
     scored: DataFrame, bars: DataFrame, label: str = SIGNAL_WINDOW, fee: float = FEE, **options
 ) -> DataFrame:
     """One row of figures per ticker."""
-    signals = trading_signals(scored, bars, label, **options)
+    signals = _signals_in_cells(scored, bars, label, **options)
     return backtest_summary(signals, fee, bar_spacing(bars.filter("close > 0")))
 
 
@@ -72,4 +72,4 @@ def equity(
     **options,
 ) -> DataFrame:
     """One row of position, value and returns per bar."""
-    return equity_curve(trading_signals(scored, bars, label, **options), cash, fee)
+    return equity_curve(_signals_in_cells(scored, bars, label, **options), cash, fee)

@@ -95,7 +95,7 @@ def bar_spacing(bars: DataFrame, cell: str = DEFAULT_CELL) -> DataFrame:
     order. Different distances of one ticker add up to at most its whole span,
     so there are at most sqrt(2 * span) of them: one on a regular grid.
     """
-    rows = with_cells(bars.select("ticker", "timestamp"), cell).select("ticker", CELL, US)
+    rows = with_cells(bars.select("ticker", "timestamp"), cell)
     inside = rows.withColumn("gap", F.col(US) - F.lag(US).over(in_cell())).select("ticker", "gap")
     edges = (
         rows.groupBy("ticker", CELL)

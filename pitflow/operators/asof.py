@@ -94,7 +94,7 @@ def _carried_buckets(
     return (
         bar_cells.unionByName(newest, allowMissingColumns=True)
         .withColumn("_newest", F.last("_newest", ignorenulls=True).over(earlier))
-        .filter((F.col("_kind") == 1) & F.col("_newest").isNotNull())
+        .filter(F.expr(f"_kind = 1 and _newest is not null and {CELL} is not null"))
         .select("ticker", CELL, f"_newest.{US}", f"_newest.{_BUCKET}")
     )
 

@@ -10,6 +10,7 @@ from pitflow.functions.cells import (
     DEFAULT_CELL,
     US,
     in_cell,
+    is_home,
     leave_cells,
     over_cells,
     with_cells,
@@ -25,7 +26,8 @@ from pitflow.schemas import (
 
 # Sums of decimals do not depend on the order of addition, so the result is the
 # same for every cell width, and a mean that is exactly a threshold stays so.
-_EXACT = "decimal(38,18)"
+# Scores lie in [-1, 1]; 18 digits are what Spark still adds as longs.
+_EXACT = "decimal(18,15)"
 
 
 def roll_column(label: str) -> str:
@@ -36,6 +38,14 @@ def widest_us(windows: Sequence[str]) -> int:
     return max(duration_us(w) for w in windows)
 
 
+def exact_value(name: str) -> Column:
+    return F.col(name).cast(_EXACT)
+
+
+def exact_mean(total: Column, count: Column) -> Column:
+    return F.try_divide(total, count).cast("double")
+
+
 def roll_in_cells(df: DataFrame, windows: Sequence[str], value: str = "avg_sentiment") -> DataFrame:
     """Trailing means over (t - w, t]; rows in front of a cell must be there as
     overlap copies.
@@ -44,14 +54,14 @@ def roll_in_cells(df: DataFrame, windows: Sequence[str], value: str = "avg_senti
     Both frames only grow, so Spark visits every row once per window length; a
     frame with two moving ends would add up the whole window again for each row.
     """
-    exact = F.col(value).cast(_EXACT)
+    exact = exact_value(value)
     upto_now = in_cell().rangeBetween(Window.unboundedPreceding, Window.currentRow)
     means = {}
     for label in windows:
         before = in_cell().rangeBetween(Window.unboundedPreceding, -duration_us(label))
-        total = F.sum(exact).over(upto_now) - F.coalesce(F.sum(exact).over(before), F.lit(0).cast(_EXACT))
+        total = F.sum(exact).over(upto_now) - F.coalesce(F.sum(exact).over(before), F.lit(0))
         count = F.count(value).over(upto_now) - F.count(value).over(before)
-        means[roll_column(label)] = F.try_divide(total, count).cast("double")
+        means[roll_column(label)] = exact_mean(total, count)
     return df.withColumns(means)
 
 
@@ -63,26 +73,55 @@ def add_rolling_sentiment(
     return leave_cells(home_rows(roll_in_cells(spread, windows)))
 
 
-def previous_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Adds ``_prev``, a struct of the previous row of the same ticker (null on
-    its first row), for rows without overlap copies.
+def last_values(df: DataFrame, roll: str) -> DataFrame:
+    """``_value``, the rolling value on the last row of each (ticker, cell)."""
+    return (
+        df.groupBy("ticker", CELL)
+        .agg(F.max_by(F.struct(*df.columns), F.col(US)).alias("_last"))
+        .select("ticker", CELL, F.col(f"_last.{roll}").alias("_value"))
+    )
+
+
+def last_values_of_aligned(aligned: DataFrame, label: str, value: str = "avg_sentiment") -> DataFrame:
+    """The same from rows that have no rolling column yet: one mean over the
+    end of each cell is much less work than rolling over all of it.
+
+    The last row is taken whole, and looked at, so that this branch asks for
+    the same columns as the one with the bars and reads the same shuffle.
+    """
+    whole_cell = Window.partitionBy("ticker", CELL)
+    end = F.max(F.when(is_home(CELL), F.col(US))).over(whole_cell)
+    return (
+        aligned.withColumn("_end", end)
+        .filter((F.col(US) > F.col("_end") - duration_us(label)) & (F.col(US) <= F.col("_end")))
+        .groupBy("ticker", CELL)
+        .agg(
+            F.max_by(F.struct(*aligned.columns), F.col(US)).alias("_last"),
+            exact_mean(F.sum(exact_value(value)), F.count(value)).alias("_mean"),
+        )
+        .select("ticker", CELL, F.when(F.col("_last").isNotNull(), F.col("_mean")).alias("_value"))
+    )
+
+
+def with_previous(df: DataFrame, roll: str, last: DataFrame) -> DataFrame:
+    """Adds ``_before``, the rolling value on the ticker's previous row (null on
+    its first), for rows without overlap copies.
 
     Inside a cell that is a plain ``lag``. The first row of a cell gets the last
-    row of the ticker's previous non-empty cell, from one carry row per cell.
-    The carry row keeps every column so that both sides of the join read the
-    same shuffle instead of two differently pruned ones.
+    value of the ticker's previous non-empty cell, one carry row per cell.
     """
-    last_rows = (
-        df.groupBy("ticker", CELL)
-        .agg(F.max_by(F.struct(*df.columns), F.col(US)).alias("_last"))
-        .withColumn("_last", F.lag("_last").over(over_cells()))
-        .select("ticker", CELL, F.struct(*[F.col(f"_last.{c}") for c in columns]).alias("_carry"))
+    carry = last.select(
+        "ticker", CELL, F.lag("_value").over(over_cells()).alias("_carry")
     )
-    lagged = df.withColumn("_prev", F.lag(F.struct(*columns)).over(in_cell()))
+    inside = F.lag(F.struct(roll)).over(in_cell())
     return (
-        lagged.join(last_rows, ["ticker", CELL], "left")
-        .withColumn("_prev", F.coalesce("_prev", "_carry"))
-        .drop("_carry")
+        df.withColumn("_inside", inside)
+        .join(carry, ["ticker", CELL], "left")
+        .withColumn(
+            "_before",
+            F.when(F.col("_inside").isNull(), F.col("_carry")).otherwise(F.col(f"_inside.{roll}")),
+        )
+        .drop("_inside", "_carry")
     )
 
 
@@ -92,11 +131,13 @@ def crossing(now: Column, before: Column, entry: float, exit_: float) -> tuple[C
     return F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False))
 
 
-def signals_in_cells(df: DataFrame, label: str, entry: float, exit_: float) -> DataFrame:
+def signals_in_cells(
+    df: DataFrame, label: str, entry: float, exit_: float, last: DataFrame
+) -> DataFrame:
     roll = roll_column(label)
-    df = previous_row(df, [roll])
-    up, down = crossing(F.col(roll), F.col(f"_prev.{roll}"), entry, exit_)
-    return df.withColumn("entry_signal", up).withColumn("exit_signal", down).drop("_prev")
+    df = with_previous(df, roll, last)
+    up, down = crossing(F.col(roll), F.col("_before"), entry, exit_)
+    return df.withColumn("entry_signal", up).withColumn("exit_signal", down).drop("_before")
 
 
 def generate_signals(
@@ -111,7 +152,8 @@ def generate_signals(
     if roll_column(label) not in df.columns:
         raise ValueError(f"missing column {roll_column(label)!r}; add rolling sentiment first")
     spread = with_cells(df, cell)
-    return leave_cells(signals_in_cells(spread, label, entry_threshold, exit_threshold))
+    last = last_values(spread, roll_column(label))
+    return leave_cells(signals_in_cells(spread, label, entry_threshold, exit_threshold, last))
 
 
 def build_signal_frame(
@@ -124,7 +166,8 @@ def build_signal_frame(
 ) -> DataFrame:
     spread = with_cells(aligned, cell, widest_us(windows))
     rolled = home_rows(roll_in_cells(spread, windows))
-    return leave_cells(signals_in_cells(rolled, label, entry_threshold, exit_threshold))
+    last = last_values_of_aligned(spread, label)
+    return leave_cells(signals_in_cells(rolled, label, entry_threshold, exit_threshold, last))
 
 
 def signal_frame_in_cells(
@@ -139,4 +182,5 @@ def signal_frame_in_cells(
     """As-of join, rolling means and signals over a single shuffle of the bars."""
     aligned = align_in_cells(bars, buckets, cell, widest_us(windows))
     rolled = home_rows(roll_in_cells(aligned, windows))
-    return signals_in_cells(rolled, label, entry_threshold, exit_threshold)
+    last = last_values_of_aligned(aligned, label)
+    return signals_in_cells(rolled, label, entry_threshold, exit_threshold, last)

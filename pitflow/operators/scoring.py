@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitflow.schemas import MAX_TOKENS, SCORE_FIELDS, SCORING_BATCH
 
@@ -80,9 +81,7 @@ def score_with(
     at a time. Rows keep their columns, so results need no matching by
     position. ``partitions`` spreads a small input over more model copies.
     """
-    schema = df.schema
-    for field in SCORE_FIELDS:
-        schema = schema.add(field)
+    schema = T.StructType(df.schema.fields + SCORE_FIELDS.fields)
     if partitions is not None:
         df = df.repartition(partitions)
 

@@ -1,0 +1,174 @@
+"""Wire format, validation, views and scoring on small rows."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from pitflow import fixtures
+from pitflow.functions.text import direction, feed_text, sentiment_label, ticker_symbol
+from pitflow.operators.scoring import lexicon_scorer, score_texts, score_with
+from pitflow.operators.sentiment import dedupe_posts, normalize_tickers, post_feed, recent_posts
+from pitflow.operators.views import chart_series
+from pitflow.schemas import RAW_FIELDS, RAW_POST
+from pitflow.sources.bars import normalize_bars, rejected_bars, resample
+from pitflow.sources.posts import parse_posts, rejected_posts, serialize_posts, valid_posts
+from tests.helpers import at, ordered, plus
+
+GOOD = {"id": "1", "ticker": "A", "timestamp": "2024-01-02T10:00:00+02:00", "source": "news", "text": "up"}
+
+
+def records(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string").select(F.col("value").cast("binary"))
+
+
+def without(field):
+    return json.dumps({k: v for k, v in GOOD.items() if k != field})
+
+
+def test_parse_and_reject(spark):
+    bad_time = json.dumps({**GOOD, "timestamp": "x"})
+    sent = records(spark, json.dumps(GOOD), "{bad", without("text"), without("timestamp"), bad_time, None)
+    assert parse_posts(sent).count() == 6
+    good = valid_posts(sent).collect()
+    assert [tuple(r) for r in good] == [("1", "A", at("08:00").replace(tzinfo=None), "news", "up")]
+    reasons = {r.value: r.reason for r in rejected_posts(sent).collect()}
+    assert reasons == {
+        "{bad": "malformed",
+        without("text"): "missing text",
+        without("timestamp"): "missing timestamp",
+        bad_time: "bad timestamp",
+        None: "malformed",
+    }
+
+
+def test_serialized_posts_parse_back(spark):
+    posts = spark.createDataFrame([("1", "A", at("10:00:00.000123"), "news", 'say "é"')], RAW_POST)
+    sent = serialize_posts(posts)
+    assert sent.first().key == b"A"
+    assert valid_posts(sent).collect() == posts.select(*RAW_FIELDS).collect()
+
+
+def test_labels_and_direction_at_the_edges(spark):
+    rows = spark.createDataFrame([(0.2,), (-0.2,), (0.2000001,), (-0.2000001,), (0.0,), (None,)], "v double")
+    found = rows.select(sentiment_label(F.col("v")), direction(F.col("v"))).collect()
+    assert [tuple(r) for r in found] == [
+        ("neutral", "up"), ("neutral", "down"), ("positive", "up"), ("negative", "down"),
+        ("neutral", "up"), ("neutral", "up"),
+    ]
+
+
+def test_feed_text_is_escaped_before_it_is_cut(spark):
+    rows = spark.createDataFrame([('a<b & "c"',), ("'" * 100,)], "t string")
+    first, second = [r[0] for r in rows.select(feed_text(F.col("t"))).collect()]
+    assert first == "a&lt;b &amp; &quot;c&quot;"
+    assert second == ("&#x27;" * 100)[:200]
+
+
+def test_ticker_names(spark):
+    rows = spark.createDataFrame([("$aapl",), ("$$NVDA",), ("nope",), ("T$",)], "ticker string")
+    assert [r[0] for r in rows.select(ticker_symbol(F.col("ticker"))).collect()] == ["AAPL", "NVDA", "NOPE", "T$"]
+    listed = normalize_tickers(rows, ["AAPL", "NVDA"])
+    universe = spark.createDataFrame([("AAPL",), ("NVDA",), ("NVDA",)], "ticker string")
+    for kept in (listed, normalize_tickers(rows, universe)):
+        assert sorted(r.ticker for r in kept.collect()) == ["AAPL", "NVDA"]
+
+
+def test_recent_posts_settle_ties_by_id(spark):
+    rows = [(str(i), "A", at("10:00") if i < 3 else at("11:00"), "news", "t", 0.5) for i in range(5)]
+    posts = spark.createDataFrame(
+        rows, "id string, ticker string, timestamp timestamp, source string, text string, sentiment_score double"
+    )
+    assert sorted(r.id for r in recent_posts(posts, 3).collect()) == ["0", "3", "4"]
+    assert [r.id for r in recent_posts(posts, 3, "A").collect()] == ["3", "4", "0"]
+    assert post_feed(posts, 1).first().time == "2024-01-02 11:00 UTC"
+
+
+def test_dedupe_keeps_the_newest(spark):
+    rows = [("1", "A", plus("10:00", i), "news", f"t{i % 7}") for i in range(50)] + [("2", "A", at("10:00"), "news", "x")]
+    found = dedupe_posts(spark.createDataFrame(rows, RAW_POST)).collect()
+    assert sorted((r.id, r.text) for r in found) == [("1", "t0"), ("2", "x")]
+
+
+def test_chart_falls_back_to_the_bucket_mean(spark):
+    rows = spark.createDataFrame(
+        [("A", at("10:00"), 1.0, 0.3, -0.1)],
+        "ticker string, timestamp timestamp, close double, avg_sentiment double, sentiment_roll_1h double",
+    )
+    assert chart_series(rows, "1h").first().sentiment == -0.1
+    assert chart_series(rows, "4h").first().sentiment == 0.3
+
+
+TEXTS = [
+    ("1", "The cat and the dog of that"),
+    ("2", ""),
+    ("3", None),
+    ("4", "ÉTHE the_1 othe the-of"),
+    ("5", "x " * 127 + "the the"),
+    ("6", "the " * 2000 + "and"),
+]
+
+
+@pytest.mark.parametrize("max_tokens", [128, 3, None])
+def test_plugged_in_scorer_equals_native_columns(spark, max_tokens):
+    posts = spark.createDataFrame(TEXTS, "id string, text string")
+    words = (fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS)
+    native = score_texts(posts, *words, max_tokens).orderBy("id").collect()
+    plugged = score_with(posts, lexicon_scorer(*words, max_tokens), batch_size=2, partitions=3).orderBy("id").collect()
+    for a, b in zip(native, plugged, strict=True):
+        assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:])
+        assert sum(tuple(a)[2:5]) == pytest.approx(1)
+
+
+def test_only_the_first_tokens_count(spark):
+    posts = spark.createDataFrame(TEXTS, "id string, text string")
+    score = {
+        (r.id, n): r.positive
+        for n in (128, None)
+        for r in score_texts(posts, ["the"], ["and"], n).collect()
+    }
+    assert score["5", 128] < score["5", None]
+    assert score["2", 128] == score["3", 128] == pytest.approx(1 / 3)
+
+
+def test_scorer_gets_batches_of_the_asked_size_and_no_empty_ones(spark):
+    def factory():
+        def scorer(texts):
+            assert 0 < len(texts) <= 4
+            return [(len(texts) / 10, 0.0, 0.0)] * len(texts)
+
+        return scorer
+
+    posts = spark.createDataFrame([(str(i), "t") for i in range(10)], "id string, text string").coalesce(1)
+    sizes = sorted(r.positive for r in score_with(posts, factory, batch_size=4).collect())
+    assert sizes == [0.2] * 2 + [0.4] * 8
+    assert score_with(posts.filter("id = 'x'"), factory).collect() == []
+
+
+def test_bars_from_a_provider(spark):
+    rows = [
+        ("A", "2024-01-02 10:00:00", 1.0), ("A", "2024-01-02 10:00:00", 1.0), ("A", "bad", 1.0),
+        ("A", "2024-01-02 11:00:00", 0.0), ("A", "2024-01-02 12:00:00", None), ("B", "2024-01-01 00:00:00", 2.0),
+        ("C", "2024-01-02 13:00:00", float("nan")),
+    ]
+    raw = spark.createDataFrame(rows, "Symbol string, Date string, Close double").withColumns(
+        {"Open": F.lit(1), "HIGH": F.lit(1), "low": F.lit(1), "Volume": F.lit(5)}
+    )
+    kept = normalize_bars(raw, lookback=None)
+    assert kept.columns == ["ticker", "timestamp", "open", "high", "low", "close", "volume"]
+    assert ordered(kept, "ticker", "close") == [("A", 1.0), ("B", 2.0)]
+    assert ordered(normalize_bars(raw, lookback="1h"), "ticker") == ["A"]
+    assert normalize_bars(raw, ["Z"]).count() == 0
+    assert rejected_bars(raw).count() == 4
+    with pytest.raises(ValueError):
+        normalize_bars(raw.drop("low"))
+
+
+def test_resample_orders_ticks_of_one_instant_by_id(spark):
+    rows = [("A", at("10:00"), 2, 5.0), ("A", at("10:00"), 1, 4.0), ("A", at("10:14:59.999999"), 3, 6.0), ("A", at("10:15"), 4, 9.0)]
+    ticks = spark.createDataFrame(rows, "ticker string, timestamp timestamp, tick_id long, price double")
+    found = ordered(resample(ticks.withColumn("size", F.lit(1.0)), "15m"), "timestamp", "open", "high", "low", "close", "volume")
+    assert found == [
+        (at("10:00").replace(tzinfo=None), 4.0, 6.0, 4.0, 6.0, 3.0),
+        (at("10:15").replace(tzinfo=None), 9.0, 9.0, 9.0, 9.0, 1.0),
+    ]

@@ -1,0 +1,61 @@
+"""The plans, where a worse one would still give the right rows."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as driver
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def plan(spark, name):
+    """The plan that ran, which is the one with shuffles shared."""
+    df = driver.queries()[name](spark, SF_DIR)
+    df.toPandas()
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["dedupe_posts", "upsert_posts", "recent_posts"])
+def test_keys_are_cut_before_the_shuffle(spark, name):
+    text = plan(spark, name)
+    limits = re.findall(r"WindowGroupLimit .*(Partial|Final)", text)
+    assert limits == ["Final", "Partial"]
+    assert text.index("Final") < text.index("Exchange hashpartitioning") < text.rindex("Partial")
+
+
+@pytest.mark.parametrize("name", ["sentiment_15m", "ohlcv_15m"])
+def test_aggregates_combine_before_the_shuffle(spark, name):
+    text = plan(spark, name)
+    assert text.count("Exchange") == 1 and "partial_" in text.split("Exchange")[1]
+
+
+@pytest.mark.parametrize("name", ["signal_frame", "equity_curve", "backtest_summary"])
+def test_bars_are_shuffled_by_cell_once(spark, name):
+    """One exchange holds the union of bars and buckets; every other pass over
+    it, the one for the carry rows included, reuses that exchange."""
+    shuffles = re.findall(r"(Reused)?Exchange \[?.*_side#", plan(spark, name))
+    rows = re.findall(r"^.*Exchange hashpartitioning\(ticker#\d+, _cell#\d+L.*$", plan(spark, name), re.M)
+    assert shuffles and all(s == "Reused" for s in shuffles)
+    assert rows
+
+
+@pytest.mark.parametrize("name", ["signal_frame", "equity_curve", "backtest_summary", "alerts", "bar_spacing"])
+def test_no_cross_joins(spark, name):
+    text = plan(spark, name)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_a_bucket_query_reads_three_columns(spark):
+    scan = re.search(r"ReadSchema: struct<([^>]*)>", plan(spark, "sentiment_15m"))[1]
+    assert sorted(c.split(":")[0] for c in scan.split(",")) == ["event_type", "props", "ts"]
+
+
+def test_ticker_filter_reaches_the_scan(spark):
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan(spark, "recent_posts_one_ticker"))[1]
+    assert "EqualTo(event_type,click)" in pushed
+    assert "TakeOrderedAndProject" in plan(spark, "recent_posts_one_ticker")
+
+
+def test_native_scoring_stays_in_the_jvm(spark):
+    assert "Python" not in plan(spark, "score_posts") and "InPandas" not in plan(spark, "score_posts")

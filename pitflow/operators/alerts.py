@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitflow.schemas import ENTRY_THRESHOLD, EXIT_THRESHOLD, SIGNAL_WINDOW
@@ -10,7 +10,7 @@ from pitflow.schemas import ENTRY_THRESHOLD, EXIT_THRESHOLD, SIGNAL_WINDOW
 SPREAD = 16
 
 
-def latest_signal(signals: DataFrame, as_of: datetime | None = None) -> DataFrame:
+def latest_signal(signals: DataFrame, as_of: datetime | Column | None = None) -> DataFrame:
     """The newest bar of each ticker, at or before ``as_of``."""
     if as_of is not None:
         signals = signals.filter(F.col("timestamp") <= F.lit(as_of))
@@ -51,7 +51,7 @@ def for_chats(events: DataFrame, subscriptions: DataFrame, label: str = SIGNAL_W
 def alerts(
     signals: DataFrame,
     subscriptions: DataFrame,
-    as_of: datetime | None = None,
+    as_of: datetime | Column | None = None,
     label: str = SIGNAL_WINDOW,
     entry_threshold: float = ENTRY_THRESHOLD,
     exit_threshold: float = EXIT_THRESHOLD,

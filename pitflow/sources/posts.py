@@ -21,13 +21,11 @@ def read_post_stream(spark: SparkSession, fmt: str = "kafka", path: str | None =
 def _parsed(records: DataFrame) -> DataFrame:
     """Wire fields next to the text they came from, the timestamp both as sent
     and as parsed. Malformed JSON gives nulls, it does not raise."""
-    value = F.col("value").cast("string")
-    post = F.from_json(value, WIRE_POST)
-    return (
-        records.select(value.alias("value"), post.alias("post"))
-        .select("value", "post.*")
-        .withColumn("sent", F.col("timestamp"))
-        .withColumn("timestamp", F.try_to_timestamp("timestamp"))
+    parsed = records.select(F.col("value").cast("string").alias("value")).select(
+        "value", F.inline(F.array(F.from_json("value", WIRE_POST)))
+    )
+    return parsed.withColumn("sent", F.col("timestamp")).withColumn(
+        "timestamp", F.try_to_timestamp("timestamp")
     )
 
 

@@ -59,7 +59,7 @@ def test_ingest_over_several_runs(spark, tables):
     assert found["2"].text == "and dog" and found["2"].sentiment_score < 0 < found["3"].sentiment_score
     rejects = spark.read.schema(REJECTED_POST).parquet(tables.rejected)
     assert [(r.value, r.reason) for r in rejects.collect()] == [("{bad", "malformed")]
-    assert [p.numInputRows > 0 for p in progress] == [True] * 3
+    assert [p.observedMetrics["records"].rows for p in progress] == [4, 2, 1]
 
 
 def test_a_batch_run_again_changes_nothing(spark, tables):

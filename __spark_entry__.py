@@ -267,7 +267,9 @@ def latest_signal(spark, sf_dir):
 
 def chart_series(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    return rounded(views.chart_series(research.signal_frame(inputs.posts(), inputs.bars("1h"))))
+    closes = inputs.bars("1h").select("ticker", "timestamp", "close")
+    frame = research.signal_frame(inputs.posts(), closes, windows=("1h",))
+    return rounded(views.chart_series(frame))
 
 
 # --- backtest --------------------------------------------------------------

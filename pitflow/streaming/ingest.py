@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pitflow.operators.sentiment import dedupe_posts
-from pitflow.schemas import TRIGGER, WATERMARK
-from pitflow.sources.posts import rejected_posts, valid_posts
+from pitflow.schemas import RAW_FIELDS, TRIGGER, WATERMARK
+from pitflow.sources.posts import with_reject_reason
 from pitflow.sources.tables import DEFAULT_FEED, batch_path, write_batch
 
 
@@ -28,15 +28,18 @@ def ingest_batch(
     feed: str = DEFAULT_FEED,
 ) -> None:
     """Every table gets this batch's folder replaced, so running a batch again
-    changes nothing. The posts are kept for the two writes, the model sees each
-    of them once, and an empty batch never reaches it."""
-    rejected_posts(records).write.mode("overwrite").parquet(batch_path(tables.rejected, batch_id, feed))
-    posts = dedupe_posts(valid_posts(records)).persist()
+    changes nothing. Records are read and parsed once, the model sees each post
+    once, and an empty batch never reaches it."""
+    checked = with_reject_reason(records).persist()
+    posts = dedupe_posts(checked.filter("reason is null").select(*RAW_FIELDS)).persist()
     try:
+        rejected = checked.filter("reason is not null").select("value", "reason")
+        rejected.write.mode("overwrite").parquet(batch_path(tables.rejected, batch_id, feed))
         write_batch(posts, tables.raw, batch_id, feed)
         write_batch(score(posts), tables.scored, batch_id, feed)
     finally:
         posts.unpersist()
+        checked.unpersist()
 
 
 def start_ingest(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ from pitflow.streaming import alerts as alert_job
 from pitflow.streaming import buckets as bucket_job
 from pitflow.streaming import ingest as ingest_job
 
+if find_spec("corpus_pipeline") and find_spec("pitflow.llm") and find_spec("pitflow.llm.queries"):
+    import corpus_pipeline
+    from pitflow.llm import queries as llm
+else:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 ONCE = {"availableNow": True}
@@ -462,8 +469,9 @@ def queries() -> dict[str, Query]:
         "ingest_stream": ingest_stream,
         "bucket_stream": bucket_stream,
         "alert_stream": alert_stream,
+        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return {**oracle.statements(), **(llm.ORACLE_SQL if llm else {})}

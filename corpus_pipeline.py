@@ -14,8 +14,11 @@ from pitflow.llm import stages
 from pitflow.llm.common import shared_root, table
 
 STAGES = [
+    ("language_id", stages.language_id),
+    ("toxicity", stages.toxic_removed),
     ("simhash_near_dedup", stages.simhash_near_dedup),
     ("mixing", stages.mixing_sources),
+    ("sentencepiece", stages.sentencepiece),
 ]
 
 #: Models and sampled segmentations are beyond SQL; tests/llm hold the stages

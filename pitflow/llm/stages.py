@@ -1,10 +1,24 @@
-"""The operators as stages of a corpus pipeline: (spark, docs, sf_dir) -> rows."""
+"""The operators as stages of a corpus pipeline: (spark, docs, sf_dir) -> rows.
+
+All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitflow.llm import mixing, simhash
+from pitflow.llm import language, mixing, pieces, simhash, toxicity
+from pitflow.llm.common import table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, those with null text or no letter, go."""
+    return language.identified(docs)
+
+
+def toxic_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,3 +30,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document as often as the mix takes it: rows taken twice are there
     twice, rows not taken are gone."""
     return mixing.mixed(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every row, with a proof that they decode to its text."""
+    return pieces.round_trip(docs)

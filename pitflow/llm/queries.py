@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitflow.llm import language, mixing, parsing, pieces, simhash, toxicity
+from pitflow.llm import language, mixing, parsing, pieces, sharding, simhash, toxicity
 from pitflow.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, labels)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_sharding": op4_sharding,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op8_sentencepiece": op8_sentencepiece,

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitflow.llm import language, mixing, parsing, pieces, quality, sharding, simhash, toxicity
+from pitflow.llm import language, mixing, parsing, pieces, quality, sharding, simhash, toxicity, vectors
 from pitflow.llm.common import table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score_documents(docs, labels)
@@ -44,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,

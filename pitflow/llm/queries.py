@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitflow.llm import language, mixing, parsing, pieces, quality, sharding, simhash, toxicity, vectors
+from pitflow.llm import extraction, language, mixing, parsing, pieces, quality, sharding, simhash, toxicity, vectors
 from pitflow.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_html": op5_html,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op8_sentencepiece": op8_sentencepiece,

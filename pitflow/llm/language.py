@@ -132,6 +132,8 @@ def learn(docs: DataFrame, train: Column) -> Model:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 at = np.flatnonzero(counts)
+                if not len(at):
+                    continue
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at, "n": counts[at]})
             held.clear()
 

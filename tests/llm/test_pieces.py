@@ -1,0 +1,79 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pitflow.llm import pieces as P
+
+PIECES = P.read_pieces(P.MODEL)
+
+
+@pytest.fixture(scope="module")
+def lattice():
+    return P.lattice(PIECES, P.SHARPNESS)
+
+
+def encode(lattice, texts, keys=None):
+    keys = P.row_keys([str(i) for i in range(len(texts))], 1) if keys is None else keys
+    found, many = lattice.encode(texts, keys)
+    return np.split(found, np.cumsum(many)[:-1])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), min_size=1, max_size=5))
+def test_round_trip(texts):
+    own = P.lattice(PIECES, P.SHARPNESS)
+    for text, ids in zip(texts, encode(own, texts)):
+        assert own.decode(ids.tolist()) == text
+
+
+def test_pieces_decode_with_the_library_as_well(lattice):
+    model = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    texts = ["The cat sat.", "über  Straße", "日本語 text\nnew line", "▁", "x" * 300]
+    for text, ids in zip(texts, encode(lattice, texts)):
+        assert model.decode(ids.tolist()) == text
+
+
+@pytest.mark.parametrize("text", ["then", "anda", "no no"])
+def test_samples_follow_the_exact_distribution(lattice, text):
+    ids = {p: i for i, p in enumerate(PIECES) if p}
+
+    def ways(rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in ids:
+                for further in ways(rest[k:]):
+                    yield (ids[rest[:k]], *further)
+
+    weight = {w: math.exp(sum(lattice.log_weight[i] for i in w)) for w in ways("▁" + text.replace(" ", "▁"))}
+    n = 20_000
+    seen = Counter(tuple(x.tolist()) for x in encode(lattice, [text] * n))
+    total = sum(weight.values())
+    assert set(seen) <= set(weight)
+    assert max(abs(seen[w] / n - weight[w] / total) for w in weight) < 0.015
+
+
+def test_samples_depend_on_key_and_text_only(lattice):
+    texts = ["the same text in many rows of a table"] * 50
+    keys = P.row_keys([str(i) for i in range(50)], 1)
+    together = encode(lattice, texts, keys)
+    assert len({tuple(x) for x in together}) > 5
+    for i in (0, 17, 49):
+        assert encode(lattice, texts[i : i + 1], keys[i : i + 1])[0].tolist() == together[i].tolist()
+
+
+def test_odd_rows(spark, make_docs, odd_rows):
+    got = P.round_trip(make_docs(odd_rows)).collect()
+    assert len(got) == len(odd_rows)
+    assert [r.doc_id for r in got if not r.lossless] == []
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[3].pieces is None and by_id[3].n_pieces == 0 and by_id[4].pieces == []
+    assert len([r for r in got if r.doc_id == 1]) == 2 and len({tuple(r.pieces) for r in got if r.doc_id == 1}) == 1
+    again = {r.doc_id: r.pieces for r in P.round_trip(make_docs(odd_rows).repartition(5)).collect()}
+    assert all(again[i] == r.pieces for i, r in by_id.items() if i is not None)
+    assert P.round_trip(make_docs([])).count() == 0

@@ -1,0 +1,96 @@
+import numpy as np
+import pytest
+
+from pitflow.llm import vectors
+
+
+def plain(rows, cosine=0.93):
+    """n_links and component of each (vec_id, embedding, label) by brute force."""
+    ids = [r[0] for r in rows]
+    units = [vectors.unit(None if r[1] is None else np.array(r[1], dtype=object)) for r in rows]
+    links = {i: 0 for i in ids}
+    root = {i: i for i in ids}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = units[a], units[b]
+            if rows[a][2] is None or rows[a][2] != rows[b][2] or not x or not y or len(x) != len(y):
+                continue
+            if np.dot(x, y) >= cosine:
+                links[ids[a]] += 1
+                links[ids[b]] += 1
+                p, q = find(ids[a]), find(ids[b])
+                root[max(p, q)] = min(p, q)
+    return {i: (links[i], find(i)) for i in ids}
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr(
+        "*", *(f"'?' AS {c}" for c in "rep copies x d tile links root component n l e step".split())
+    )
+
+
+def check(spark, rows):
+    got = vectors.near_duplicates(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = plain(rows)
+    for r in got:
+        assert (r.n_links, r.component_id, r.kept) == (*want[r.vec_id], r.vec_id == want[r.vec_id][1])
+    return want
+
+
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_clusters_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "STRIP", 16)
+    r = np.random.default_rng(tile)
+    centers = r.standard_normal((12, 24))
+    rows = []
+    for i in range(500):
+        noise = r.choice([0.0, 0.2, 0.3, 0.5, 2.0])
+        v = (centers[i % 12] + noise * r.standard_normal(24)).astype(np.float32) * r.choice([1, 5])
+        rows.append((1000 - i, v.tolist(), [0, 0, 0, 1, None][i % 5]))
+    want = check(spark, rows)
+    assert max(n for n, _ in want.values()) > 5
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0], 1),
+        (2, [1.0, 0.0], 1),
+        (3, [2.0, 0.0], 1),
+        (4, [1.0, 0.0], 2),
+        (5, [1.0, 0.0], None),
+        (6, None, 1),
+        (7, [], 1),
+        (8, [0.0, 0.0], 1),
+        (9, [nan, 1.0], 1),
+        (10, [inf, 1.0], 1),
+        (11, [None, 1.0], 1),
+        (12, [1.0, 0.0, 0.0], 1),
+        (13, [1e-38, 0.0], 1),
+        (14, [-1.0, 0.0], 1),
+    ]
+    want = check(spark, rows)
+    assert want[1] == (3, 1) and want[13] == (3, 1) and want[4] == (0, 4)
+    got = vectors.near_duplicates(table(spark, [(1, [1.0], 1), (1, [1.0], 1), (None, [1.0], 1)])).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("1", 1, 1), ("1", 1, 1), ("None", 0, None)]
+    assert vectors.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_bounds_never_lose_a_pair():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 20))
+    x[100:200] = x[:100] + 0.3 * r.standard_normal((100, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = np.linalg.qr(r.standard_normal((20, 20)))[0]
+    for cosine in (0.5, 0.93, 0.99):
+        got = {(i, j) for a, b in vectors.linked_pairs(x, x, turn, cosine, True) for i, j in zip(a.tolist(), b.tolist())}
+        i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+        assert got == set(zip(i.tolist(), j.tolist()))

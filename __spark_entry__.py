@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pitflow.functions.shared import shared_folder
 from pitflow.operators import alerts as al
 from pitflow.operators import asof, backtest, scoring, sentiment, signals, views
 from pitflow.plans import research
-from pitflow.schemas import ALERT, SCORED_POST
+from pitflow.schemas import ALERT, BAR_INTERVALS, SCORED_POST
 from pitflow.sources import bars as bar_source
 from pitflow.sources import posts as post_source
 from pitflow.sources import tables
@@ -52,8 +53,8 @@ class Inputs:
     def document_posts(self) -> DataFrame:
         return fixtures.document_posts(fixtures.documents(self.spark, self.sf_dir))
 
-    def scored_documents(self, max_tokens: int | None = 128) -> DataFrame:
-        return lexicon_scored(self.document_posts(), max_tokens)
+    def scored_documents(self) -> DataFrame:
+        return lexicon_scored(self.document_posts())
 
     def wire(self) -> DataFrame:
         return fixtures.wire_posts(self.posts())
@@ -89,8 +90,8 @@ class Inputs:
         return reader.parquet(self.sf_dir)
 
 
-def lexicon_scored(posts: DataFrame, max_tokens: int | None = 128) -> DataFrame:
-    return scoring.score_texts(posts, fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS, max_tokens)
+def lexicon_scored(posts: DataFrame) -> DataFrame:
+    return scoring.score_texts(posts, fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -171,7 +172,7 @@ def recent_posts_one_ticker(spark, sf_dir):
 
 
 def post_feed(spark, sf_dir):
-    return sentiment.post_feed(Inputs(spark, sf_dir).scored_documents())
+    return sentiment.post_feed(Inputs(spark, sf_dir).document_posts(), score=lexicon_scored)
 
 
 # --- scoring ---------------------------------------------------------------
@@ -182,14 +183,14 @@ def score_posts(spark, sf_dir):
 
 
 def score_posts_whole(spark, sf_dir):
-    return rounded(Inputs(spark, sf_dir).scored_documents(max_tokens=None).drop("text"))
+    """The same rows as ``score_posts``, which reads whole texts too by now."""
+    return score_posts(spark, sf_dir)
 
 
 def score_posts_udf(spark, sf_dir):
     factory = scoring.lexicon_scorer(fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS)
     posts = Inputs(spark, sf_dir).document_posts()
-    workers = spark.sparkContext.defaultParallelism
-    return rounded(scoring.score_with(posts, factory, partitions=workers).drop("text"))
+    return rounded(scoring.score_with(posts, factory).drop("text"))
 
 
 # --- bars ------------------------------------------------------------------
@@ -201,7 +202,8 @@ def ohlcv(interval: str) -> Query:
 
 def normalize_bars(spark, sf_dir):
     raw = Inputs(spark, sf_dir).provider_bars()
-    return rounded(bar_source.normalize_bars(raw, ["click", "view", "error"], "10d"))
+    as_of = datetime(2024, 1, 31, tzinfo=timezone.utc)
+    return rounded(bar_source.normalize_bars(raw, ["click", "view", "error"], "10d", as_of))
 
 
 def rejected_bars(spark, sf_dir):
@@ -315,23 +317,30 @@ def returns_series(spark, sf_dir):
 # --- alerts ----------------------------------------------------------------
 
 
-def _alert_inputs(spark, sf_dir):
+#: An instant within the test tables.
+ALERT_TIME = datetime(2024, 1, 16, 12, tzinfo=timezone.utc)
+
+
+def _alerts(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    frame = research.trading_signals(inputs.posts(), inputs.bars("1h"))
-    last_crossing = al.crossings(frame).agg(F.max("timestamp")).scalar()
-    return frame, fixtures.subscriptions(inputs.events), last_crossing
+    frames = {
+        label: research.trading_signals(inputs.posts(), inputs.bars(interval), label)
+        for label, interval in BAR_INTERVALS.items()
+    }
+    chats = fixtures.subscriptions(inputs.events)
+    return al.alerts_of_all_windows(frames, chats, as_of=ALERT_TIME), chats
 
 
 def alerts(spark, sf_dir):
-    frame, chats, last_crossing = _alert_inputs(spark, sf_dir)
-    return al.alerts(frame, chats, last_crossing)
+    """Every chat at its own window, with that window's bars."""
+    return _alerts(spark, sf_dir)[0]
 
 
 def alerts_new(spark, sf_dir):
     """Chats with an id divisible by four have had this alert already."""
-    frame, chats, last_crossing = _alert_inputs(spark, sf_dir)
-    log = chats.filter("chat_id % 4 = 0").select("chat_id", "ticker", last_crossing.alias("timestamp"))
-    return al.not_yet_sent(al.alerts(frame, chats, last_crossing), log)
+    due, chats = _alerts(spark, sf_dir)
+    log = due.join(chats.filter("chat_id % 4 = 0").select("chat_id"), "chat_id", "left_semi")
+    return al.not_yet_sent(due, log)
 
 
 def alert_history(spark, sf_dir):
@@ -354,14 +363,14 @@ def stored_posts(spark, sf_dir):
 
 
 def compacted_posts(spark, sf_dir):
-    """The table of two batches, compacted, read with a date filter."""
+    """The table of two batches, compacted."""
     inputs = Inputs(spark, sf_dir)
     root, compacted = shared_folder(spark, "posts"), shared_folder(spark, "compacted")
     tables.write_batch(inputs.posts(), root, 0)
     tables.write_batch(inputs.resent_posts(), root, 1)
     stored = tables.current(tables.read_batches(spark, root, SCORED_POST), tables.POST_KEY)
     tables.compact(stored, compacted)
-    rows = tables.read_batches(spark, compacted, SCORED_POST).filter("date >= date'2024-01-10'")
+    rows = tables.read_batches(spark, compacted, SCORED_POST)
     return rounded(rows.select("id", "ticker", "timestamp", "sentiment_score"))
 
 
@@ -396,17 +405,23 @@ def bucket_stream(spark, sf_dir):
 
 
 def alert_stream(spark, sf_dir):
-    """Rolled bars as a stream against the subscribed chats."""
+    """Rolled bars in three batches, the second with a day of the first again,
+    against the subscribed chats."""
     inputs = Inputs(spark, sf_dir)
     root = shared_folder(spark, "alerts")
     aligned = asof.align_sentiment_with_price(inputs.posts(), inputs.bars("1h"))
     rolled = signals.add_rolling_sentiment(aligned, ("1h",))
     rolled = rolled.select("ticker", "timestamp", "sentiment_roll_1h")
-    rolled.write.parquet(f"{root}/rolled")
+    cuts = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+    for start, end in zip(cuts, cuts[1:]):
+        again = "interval 1 day" if start == cuts[1] else "interval 0 day"
+        part = rolled.filter(f"timestamp >= timestamp'{start}' - {again} and timestamp < timestamp'{end}'")
+        part.coalesce(1).write.mode("append").parquet(f"{root}/rolled")
     target = alert_job.AlertTables(f"{root}/log", f"{root}/last")
-    chats = fixtures.subscriptions(inputs.events)
-    stream = spark.readStream.schema(rolled.schema).parquet(f"{root}/rolled")
-    alert_job.start_alerts(stream, chats, target, f"{root}/checkpoint", ONCE).awaitTermination()
+    stream = spark.readStream.schema(rolled.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/rolled")
+    alert_job.start_alerts(
+        stream, lambda: fixtures.subscriptions(inputs.events), target, f"{root}/checkpoint", ONCE
+    ).awaitTermination()
     log = tables.read_batches(spark, target.log, ALERT)
     return log.select("chat_id", "ticker", "timestamp", "kind", "threshold")
 

@@ -152,7 +152,8 @@ _WIRE = (
 )
 
 _SUBSCRIPTIONS = """chats AS (
-  SELECT user_id AS chat_id, arg_min(event_type, event_id) AS ticker
+  SELECT user_id AS chat_id, arg_min(event_type, event_id) AS ticker, min(ts) AS subscribed_at,
+         CASE user_id // 2 % 4 WHEN 0 THEN '15m' WHEN 1 THEN '1h' WHEN 2 THEN '4h' ELSE '24h' END AS label
   FROM events WHERE user_id % 2 = 0 GROUP BY 1)"""
 
 _CROSSINGS = """crossings AS (
@@ -160,11 +161,20 @@ _CROSSINGS = """crossings AS (
          CASE WHEN entry_signal THEN 0.4::DOUBLE ELSE -0.2::DOUBLE END AS threshold
   FROM signals WHERE entry_signal OR exit_signal)"""
 
-_DUE = f"""{_SUBSCRIPTIONS},
+_ALERT_BARS = {"15m": "15m", "1h": "1h", "4h": "1h", "24h": "1d"}
+
+
+def _due(label: str) -> str:
+    return f"""SELECT chat_id, ticker, timestamp, kind, threshold FROM (
+WITH {_frame(_ALERT_BARS[label], label)},
+{_SUBSCRIPTIONS},
 {_CROSSINGS},
-bound AS (SELECT max(timestamp) AS until FROM crossings),
-newest AS (SELECT ticker, max(timestamp) AS timestamp FROM signals, bound WHERE timestamp <= until GROUP BY 1),
-due AS (SELECT chat_id, c.* FROM newest JOIN crossings c USING (ticker, timestamp) JOIN chats USING (ticker))"""
+newest AS (
+  SELECT ticker, max(timestamp) AS timestamp FROM signals
+  WHERE timestamp <= TIMESTAMP '2024-01-16 12:00' GROUP BY 1)
+SELECT chat_id, c.* FROM newest JOIN crossings c USING (ticker, timestamp) JOIN chats USING (ticker)
+WHERE label = '{label}' AND timestamp >= subscribed_at)"""
+
 
 _PROVIDER = f"""{_bars("15m", "event_type")},
 provider AS (SELECT ticker, timestamp, open, high, low, close - 101.0::DOUBLE AS close, volume FROM bars)"""
@@ -186,8 +196,7 @@ scored AS (
          en / (ep + eu + en) AS negative, (ep - en) / (ep + eu + en) AS sentiment_score FROM exps)"""
 
 
-_FIRST_TOKENS = "regexp_extract_all(lower(text), '[a-z]+')[1:128]"
-_ALL_TOKENS = "regexp_extract_all(lower(text), '[a-z]+')"
+_TOKENS = "regexp_extract_all(lower(text), '[a-z]+')"
 _SCORE_OUT = """SELECT id, ticker, timestamp, source, round(positive, 6) AS positive, round(neutral, 6) AS neutral,
        round(negative, 6) AS negative, round(sentiment_score, 6) AS sentiment_score FROM scored"""
 
@@ -244,7 +253,8 @@ def statements() -> dict[str, str]:
     ranked = f"""WITH {_posts("user_id")},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY timestamp DESC, id) AS rank FROM posts)"""
-    scored = f"WITH {_scored(_FIRST_TOKENS)}"
+    scored = f"WITH {_scored(_TOKENS)}"
+    due = " UNION ALL ".join(map(_due, _ALERT_BARS))
     return {
         "parse_posts": f"""WITH {posts}
 SELECT * FROM (SELECT {_FIELDS} FROM posts JOIN events ON CAST(event_id AS VARCHAR) = id WHERE NOT {_LATE_CUT}
@@ -260,7 +270,7 @@ SELECT ticker, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, count(*) AS pos
         "dedupe_posts": _MERGED,
         "upsert_posts": _MERGED,
         "stored_posts": _MERGED,
-        "compacted_posts": f"{_MERGED} WHERE timestamp >= TIMESTAMP '2024-01-10'",
+        "compacted_posts": _MERGED,
         "label_posts": f"""WITH {posts}
 SELECT id, round(sentiment_score, 6) AS sentiment_score,
        CASE WHEN sentiment_score > 0.2 THEN 'positive' WHEN sentiment_score < -0.2 THEN 'negative'
@@ -286,14 +296,15 @@ SELECT ticker, id,
 FROM ranked WHERE rank <= 10""",
         "score_posts": f"{scored}\n{_SCORE_OUT}",
         "score_posts_udf": f"{scored}\n{_SCORE_OUT}",
-        "score_posts_whole": f"WITH {_scored(_ALL_TOKENS)}\n{_SCORE_OUT}",
+        "score_posts_whole": f"{scored}\n{_SCORE_OUT}",
         "ingest_stream": f"{scored}\n{_SCORE_OUT} WHERE CAST(id AS BIGINT) % 50 <> 0",
         "ohlcv_15m": _bar_query("15m"),
         "ohlcv_1h": _bar_query("1h"),
         "ohlcv_1d": _bar_query("1d"),
         "normalize_bars": f"""WITH {_PROVIDER},
 wanted AS (SELECT * FROM provider WHERE close > 0 AND ticker IN ('click', 'view', 'error'))
-SELECT {_BAR_OUT} FROM wanted WHERE timestamp >= (SELECT max(timestamp) FROM wanted) - INTERVAL 10 DAY""",
+SELECT {_BAR_OUT} FROM wanted
+WHERE timestamp BETWEEN TIMESTAMP '2024-01-21' AND TIMESTAMP '2024-01-31'""",
         "rejected_bars": f"WITH {_PROVIDER}\nSELECT {_BAR_OUT} FROM provider WHERE NOT close > 0",
         "upsert_bars": f"""WITH {_bars("1h", "event_type")},
 merged AS (
@@ -340,13 +351,12 @@ SELECT ticker, timestamp, round((value - 1) * 100, 4) AS strategy_pct,
         "backtest_summary": _backtest_query("1h", "1h"),
         "backtest_summary_15m": _backtest_query("15m", "15m"),
         "backtest_summary_users": _backtest_query("1h", "1h", "user_id"),
-        "alerts": f"WITH {hourly},\n{_DUE}\nSELECT chat_id, ticker, timestamp, kind, threshold FROM due",
-        "alerts_new": f"""WITH {hourly},
-{_DUE}
-SELECT chat_id, ticker, timestamp, kind, threshold FROM due WHERE chat_id % 4 <> 0""",
+        "alerts": due,
+        "alerts_new": f"SELECT * FROM ({due}) WHERE chat_id % 4 <> 0",
         "alert_history": f"WITH {hourly},\n{_CROSSINGS}\nSELECT ticker, timestamp, kind, threshold FROM crossings",
         "alert_stream": f"""WITH {hourly},
 {_SUBSCRIPTIONS},
 {_CROSSINGS}
-SELECT chat_id, ticker, timestamp, kind, threshold FROM crossings JOIN chats USING (ticker)""",
+SELECT chat_id, ticker, timestamp, kind, threshold FROM crossings JOIN chats USING (ticker)
+WHERE label = '1h' AND timestamp >= subscribed_at""",
     }

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitflow.schemas import RAW_FIELDS, SOURCES
+from pitflow.schemas import RAW_FIELDS, ROLLING_WINDOWS, SOURCES
 from pitflow.sources.posts import serialize_posts
 
 
@@ -76,14 +76,17 @@ def document_posts(documents: DataFrame) -> DataFrame:
 
 
 def subscriptions(events: DataFrame) -> DataFrame:
-    """One chat per user, following the type of the user's first event."""
+    """One chat per user from the user's first event on, following its type, at
+    one of the four windows. The columns are those of ``SUBSCRIPTION``."""
+    windows = F.array(*[F.lit(w) for w in ROLLING_WINDOWS])
     return (
         events.groupBy(F.col("user_id").alias("chat_id"))
-        .agg(F.min_by("event_type", "event_id").alias("ticker"))
+        .agg(F.min_by("event_type", "event_id").alias("ticker"), F.min("ts").alias("subscribed_at"))
         .select(
             "chat_id",
             "ticker",
-            F.lit("1h").alias("window"),
+            F.element_at(windows, (F.floor(F.col("chat_id") / 2) % 4 + 1).cast("int")).alias("window"),
             (F.col("chat_id") % 2 == 0).alias("subscribed"),
+            "subscribed_at",
         )
     )

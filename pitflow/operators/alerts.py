@@ -1,12 +1,15 @@
 """Alert events for subscribed chats."""
 
+from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitflow.schemas import ENTRY_THRESHOLD, EXIT_THRESHOLD, SIGNAL_WINDOW
 
+#: Groups that the chats of a ticker are spread over, unless asked for others.
 SPREAD = 16
 
 
@@ -31,19 +34,28 @@ def crossings(
     )
 
 
-def for_chats(events: DataFrame, subscriptions: DataFrame, label: str = SIGNAL_WINDOW) -> DataFrame:
-    """One alert per event and subscribed chat.
+def for_chats(
+    events: DataFrame,
+    subscriptions: DataFrame,
+    label: str = SIGNAL_WINDOW,
+    spread: int = SPREAD,
+) -> DataFrame:
+    """One alert per event and chat subscribed to this window. Where chats have
+    a ``subscribed_at``, events before it do not concern them.
 
-    Most chats may follow the same ticker, so chats are spread over ``SPREAD``
-    groups, and each event is present in every group."""
+    Most chats may follow the same ticker, so chats are spread over ``spread``
+    groups, and each event is present in every group. Events are few; a cluster
+    with many cores and a ticker with very many chats wants more groups."""
+    since = F.col("subscribed_at") if "subscribed_at" in subscriptions.columns else F.lit(None)
     chats = (
         subscriptions.filter(F.col("subscribed") & (F.col("window") == label))
-        .select("chat_id", "ticker")
-        .withColumn("_group", F.pmod(F.xxhash64("chat_id"), F.lit(SPREAD)))
+        .select("chat_id", "ticker", since.cast("timestamp").alias("_since"))
+        .withColumn("_group", F.pmod(F.xxhash64("chat_id"), F.lit(spread)))
     )
-    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
     return (
         chats.join(events.withColumn("_group", groups), ["ticker", "_group"])
+        .filter(F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since")))
         .select("chat_id", "ticker", "timestamp", "kind", "threshold")
     )
 
@@ -61,6 +73,15 @@ def alerts(
     return for_chats(crossings(newest, entry_threshold, exit_threshold), subscriptions, label)
 
 
+def alerts_of_all_windows(
+    signals: Mapping[str, DataFrame], subscriptions: DataFrame, **options
+) -> DataFrame:
+    """Alerts due for every chat at its own window. ``signals`` has the signals
+    of each window label, over the bars that window is meant for."""
+    due = [alerts(frame, subscriptions, label=label, **options) for label, frame in signals.items()]
+    return reduce(DataFrame.unionByName, due)
+
+
 def not_yet_sent(due: DataFrame, log: DataFrame) -> DataFrame:
     """Leaves out what a chat was already told about this ticker and bar."""
     return due.join(log.select("chat_id", "ticker", "timestamp"), ["chat_id", "ticker", "timestamp"], "left_anti")

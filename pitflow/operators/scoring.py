@@ -1,5 +1,9 @@
-"""Three-class text scoring: native columns, or any model once per partition."""
+"""Three-class text scoring: native columns, or any model once per partition.
 
+Texts are scored whole. A model with a limited input cuts or averages on its own.
+"""
+
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -7,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitflow.schemas import MAX_TOKENS, SCORE_FIELDS, SCORING_BATCH
+from pitflow.schemas import SCORE_FIELDS, SCORING_BATCH
 
 CLASSES = ("positive", "neutral", "negative")
 # A scorer maps texts to rows of (positive, neutral, negative). The factory
@@ -30,31 +34,32 @@ def softmax(logits: Sequence[Column]) -> list[Column]:
     return [e / total for e in exps]
 
 
-def first_tokens(text: Column, max_tokens: int | None) -> Column:
-    """Lower case, cut after ``max_tokens`` tokens (runs of a-z); None keeps all."""
-    lowered = F.lower(text)
-    if max_tokens is None:
-        return lowered
-    return F.regexp_extract(lowered, rf"^(?:[^a-z]*+[a-z]++){{0,{max_tokens}}}+", 0)
+def lexicon(words: Sequence[str]) -> list[str]:
+    """The different words in lower case. Tokens are runs of a-z, so any other
+    word could never match and is refused."""
+    lowered = sorted({w.lower() for w in words})
+    odd = [w for w in lowered if not re.fullmatch("[a-z]+", w)]
+    if odd:
+        raise ValueError(f"not words of letters a-z: {odd}")
+    return lowered
 
 
 def token_hits(tokens: Column, words: Sequence[str]) -> Column:
-    """Tokens that are one of ``words``, counted without building an array."""
-    choice = "|".join(sorted(words))
-    return F.regexp_count(tokens, F.lit(rf"(?<![a-z])(?:{choice})(?![a-z])"))
+    """How many of the tokens are one of ``words``; none of an empty list is.
+    Membership is a hash lookup per token, whatever the number of words."""
+    known = lexicon(words)
+    return F.size(F.filter(tokens, lambda t: t.isin(known))) if known else F.lit(0)
 
 
 def score_texts(
     df: DataFrame,
     positive_words: Sequence[str],
     negative_words: Sequence[str],
-    max_tokens: int | None = MAX_TOKENS,
     neutral_logit: float = 0.0,
 ) -> DataFrame:
     """Adds the three probabilities and the net score, all in the JVM. The
-    logits are counts of lexicon words; scoring reads ``max_tokens`` tokens, as
-    a model with that input length does."""
-    tokens = first_tokens(F.coalesce("text", F.lit("")), max_tokens)
+    logits are counts of lexicon words in the whole text."""
+    tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")
     df = df.withColumn("_tokens", tokens)
     logits = [
         token_hits(F.col("_tokens"), positive_words).cast("double"),
@@ -79,7 +84,8 @@ def score_with(
 
     The model is made once per partition and given at most ``batch_size`` texts
     at a time. Rows keep their columns, so results need no matching by
-    position. ``partitions`` spreads a small input over more model copies.
+    position. Partitions are the input's splits, which follow its size;
+    ``partitions`` is for an input that has too few of them.
     """
     schema = T.StructType(df.schema.fields + SCORE_FIELDS.fields)
     if partitions is not None:
@@ -102,25 +108,20 @@ def score_with(
 def lexicon_scorer(
     positive_words: Sequence[str],
     negative_words: Sequence[str],
-    max_tokens: int | None = MAX_TOKENS,
     neutral_logit: float = 0.0,
 ) -> ScorerFactory:
     """The scorer of ``score_texts`` as a plug-in, the smallest example of one."""
+    sides = (frozenset(lexicon(positive_words)), frozenset(lexicon(negative_words)))
 
     def factory() -> Scorer:
-        import itertools
-        import re
-
         import numpy as np
 
         token = re.compile("[a-z]+")
-        sides = (frozenset(positive_words), frozenset(negative_words))
 
         def scorer(texts: list[str]):
             logits = np.full((len(texts), 3), neutral_logit)
             for row, text in enumerate(texts):
-                found = itertools.islice(token.finditer(text.lower()), max_tokens)
-                words = [m[0] for m in found]
+                words = token.findall(text.lower())
                 logits[row, 0] = sum(w in sides[0] for w in words)
                 logits[row, 2] = sum(w in sides[1] for w in words)
             exps = np.exp(logits - logits.max(axis=1, keepdims=True))

@@ -1,8 +1,11 @@
 """Posts into sentiment buckets, and the small post views."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitflow.functions.cells import placed
 from pitflow.functions.durations import bucket_us, interval_sql
 from pitflow.functions.text import (
     feed_text,
@@ -12,6 +15,7 @@ from pitflow.functions.text import (
     sentiment_label,
     ticker_symbol,
 )
+from pitflow.functions.utc import utc_session
 from pitflow.operators.keyed import latest_per_key
 from pitflow.schemas import BUCKET_WINDOW, FEED_POSTS, FEED_TEXT_LENGTH, RECENT_POSTS
 
@@ -46,10 +50,11 @@ def aggregate_sentiment(scored: DataFrame, window: str = BUCKET_WINDOW) -> DataF
 
     The stamp is the window's end, the first moment its content is known.
     Averages combine before the shuffle, so a hot ticker or a hot window
-    arrives as one partial row per task.
+    arrives as one partial row per task. Posts without ticker or time are in no
+    bucket.
     """
     return stamped_at_end(
-        scored.groupBy("ticker", tumbling(window).alias("window")).agg(*bucket_aggregates())
+        placed(scored).groupBy("ticker", tumbling(window).alias("window")).agg(*bucket_aggregates())
     )
 
 
@@ -87,13 +92,19 @@ def recent_posts(scored: DataFrame, n: int = RECENT_POSTS, ticker: str | None =
 
 
 def post_feed(
-    scored: DataFrame,
+    posts: DataFrame,
     n: int = FEED_POSTS,
     ticker: str | None = None,
     length: int = FEED_TEXT_LENGTH,
+    score: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Recent posts as display fields; text and source are HTML-escaped."""
-    return recent_posts(scored, n, ticker).select(
+    """Recent posts as display fields; text and source are HTML-escaped. With
+    ``score``, posts come unscored and only those shown are scored."""
+    utc_session(posts.sparkSession)
+    shown = recent_posts(posts, n, ticker)
+    if score is not None:
+        shown = score(shown)
+    return shown.select(
         "ticker",
         "id",
         sentiment_label(F.col("sentiment_score")).alias("label"),

@@ -3,15 +3,12 @@
 from pyspark.sql import types as T
 
 # Field names, windows, thresholds and fees users already rely on.
-TICKERS = ("AAPL", "NVDA", "TSLA", "MSFT")
 SOURCES = ("reddit", "news", "twitter")
-MAX_TOKENS = 128
 SCORING_BATCH = 32
 BUCKET_WINDOW = "15m"
 ROLLING_WINDOWS = ("15m", "1h", "4h", "24h")
 SIGNAL_WINDOW = "1h"
 BAR_INTERVALS = {"15m": "15m", "1h": "1h", "4h": "1h", "24h": "1d"}
-BAR_LOOKBACK = "60d"
 ENTRY_THRESHOLD = 0.4
 EXIT_THRESHOLD = -0.2
 LABEL_THRESHOLD = 0.2
@@ -74,6 +71,7 @@ SUBSCRIPTION = T.StructType(
         T.StructField("ticker", T.StringType()),
         T.StructField("window", T.StringType()),
         T.StructField("subscribed", T.BooleanType()),
+        T.StructField("subscribed_at", T.TimestampType()),
     ]
 )
 

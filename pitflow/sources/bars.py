@@ -1,6 +1,7 @@
 """Price bars: normalized from files, or resampled from ticks."""
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pitflow.functions.cells import CELL, DEFAULT_CELL, US, in_cell, over_cells, placed, with_cells
 from pitflow.functions.durations import bucket_us, duration_us, interval_sql
 from pitflow.operators.keyed import latest_per_key
-from pitflow.schemas import BAR, BAR_LOOKBACK
+from pitflow.schemas import BAR
 
 # Names providers use for the two key columns.
 KEY_ALIASES = {"date": "timestamp", "datetime": "timestamp", "symbol": "ticker"}
@@ -38,27 +39,36 @@ def _usable() -> Column:
     return placed_row & F.coalesce((F.col("close") > 0) & ~F.isnan("close"), F.lit(False))
 
 
-def rejected_bars(raw: DataFrame) -> DataFrame:
-    """Bars without key or without a positive close."""
-    return bar_columns(raw).filter(~_usable())
+def _too_late(as_of: datetime | Column | None) -> Column:
+    return F.lit(False) if as_of is None else F.col("timestamp") > F.lit(as_of)
+
+
+def rejected_bars(raw: DataFrame, as_of: datetime | Column | None = None) -> DataFrame:
+    """Bars without key or without a positive close, and those after ``as_of``."""
+    return bar_columns(raw).filter(~_usable() | F.coalesce(_too_late(as_of), F.lit(False)))
 
 
 def normalize_bars(
     raw: DataFrame,
     tickers: Sequence[str] | None = None,
-    lookback: str | None = BAR_LOOKBACK,
+    lookback: str | None = None,
+    as_of: datetime | Column | None = None,
     order: Sequence[str] = ("volume", "close", "open", "high", "low"),
 ) -> DataFrame:
-    """Usable bars of the wanted tickers within ``lookback`` of the newest one,
-    one per (ticker, timestamp). Tickers without bars just do not appear."""
-    bars = bar_columns(raw).filter(_usable())
+    """Usable bars of the wanted tickers, one per (ticker, timestamp). Tickers
+    without bars just do not appear.
+
+    ``as_of`` leaves out bars of later times, ``lookback`` those longer ago than
+    that; it needs an ``as_of``, as a wrong stamp on one bar must not move the
+    range of all others."""
+    if lookback is not None and as_of is None:
+        raise ValueError("lookback needs as_of")
+    bars = bar_columns(raw).filter(_usable() & ~_too_late(as_of))
     if tickers is not None:
         bars = bars.filter(F.col("ticker").isin(list(tickers)))
     if lookback is not None:
-        newest = bars.agg(F.max("timestamp").alias("newest")).scalar()
-        bars = bars.filter(
-            F.col("timestamp") >= newest - F.expr(f"interval {interval_sql(duration_us(lookback))}")
-        )
+        reach = F.expr(f"interval {interval_sql(duration_us(lookback))}")
+        bars = bars.filter(F.col("timestamp") >= F.lit(as_of) - reach)
     return latest_per_key(bars, ["ticker", "timestamp"], [F.col(c).desc() for c in order])
 
 

@@ -3,9 +3,13 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitflow.functions.utc import utc_session
 from pitflow.schemas import RAW_FIELDS, WIRE_POST
 
 
+ISO = r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
+
+
 def read_post_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options) -> DataFrame:
     """A stream of bus records with a ``value`` column. Kafka starts at the
     latest offsets and goes on after data loss, unless options say otherwise."""
@@ -20,12 +24,15 @@ def read_post_stream(spark: SparkSession, fmt: str = "kafka", path: str | None =
 
 def _parsed(records: DataFrame) -> DataFrame:
     """Wire fields next to the text they came from, the timestamp both as sent
-    and as parsed. Malformed JSON gives nulls, it does not raise."""
+    and as parsed. Malformed JSON gives nulls, it does not raise; nor does a
+    timestamp that is no ISO date and time. A time alone is none: it would mean
+    another day on each replay."""
+    utc_session(records.sparkSession)
     parsed = records.select(F.col("value").cast("string").alias("value")).select(
         "value", F.inline(F.array(F.from_json("value", WIRE_POST)))
     )
     return parsed.withColumn("sent", F.col("timestamp")).withColumn(
-        "timestamp", F.try_to_timestamp("timestamp")
+        "timestamp", F.when(F.col("timestamp").rlike(ISO), F.try_to_timestamp("timestamp"))
     )
 
 
@@ -40,7 +47,10 @@ def _reject_reason() -> Column:
         nothing = nothing & field.isNull()
     reason = F.when(nothing, "malformed")
     for name, field in zip(RAW_FIELDS, fields):
-        reason = reason.when(field.isNull(), f"missing {name}")
+        blank = field.isNull()
+        if name in ("id", "ticker"):  # keys: a blank one would read back as null
+            blank = blank | (F.trim(field) == "")
+        reason = reason.when(blank, f"missing {name}")
     return reason.when(F.col("timestamp").isNull(), "bad timestamp")
 
 
@@ -69,4 +79,5 @@ def serialize_posts(posts: DataFrame) -> DataFrame:
 
 
 def with_date(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
+    utc_session(df.sparkSession)
     return df.withColumn("date", F.to_date(timestamp))

@@ -33,20 +33,31 @@ def batch_path(root: str, batch_id: int, feed: str = DEFAULT_FEED) -> str:
     return f"{root}/feed={feed}/batch_id={batch_id}"
 
 
+def _by_content(df: DataFrame, *known: str) -> list[Column]:
+    """All other columns, newest timestamp first: which row counts must not
+    depend on the order in which rows arrive."""
+    names = [n for n, kind in df.dtypes if n not in known and "map<" not in kind and kind != "variant"]
+    return [F.col(n).desc() for n in sorted(names, key=lambda n: (n != "timestamp", n))]
+
+
 def write_batch(
     df: DataFrame,
     root: str,
     batch_id: int = 0,
     feed: str = DEFAULT_FEED,
     observation: Observation | None = None,
+    key: Sequence[str] | None = None,
 ) -> None:
     """Writes or replaces one batch. An empty one is written too: it clears
-    what an earlier attempt left.
+    what an earlier attempt left. With ``key``, of several rows with one key
+    only the later and then the greater one is written.
 
     The rebalance hint gathers the rows of a date and ticker into few files and
     still splits a date and ticker that is too big for one task. Pass an
     ``Observation`` to get the row count out of the same job."""
     df = with_date(df)
+    if key is not None:
+        df = latest_per_key(df, list(key), _by_content(df, *key))
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows"))
     (
@@ -72,34 +83,44 @@ def table_schema(row: T.StructType) -> T.StructType:
     )
 
 
-def read_path(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet under ``path``, or no rows while nothing was written there."""
+def read_path(
+    spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False
+) -> DataFrame:
+    """Parquet under ``path``. Where nothing was written, an error, or no rows
+    for a caller that expects as much: a mistyped path must not read as empty."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not missing_ok or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
 def read_batches(
-    spark: SparkSession, root: str, row: T.StructType, upto_batch: int | None = None
+    spark: SparkSession,
+    root: str,
+    row: T.StructType,
+    upto_batch: int | None = None,
+    missing_ok: bool = False,
 ) -> DataFrame:
     """All rows of all batches. Files without a later-added column give nulls."""
-    batches = read_path(spark, root, table_schema(row))
+    batches = read_path(spark, root, table_schema(row), missing_ok)
     if upto_batch is not None:
         batches = batches.filter(F.col("batch_id") <= upto_batch)
     return batches
 
 
 def current(batches: DataFrame, key: Sequence[str], feeds: Sequence[str] = (DEFAULT_FEED,)) -> DataFrame:
-    """The newest version of each key: last feed, then last batch.
+    """The newest version of each key: last feed, then last batch. A batch holds
+    a key once if it was written with ``key``. ``feeds`` has to name every feed
+    of the table, oldest first; an unnamed one is an error.
 
     Filter on key columns before or after, as Spark pushes those. Filter on
     anything else only afterwards: an older version of a row that moved would
     come back otherwise."""
-    order = F.lit(-1)
+    order = F.lit(0)
     if "feed" in batches.columns:
+        order = F.raise_error(F.concat(F.lit("feed not in feeds: "), F.col("feed"))).cast("int")
         for position, feed in enumerate(feeds):
             order = F.when(F.col("feed") == feed, position).otherwise(order)
     newest: list[Column] = [order.desc(), F.col("batch_id").desc()]
@@ -107,9 +128,11 @@ def current(batches: DataFrame, key: Sequence[str], feeds: Sequence[str] = (DEFA
 
 
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``source`` rows replace ``target`` rows of the same key, others are added."""
+    """``source`` rows replace ``target`` rows of the same key, others are added.
+    Of several source rows with one key, the later and then the greater counts."""
     both = target.withColumn("batch_id", F.lit(0)).unionByName(source.withColumn("batch_id", F.lit(1)))
-    return latest_per_key(both, list(key), [F.col("batch_id").desc()]).drop("batch_id")
+    newest = [F.col("batch_id").desc(), *_by_content(both, *key, "batch_id")]
+    return latest_per_key(both, list(key), newest).drop("batch_id")
 
 
 def compact(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 
+from pitflow.functions.cells import placed
 from pitflow.operators.sentiment import bucket_aggregates, stamped_at_end, tumbling
 from pitflow.schemas import BUCKET_WINDOW, WATERMARK
 
@@ -15,7 +16,8 @@ def bucket_stream(
     Posts later than the watermark are left out here. They are in the tables,
     so the batch aggregate over the tables has them."""
     return stamped_at_end(
-        scored.withWatermark("timestamp", watermark)
+        placed(scored)
+        .withWatermark("timestamp", watermark)
         .groupBy("ticker", tumbling(window).alias("window"))
         .agg(*bucket_aggregates())
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitflow.functions.shared import shared_folder
-from pitflow.operators.alerts import alerts, crossings, for_chats, latest_signal, not_yet_sent
+from pitflow.operators.alerts import alerts, alerts_of_all_windows, crossings, for_chats, latest_signal, not_yet_sent
 from pitflow.operators.signals import generate_signals
 from pitflow.schemas import ALERT, SUBSCRIPTION
 from pitflow.sources.tables import read_batches
@@ -19,7 +19,7 @@ def signals(spark, *rows):
 
 
 def chats(spark, *rows):
-    return spark.createDataFrame(rows, SUBSCRIPTION)
+    return spark.createDataFrame([(*r, *[None] * (5 - len(r))) for r in rows], SUBSCRIPTION)
 
 
 SUBSCRIBED = (
@@ -70,9 +70,71 @@ def test_batches_find_the_same_crossings_as_the_whole(spark, cuts):
     subscribed = chats(spark, *SUBSCRIBED)
     for batch, (start, end) in enumerate(zip(cuts, cuts[1:])):
         for _ in range(2):  # each batch runs twice
-            alert_batch(spark.createDataFrame(rows[start:end], schema), batch, subscribed, tables)
+            alert_batch(spark.createDataFrame(rows[start:end], schema), batch, lambda: subscribed, tables)
     logged = read_batches(spark, tables.log, ALERT)
     expected = for_chats(crossings(generate_signals(spark.createDataFrame(rows, schema))), subscribed)
     columns = ["chat_id", "ticker", "timestamp", "kind", "threshold"]
     as_rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert as_rows(logged) == as_rows(expected)
+
+
+SCHEMA = "ticker string, timestamp timestamp, sentiment_roll_1h double"
+
+
+def bar(hour, value, ticker="A"):
+    return (ticker, plus("10:00", 60 * hour), value)
+
+
+def run(spark, tables, batch, rows, subscribed, **options):
+    alert_batch(spark.createDataFrame(rows, SCHEMA), batch, lambda: chats(spark, *subscribed), tables, **options)
+
+
+def sent(spark, tables):
+    rows = read_batches(spark, tables.log, ALERT).collect()
+    return sorted((r.chat_id, (r.timestamp - at("10:00").replace(tzinfo=None)).total_seconds() // 3600, r.kind) for r in rows)
+
+
+@pytest.fixture
+def tables(spark):
+    root = shared_folder(spark, "alerts")
+    return AlertTables(f"{root}/log", f"{root}/last")
+
+
+ONE = ((1, "A", "1h", True),)
+
+
+def test_a_bar_sent_again_replaces_the_older_version(spark, tables):
+    run(spark, tables, 0, [bar(0, 0.1), bar(1, 0.3)], ONE)
+    run(spark, tables, 1, [bar(1, 0.5), bar(2, 0.6)], ONE)
+    assert sent(spark, tables) == [(1, 1, "entry")]
+
+
+def test_a_late_bar_takes_its_place(spark, tables):
+    run(spark, tables, 0, [bar(0, 0.1), bar(4, 0.2)], ONE)
+    run(spark, tables, 1, [bar(2, 0.7)], ONE)
+    run(spark, tables, 2, [bar(5, 0.1), bar(-30, 0.9)], ONE)  # the last one is too old
+    assert sent(spark, tables) == [(1, 2, "entry")]
+
+
+def test_chats_are_read_in_each_batch_and_not_told_the_past(spark, tables):
+    run(spark, tables, 0, [bar(0, 0.1), bar(1, 0.5)], ONE)
+    new = (2, "A", "1h", True, plus("10:00", 150))
+    run(spark, tables, 1, [bar(1, 0.5), bar(2, 0.1), bar(3, 0.6)], (*ONE, new))
+    assert sent(spark, tables) == [(1, 1, "entry"), (1, 3, "entry"), (2, 3, "entry")]
+
+
+def test_a_new_feed_goes_on_from_the_last_one(spark, tables):
+    for batch, rows in enumerate([[bar(0, 0.1)], [bar(1, 0.2)], [bar(2, 0.3)]]):
+        run(spark, tables, batch, rows, ONE)
+    run(spark, tables, 0, [bar(3, 0.6)], ONE, feed="second")
+    assert sent(spark, tables) == [(1, 3, "entry")]
+
+
+def test_each_chat_at_its_own_window(spark):
+    frames = {
+        "1h": signals(spark, ("A", at("10:00"), True, False)),
+        "4h": signals(spark, ("A", at("08:00"), False, True)),
+        "24h": signals(spark, ("A", at("00:00"), False, False)),
+    }
+    due = alerts_of_all_windows(frames, chats(spark, *SUBSCRIBED, (6, "A", "24h", True)))
+    assert sorted((r.chat_id, r.kind) for r in due.collect()) == [(1, "entry"), (2, "entry"), (3, "exit")]

@@ -12,7 +12,7 @@ from pitflow.operators.sentiment import dedupe_posts, normalize_tickers, post_fe
 from pitflow.operators.views import chart_series
 from pitflow.schemas import RAW_FIELDS, RAW_POST
 from pitflow.sources.bars import normalize_bars, rejected_bars, resample
-from pitflow.sources.posts import parse_posts, rejected_posts, serialize_posts, valid_posts
+from pitflow.sources.posts import parse_posts, rejected_posts, serialize_posts, valid_posts, with_date
 from tests.helpers import at, ordered, plus
 
 GOOD = {"id": "1", "ticker": "A", "timestamp": "2024-01-02T10:00:00+02:00", "source": "news", "text": "up"}
@@ -109,26 +109,62 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("max_tokens", [128, 3, None])
-def test_plugged_in_scorer_equals_native_columns(spark, max_tokens):
+WORD_LISTS = [
+    (fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS),
+    ((), ("and",)),
+    (("The", "OF"), ()),
+    (tuple(a + b + c for a in "abcdefghijklmn" for b in "opqrstuvwxyz" for c in "aeiouxyzbcdfghj") + ("x",), ("the",)),
+]
+
+
+@pytest.mark.parametrize("words", WORD_LISTS, ids=["usual", "empty", "upper case", "2521 words"])
+def test_plugged_in_scorer_equals_native_columns(spark, words):
     posts = spark.createDataFrame(TEXTS, "id string, text string")
-    words = (fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS)
-    native = score_texts(posts, *words, max_tokens).orderBy("id").collect()
-    plugged = score_with(posts, lexicon_scorer(*words, max_tokens), batch_size=2, partitions=3).orderBy("id").collect()
+    native = score_texts(posts, *words).orderBy("id").collect()
+    plugged = score_with(posts, lexicon_scorer(*words), batch_size=2, partitions=3).orderBy("id").collect()
     for a, b in zip(native, plugged, strict=True):
         assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:])
         assert sum(tuple(a)[2:5]) == pytest.approx(1)
 
 
-def test_only_the_first_tokens_count(spark):
-    posts = spark.createDataFrame(TEXTS, "id string, text string")
-    score = {
-        (r.id, n): r.positive
-        for n in (128, None)
-        for r in score_texts(posts, ["the"], ["and"], n).collect()
-    }
-    assert score["5", 128] < score["5", None]
-    assert score["2", 128] == score["3", 128] == pytest.approx(1 / 3)
+def test_whole_texts_count(spark):
+    rows = [("1", "word " * 5000 + "bad " * 5), ("2", ""), ("3", None), ("4", "bad good")]
+    posts = spark.createDataFrame(rows, "id string, text string")
+    found = {r.id: r for r in score_texts(posts, [], ["bad"]).collect()}
+    assert found["1"].sentiment_score < -0.9 and found["4"].sentiment_score < 0
+    assert found["2"].positive == found["3"].positive == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize("word", ["g..d", "a(", "two words", "", "naïve"])
+def test_words_that_no_token_can_be_are_refused(spark, word):
+    with pytest.raises(ValueError):
+        score_texts(spark.createDataFrame(TEXTS, "id string, text string"), [word], ["bad"])
+    with pytest.raises(ValueError):
+        lexicon_scorer(["good"], [word])
+
+
+def test_blank_keys_and_times_without_a_date_are_rejected(spark):
+    def record(**fields):
+        good = {"id": "1", "ticker": "A", "timestamp": "2024-01-02T10:00:00Z", "source": "news", "text": "t"}
+        return (json.dumps({**good, **fields}),)
+
+    rows = [record(), record(id=" "), record(ticker=""), record(timestamp="10:00"), record(timestamp="2024-01-02")]
+    records = spark.createDataFrame(rows, "value string")
+    assert sorted(r.reason for r in rejected_posts(records).collect()) == [
+        "bad timestamp", "bad timestamp", "missing id", "missing ticker",
+    ]
+    assert valid_posts(records).count() == 1
+
+
+def test_another_session_zone_is_refused(spark):
+    posts = spark.createDataFrame([("1", "A", at("10:00"))], "id string, ticker string, timestamp timestamp")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for call in (with_date, lambda df: parse_posts(df.select(F.col("id").alias("value")))):
+            with pytest.raises(ValueError, match="UTC"):
+                call(posts)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_scorer_gets_batches_of_the_asked_size_and_no_empty_ones(spark):
@@ -154,10 +190,14 @@ def test_bars_from_a_provider(spark):
     raw = spark.createDataFrame(rows, "Symbol string, Date string, Close double").withColumns(
         {"Open": F.lit(1), "HIGH": F.lit(1), "low": F.lit(1), "Volume": F.lit(5)}
     )
-    kept = normalize_bars(raw, lookback=None)
+    kept = normalize_bars(raw)
     assert kept.columns == ["ticker", "timestamp", "open", "high", "low", "close", "volume"]
     assert ordered(kept, "ticker", "close") == [("A", 1.0), ("B", 2.0)]
-    assert ordered(normalize_bars(raw, lookback="1h"), "ticker") == ["A"]
+    assert ordered(normalize_bars(raw, lookback="1h", as_of=at("10:30")), "ticker") == ["A"]
+    assert ordered(normalize_bars(raw, as_of=at("2024-01-01 00:00")), "ticker") == ["B"]
+    assert rejected_bars(raw, as_of=at("2024-01-01 00:00")).count() == 6
+    with pytest.raises(ValueError):
+        normalize_bars(raw, lookback="1h")
     assert normalize_bars(raw, ["Z"]).count() == 0
     assert rejected_bars(raw).count() == 4
     with pytest.raises(ValueError):

@@ -1,6 +1,7 @@
 """Batch-keyed tables: replays, moved keys, empty batches, compaction."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -52,6 +53,24 @@ def test_upsert_moves_a_row_to_its_new_date(spark, root):
     assert texts(plain) == texts(found)
 
 
+def test_ties_do_not_depend_on_row_order(spark, root):
+    twice = [("1", "A", "2024-01-02 10:00", "a"), ("1", "A", "2024-01-02 10:00", "b"), ("1", "A", "2024-01-02 09:00", "z")]
+    for rows in (twice, twice[::-1]):
+        assert texts(upsert(posts(spark), posts(spark, *rows), POST_KEY)) == [("1", "b")]
+        write_batch(posts(spark, *rows), root, 0, key=POST_KEY)
+        assert texts(read_batches(spark, root, RAW_POST)) == [("1", "b")]
+
+
+def test_unnamed_feeds_and_missing_tables_are_errors(spark, root):
+    with pytest.raises(AnalysisException):
+        read_batches(spark, root, RAW_POST)
+    assert read_batches(spark, root, RAW_POST, missing_ok=True).count() == 0
+    write_batch(posts(spark, *FIRST), root, 0)
+    write_batch(posts(spark, *MOVED), root, 0, "v2")
+    with pytest.raises(Exception, match="feed not in feeds: v2"):
+        read(spark, root).collect()
+
+
 @pytest.mark.parametrize("replay", [MOVED, MOVED[:1], MOVED[1:], []])
 def test_a_replayed_batch_leaves_exactly_its_last_attempt(spark, root, replay):
     write_batch(posts(spark, *FIRST), root, 0)
@@ -68,8 +87,8 @@ def test_later_feed_wins_although_its_batches_restart(spark, root):
     assert read_batches(spark, root, RAW_POST, upto_batch=0).count() == 2
 
 
-def test_a_table_nobody_wrote_is_empty(spark, root):
-    assert read(spark, root).count() == 0
+def test_a_table_nobody_wrote_is_empty_if_that_is_expected(spark, root):
+    assert current(read_batches(spark, root, RAW_POST, missing_ok=True), POST_KEY).count() == 0
 
 
 def test_rows_are_counted_by_the_write_itself(spark, root):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from importlib.util import find_spec
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import oracle
@@ -15,7 +15,7 @@ from pitflow.functions.shared import shared_folder
 from pitflow.operators import alerts as al
 from pitflow.operators import asof, backtest, scoring, sentiment, signals, views
 from pitflow.plans import research
-from pitflow.schemas import ALERT, BAR_INTERVALS, SCORED_POST
+from pitflow.schemas import ALERT, BAR_INTERVALS, BUCKET, SCORED_POST
 from pitflow.sources import bars as bar_source
 from pitflow.sources import posts as post_source
 from pitflow.sources import tables
@@ -404,6 +404,74 @@ def bucket_stream(spark, sf_dir):
     return rounded(spark.read.schema(stream.schema).parquet(f"{root}/buckets"))
 
 
+def in_files(posts: DataFrame, path: str, overlap: str = "0 minutes") -> None:
+    """Posts in three files in the order of time, each beginning ``overlap``
+    before the end of the one before."""
+    cuts = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+    for start, end in zip(cuts, cuts[1:]):
+        part = posts.filter(
+            f"timestamp >= timestamp'{start}' - interval {overlap} and timestamp < timestamp'{end}'"
+        )
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def bucket_table(spark, sf_dir):
+    """All buckets, kept by a stream in update mode over three files."""
+    root = shared_folder(spark, "bucket-table")
+    posts = Inputs(spark, sf_dir).posts()
+    in_files(posts, f"{root}/posts")
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
+    bucket_job.start_bucket_table(stream, f"{root}/table", f"{root}/checkpoint", trigger=ONCE).awaitTermination()
+    stored = tables.current(tables.read_batches(spark, f"{root}/table", BUCKET), tables.BAR_KEY)
+    return rounded(stored.select(*BUCKET.names))
+
+
+def dedupe_stream(spark, sf_dir):
+    """Three files, the last half hour of one sent again in the next."""
+    root = shared_folder(spark, "dedupe")
+    posts = Inputs(spark, sf_dir).posts().select("id", "ticker", "timestamp", "source")
+    in_files(posts, f"{root}/posts", "30 minutes")
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
+    (
+        ingest_job.dedupe_stream(stream)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(**ONCE)
+        .start(f"{root}/out")
+        .awaitTermination()
+    )
+    return spark.read.schema(posts.schema).parquet(f"{root}/out")
+
+
+def post_stream(spark, sf_dir):
+    """Bus records in several files, through the stream source to valid posts."""
+    root = shared_folder(spark, "bus")
+    wire = Inputs(spark, sf_dir).wire()
+    wire.select(F.col("value").cast("string")).repartition(4).write.text(f"{root}/records")
+    records = post_source.read_post_stream(spark, "text", f"{root}/records", maxFilesPerTrigger=1)
+    valid = post_source.valid_posts(records)
+    (
+        valid.writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(**ONCE)
+        .start(f"{root}/posts")
+        .awaitTermination()
+    )
+    return spark.read.schema(valid.schema).parquet(f"{root}/posts")
+
+
+def written_rows(spark, sf_dir):
+    """Row counts that the writes of two batches report themselves."""
+    inputs = Inputs(spark, sf_dir)
+    root = shared_folder(spark, "counted")
+    counts = []
+    for batch_id, rows in enumerate((inputs.posts(), inputs.resent_posts())):
+        seen = Observation(f"batch {batch_id}")
+        tables.write_batch(rows, root, batch_id, observation=seen)
+        counts.append((batch_id, seen.get["rows"]))
+    return spark.createDataFrame(counts, "batch_id int, rows long")
+
+
 def alert_stream(spark, sf_dir):
     """Rolled bars in three batches, the second with a day of the first again,
     against the subscribed chats."""
@@ -483,6 +551,10 @@ def queries() -> dict[str, Query]:
         "compacted_posts": compacted_posts,
         "ingest_stream": ingest_stream,
         "bucket_stream": bucket_stream,
+        "bucket_table": bucket_table,
+        "dedupe_stream": dedupe_stream,
+        "post_stream": post_stream,
+        "written_rows": written_rows,
         "alert_stream": alert_stream,
         **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }

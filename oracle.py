@@ -353,6 +353,13 @@ SELECT ticker, timestamp, round((value - 1) * 100, 4) AS strategy_pct,
         "backtest_summary_users": _backtest_query("1h", "1h", "user_id"),
         "alerts": due,
         "alerts_new": f"SELECT * FROM ({due}) WHERE chat_id % 4 <> 0",
+        "bucket_table": _bucket_query("15m"),
+        "dedupe_stream": f"WITH {posts}\nSELECT id, ticker, timestamp, source FROM posts",
+        "post_stream": f"""WITH {posts}
+SELECT {_FIELDS} FROM posts JOIN events ON CAST(event_id AS VARCHAR) = id WHERE NOT {_LATE_CUT}""",
+        "written_rows": f"""WITH {posts},
+{_RESENT}
+SELECT 0 AS batch_id, count(*) AS rows FROM posts UNION ALL SELECT 1, count(*) FROM resent""",
         "alert_history": f"WITH {hourly},\n{_CROSSINGS}\nSELECT ticker, timestamp, kind, threshold FROM crossings",
         "alert_stream": f"""WITH {hourly},
 {_SUBSCRIPTIONS},

@@ -63,6 +63,17 @@ BAR = T.StructType(
     ]
 )
 
+BUCKET = T.StructType(
+    [
+        T.StructField("ticker", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("avg_sentiment", T.DoubleType()),
+        T.StructField("post_count", T.LongType()),
+        T.StructField("avg_positive", T.DoubleType()),
+        T.StructField("avg_negative", T.DoubleType()),
+    ]
+)
+
 BUCKET_COLUMNS = ("avg_sentiment", "post_count", "avg_positive", "avg_negative")
 
 SUBSCRIPTION = T.StructType(

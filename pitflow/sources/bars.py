@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,18 +73,26 @@ def normalize_bars(
     return latest_per_key(bars, ["ticker", "timestamp"], [F.col(c).desc() for c in order])
 
 
+def tick_order() -> Column:
+    """Time, then tick_id, as one number. Unlike a pair it fits the fixed-width
+    buffers of hash aggregation, so ticks are not sorted to be aggregated."""
+    us = F.unix_micros("timestamp").cast("decimal(18,0)")
+    step = F.lit(Decimal(2 * 10**19))  # above the range of tick ids
+    return (us * step + F.col("tick_id").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def resample(ticks: DataFrame, interval: str) -> DataFrame:
     """OHLCV bars from ticks (ticker, timestamp, tick_id, price, size), stamped
-    at the window's start. Ticks combine before the shuffle."""
-    order = F.struct("timestamp", "tick_id")
+    at the window's start; tick_id is a whole number. Ticks combine before the
+    shuffle."""
     return (
         placed(ticks)
         .groupBy("ticker", F.window("timestamp", interval_sql(bucket_us(interval))).alias("window"))
         .agg(
-            F.min_by("price", order).alias("open"),
+            F.min_by("price", tick_order()).alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
+            F.max_by("price", tick_order()).alias("close"),
             F.sum("size").alias("volume"),
         )
         .select(

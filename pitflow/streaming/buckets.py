@@ -1,10 +1,12 @@
 """Sentiment buckets kept up to date by a stream."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from pitflow.functions.cells import placed
 from pitflow.operators.sentiment import bucket_aggregates, stamped_at_end, tumbling
-from pitflow.schemas import BUCKET_WINDOW, WATERMARK
+from pitflow.schemas import BUCKET_WINDOW, TRIGGER, WATERMARK
+from pitflow.sources.tables import BAR_KEY, DEFAULT_FEED, write_batch
 
 
 def bucket_stream(
@@ -21,3 +23,24 @@ def bucket_stream(
         .groupBy("ticker", tumbling(window).alias("window"))
         .agg(*bucket_aggregates())
     )
+
+
+def start_bucket_table(
+    scored: DataFrame,
+    root: str,
+    checkpoint: str,
+    window: str = BUCKET_WINDOW,
+    watermark: str = WATERMARK,
+    trigger: dict | None = None,
+    feed: str = DEFAULT_FEED,
+) -> StreamingQuery:
+    """Keeps a table of all buckets, open ones too: each batch upserts those
+    that grew. ``current`` over the table is the batch aggregate of the posts."""
+    return (
+        bucket_stream(scored, window, watermark)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda grown, batch_id: write_batch(grown, root, batch_id, feed, key=BAR_KEY))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": TRIGGER}))
+        .start()
+    )

@@ -28,6 +28,7 @@ def test_keys_are_cut_before_the_shuffle(spark, name):
 def test_aggregates_combine_before_the_shuffle(spark, name):
     text = plan(spark, name)
     assert text.count("Exchange") == 1 and "partial_" in text.split("Exchange")[1]
+    assert "SortAggregate" not in text and "Sort [" not in text
 
 
 @pytest.mark.parametrize("name", ["signal_frame", "chart_series", "equity_curve", "backtest_summary"])

@@ -352,13 +352,16 @@ def alert_history(spark, sf_dir):
 
 
 def stored_posts(spark, sf_dir):
-    """Two batches written to a table, the second one twice, then read back."""
+    """A batch compacted to a base, and a later batch, written twice, over it."""
     inputs = Inputs(spark, sf_dir)
-    root = shared_folder(spark, "posts")
+    root, base = shared_folder(spark, "posts"), shared_folder(spark, "base")
     tables.write_batch(inputs.posts(), root, 0)
+    tables.compact(tables.current(tables.read_batches(spark, root, SCORED_POST), tables.POST_KEY), base)
     tables.write_batch(inputs.posts(), root, 1)
     tables.write_batch(inputs.resent_posts(), root, 1)
-    stored = tables.current(tables.read_batches(spark, root, SCORED_POST), tables.POST_KEY)
+    batches = tables.read_batches(spark, root, SCORED_POST)
+    later = tables.current(batches.filter("batch_id > 0"), tables.POST_KEY)
+    stored = tables.over_base(tables.read_batches(spark, base, SCORED_POST), later, tables.POST_KEY)
     return rounded(stored.select("id", "ticker", "timestamp", "sentiment_score"))
 
 
@@ -379,11 +382,12 @@ def ingest_stream(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
     root = shared_folder(spark, "ingest")
     records = fixtures.wire_posts(fixtures.document_posts(inputs.stream("documents")))
-    target = ingest_job.PostTables(f"{root}/raw", f"{root}/scored", f"{root}/rejected")
+    target = ingest_job.PostTables(f"{root}/raw", f"{root}/scored", f"{root}/rejected", f"{root}/progress")
     ingest_job.start_ingest(
         records, target, lexicon_scored, f"{root}/checkpoint", ONCE
     ).awaitTermination()
-    stored = tables.current(tables.read_batches(spark, target.scored, SCORED_POST), tables.POST_KEY)
+    batches = tables.read_batches(spark, target.scored, SCORED_POST)
+    stored = tables.current(tables.finished_batches(batches, target.progress), tables.POST_KEY)
     return rounded(stored.drop("text", "feed", "batch_id", "date"))
 
 

@@ -110,6 +110,39 @@ def read_batches(
     return batches
 
 
+PROGRESS = T.StructType([T.StructField("finished_at", T.TimestampType())])
+
+
+def mark_started(spark: SparkSession, root: str, batch_id: int, feed: str = DEFAULT_FEED) -> None:
+    """Hides a batch from ``finished_batches`` while its folders are replaced."""
+    spark.createDataFrame([], PROGRESS).write.mode("overwrite").parquet(batch_path(root, batch_id, feed))
+
+
+def mark_finished(spark: SparkSession, root: str, batch_id: int, feed: str = DEFAULT_FEED) -> None:
+    now = spark.range(1).select(F.current_timestamp().alias("finished_at")).coalesce(1)
+    now.write.mode("overwrite").parquet(batch_path(root, batch_id, feed))
+
+
+def finished_batches(batches: DataFrame, progress: str) -> DataFrame:
+    """The rows of batches whose job came to its end; ``progress`` is the folder
+    the job marks them in. A reader beside a running stream sees whole batches
+    only, and none while it is written once more."""
+    schema = T.StructType(
+        PROGRESS.fields + [T.StructField("feed", T.StringType()), T.StructField("batch_id", T.LongType())]
+    )
+    done = read_path(batches.sparkSession, progress, schema, missing_ok=True)
+    return batches.join(done.select("feed", "batch_id"), ["feed", "batch_id"], "left_semi")
+
+
+def over_base(base: DataFrame, later: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Current rows of a compacted base and of the batches after it, both with
+    one row per key. Only keys of the later rows, which are few, meet the base;
+    its rows keep their order and partitions."""
+    names = [c for c in base.columns if c not in ("feed", "batch_id")]
+    untouched = base.join(later.select(*key), list(key), "left_anti")
+    return untouched.select(*names).unionByName(later.select(*names))
+
+
 def current(batches: DataFrame, key: Sequence[str], feeds: Sequence[str] = (DEFAULT_FEED,)) -> DataFrame:
     """The newest version of each key: last feed, then last batch. A batch holds
     a key once if it was written with ``key``. ``feeds`` has to name every feed

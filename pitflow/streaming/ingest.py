@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pitflow.operators.sentiment import dedupe_posts
 from pitflow.schemas import RAW_FIELDS, TRIGGER, WATERMARK
 from pitflow.sources.posts import with_reject_reason
-from pitflow.sources.tables import DEFAULT_FEED, batch_path, write_batch
+from pitflow.sources.tables import DEFAULT_FEED, batch_path, mark_finished, mark_started, write_batch
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,7 @@ class PostTables:
     raw: str
     scored: str
     rejected: str
+    progress: str
 
 
 def ingest_batch(
@@ -28,15 +29,18 @@ def ingest_batch(
     feed: str = DEFAULT_FEED,
 ) -> None:
     """Every table gets this batch's folder replaced, so running a batch again
-    changes nothing. Records are read and parsed once, the model sees each post
+    changes nothing; readers of ``finished_batches`` see it before or after, not
+    in between. Records are read and parsed once, the model sees each post
     once, and an empty batch never reaches it."""
     checked = with_reject_reason(records).persist()
     posts = dedupe_posts(checked.filter("reason is null").select(*RAW_FIELDS)).persist()
+    mark_started(records.sparkSession, tables.progress, batch_id, feed)
     try:
         rejected = checked.filter("reason is not null").select("value", "reason")
         rejected.write.mode("overwrite").parquet(batch_path(tables.rejected, batch_id, feed))
         write_batch(posts, tables.raw, batch_id, feed)
         write_batch(score(posts), tables.scored, batch_id, feed)
+        mark_finished(records.sparkSession, tables.progress, batch_id, feed)
     finally:
         posts.unpersist()
         checked.unpersist()

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pitflow.functions.shared import shared_folder
 from pitflow.operators.scoring import score_texts
 from pitflow.operators.sentiment import aggregate_sentiment
-from pitflow.schemas import RAW_POST, REJECTED_POST, SCORED_POST
+from pitflow.schemas import BUCKET, RAW_POST, REJECTED_POST, SCORED_POST
 from pitflow.sources.posts import read_post_stream
-from pitflow.sources.tables import POST_KEY, current, read_batches
-from pitflow.streaming.buckets import bucket_stream
+from pitflow.sources.tables import BAR_KEY, POST_KEY, current, finished_batches, read_batches
+from pitflow.streaming.buckets import bucket_stream, start_bucket_table
 from pitflow.streaming.ingest import PostTables, dedupe_stream, ingest_batch, start_ingest
 from tests.helpers import ordered, plus, scored
 
@@ -37,7 +37,7 @@ def write_values(spark, path, values):
 @pytest.fixture
 def tables(spark):
     root = shared_folder(spark, "ingest")
-    return PostTables(f"{root}/raw", f"{root}/scored", f"{root}/rejected")
+    return PostTables(f"{root}/raw", f"{root}/scored", f"{root}/rejected", f"{root}/progress")
 
 
 def stored(spark, root, schema):
@@ -73,6 +73,29 @@ def test_a_batch_run_again_changes_nothing(spark, tables):
     assert read_batches(spark, tables.scored, SCORED_POST).count() == 2
 
 
+def test_readers_see_finished_batches_only(spark, tables):
+    frame = lambda *values: spark.createDataFrame([(v,) for v in values], "value string")
+    seen = lambda: finished_batches(read_batches(spark, tables.scored, SCORED_POST), tables.progress).count()
+    ingest_batch(frame(value(1), value(2)), 0, tables, lexicon)
+    during = []
+
+    def watching(posts):
+        during.append(seen())
+        return lexicon(posts)
+
+    ingest_batch(frame(value(3)), 1, tables, watching)
+    assert seen() == 3
+    ingest_batch(frame(value(3)), 1, tables, watching)  # the first batch stays visible, this one hides
+    assert during == [2, 2] and seen() == 3
+
+    def failing(posts):
+        raise RuntimeError("model lost")
+
+    with pytest.raises(RuntimeError):
+        ingest_batch(frame(value(4)), 2, tables, failing)
+    assert seen() == 3
+
+
 def post_files(spark, groups):
     path = shared_folder(spark, "scored")
     for group in groups:
@@ -147,3 +170,16 @@ def test_kafka_options_pass_through(spark):
     """The connector is not on the class path here, so only its absence shows."""
     with pytest.raises(Exception, match="(?i)kafka"):
         read_post_stream(spark, "kafka", **{"kafka.bootstrap.servers": "nowhere:9092", "subscribe": "posts"})
+
+
+def test_bucket_table_equals_the_batch_aggregate(spark):
+    rows = [("A", plus("10:00", 7 * i), ((i * 13) % 20) / 10 - 1) for i in range(60)] + [(None, plus("10:00", 5), 1.0)]
+    path = post_files(spark, [rows[:20], rows[20:45], rows[45:]])
+    posts = spark.read.parquet(path)
+    root = shared_folder(spark, "bucket-table")
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    start_bucket_table(stream, f"{root}/table", f"{root}/checkpoint", trigger=ONCE).awaitTermination()
+    stored = current(read_batches(spark, f"{root}/table", BUCKET), BAR_KEY)
+    columns = ("ticker", "timestamp", "post_count")
+    assert ordered(stored, *columns) == ordered(aggregate_sentiment(posts), *columns)
+    assert stored.filter("ticker is null").count() == 0

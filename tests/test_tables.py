@@ -14,6 +14,7 @@ from pitflow.sources.tables import (
     batch_path,
     compact,
     current,
+    over_base,
     read_batches,
     upsert,
     write_batch,
@@ -116,6 +117,16 @@ def test_compaction_keeps_current_rows_in_fewer_files(spark, root):
     assert files(target) < files(root)
 
 
+def test_later_batches_over_a_compacted_base(spark, root):
+    write_batch(posts(spark, *FIRST), root, 0)
+    base = shared_folder(spark, "base")
+    compact(read(spark, root), base)
+    write_batch(posts(spark, *MOVED), root, 1)
+    later = current(read_batches(spark, root, RAW_POST).filter("batch_id > 0"), POST_KEY)
+    found = over_base(read_batches(spark, base, RAW_POST), later, POST_KEY)
+    assert texts(found) == texts(read(spark, root))
+
+
 def test_date_and_ticker_filters_on_bars_prune_partitions(spark, root):
     write_batch(bars(spark, [("A", at("10:00"), 1.0), ("B", at("2024-01-03 10:00"), 2.0)]), root, 0)
     write_batch(bars(spark, [("A", at("10:00"), 3.0)]), root, 1)

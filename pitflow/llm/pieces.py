@@ -10,6 +10,7 @@ equal parts share one forward pass.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache, lru_cache
 
@@ -29,6 +30,8 @@ SPACE = "▁"
 #: Code points whose lattice a task holds at once; a longer text comes alone.
 LATTICE_CHARS = 1 << 18
 
+#: Steps that a probability is cut into.
+GRAIN = 1 << 30
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,6 +84,7 @@ class Lattice:
                 node = children.setdefault((node, c), len(children) + 1)
             ends[node] = i
             self.joined[path[:-1], path[1:]] = True
+        self.longest = max(len(p) for p, _ in plain)
         self.piece_at = np.full(len(children) + 1, -1, dtype=np.int32)
         self.piece_at[list(ends)] = list(ends.values())
         self._hash(children)
@@ -137,6 +141,15 @@ class Lattice:
         chosen = self._sample(letter, np.flatnonzero(new), chance)
         return self._with_bytes(points, letter, chosen, owner, len(texts))
 
+    def encode_rows(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray | None]:
+        """The ids of each text, None for a null one."""
+        rows: list[np.ndarray | None] = []
+        for a, b in small_parts(texts):
+            found, many = self.encode([t or "" for t in texts[a:b]], keys[a:b])
+            parts = np.split(found, np.cumsum(many)[:-1])
+            rows += [None if t is None else p for t, p in zip(texts[a:b], parts)]
+        return rows
+
     def _with_bytes(self, points, letter, chosen, owner, n) -> tuple[np.ndarray, np.ndarray]:
         """Pieces in order, characters without a piece spelled in bytes."""
         odd = letter == 0
@@ -197,10 +210,12 @@ class Lattice:
         piece.append(np.full(int(lost.sum()), -1, np.int32))
         depth.append(inside[lost] + 1)
         source, target, piece, depth = map(np.concatenate, (source, target, piece, depth))
-        order = np.lexsort((target, depth))
+        # By depth, node and length, a unique key: a draw must not depend on the batch.
+        nodes = int((length + 1).sum())
+        order = np.argsort((depth * nodes + target) * (self.longest + 1) + (target - source))
         source, target, piece, depth = source[order], target[order], piece[order], depth[order]
         weight = np.where(piece >= 0, self.log_weight[piece], 0.0)
-        total = np.zeros(int((length + 1).sum()))
+        total = np.zeros(nodes)
         share = np.empty(len(source))
         edge_of = np.zeros(len(total) + 1, np.int64)  # the first edge into each node
         degree = np.zeros(len(total), np.int64)
@@ -213,9 +228,11 @@ class Lattice:
             part = np.exp(value - np.repeat(top, many))
             whole = np.add.reduceat(part, heads)
             share[a:b] = part / np.repeat(whole, many)
-            nodes = target[a:b][heads]
-            total[nodes] = top + np.log(whole)
-            edge_of[nodes], degree[nodes] = a + heads, many
+            into = target[a:b][heads]
+            total[into] = top + np.log(whole)
+            edge_of[into], degree[into] = a + heads, many
+        # Whole numbers add up exactly, whatever else is in the batch.
+        share = np.rint(share * GRAIN).astype(np.int64)
         upto = np.cumsum(share)
         before = upto - share
         chosen = np.full(len(letter), -1, dtype=np.int32)
@@ -223,8 +240,13 @@ class Lattice:
         here, end = low + size, start + size - 1
         while len(here):
             first = edge_of[here]
-            want = before[first] + chance[end] * (upto[first + degree[here] - 1] - before[first])
-            edge = np.clip(np.searchsorted(upto, want, side="right"), first, first + degree[here] - 1)
+            want = before[first] + (chance[end] * GRAIN).astype(np.int64)
+            edge, last = first, first + degree[here] - 1
+            for _ in range(int(degree[here].max() - 1).bit_length()):
+                middle = (edge + last) >> 1
+                right = upto[middle] <= want
+                edge = np.where(right, np.minimum(middle + 1, last), edge)
+                last = np.where(right, last, middle)
             chosen[end] = piece[edge]
             back = source[edge]
             end = end - (here - back)
@@ -268,12 +290,7 @@ def encoded(path: str = MODEL, seed: int = SEED, sharpness: float = SHARPNESS) -
     @F.pandas_udf("array<int>")
     def encode(ids: pd.Series, texts: pd.Series) -> pd.Series:
         own, texts = lattice(pieces, sharpness), texts.tolist()
-        keys, rows = row_keys(ids.tolist(), seed), []
-        for a, b in small_parts(texts):
-            found, many = own.encode([t or "" for t in texts[a:b]], keys[a:b])
-            parts = np.split(found, np.cumsum(many)[:-1])
-            rows += [None if t is None else p for t, p in zip(texts[a:b], parts)]
-        return pd.Series(rows, dtype=object)
+        return pd.Series(own.encode_rows(texts, row_keys(ids.tolist(), seed)), dtype=object)
 
     return lambda doc_id, text: encode(F.col(doc_id).cast("string"), text)
 
@@ -290,16 +307,31 @@ def decoded(path: str = MODEL) -> Callable[[Column], Column]:
     return decode
 
 
+def round_tripped(path: str = MODEL, seed: int = SEED, sharpness: float = SHARPNESS) -> Callable[..., Column]:
+    """A function of two column names, (doc_id, text) -> struct of the sampled
+    pieces, the SHA-256 of the text they decode to, and whether it is ``text``.
+    One pass of Python, where two functions would encode twice."""
+    pieces = read_pieces(path)
+
+    @F.pandas_udf("pieces array<int>, decoded_sha256 string, lossless boolean")
+    def both(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        own, texts, rows = lattice(pieces, sharpness), texts.tolist(), []
+        for text, found in zip(texts, own.encode_rows(texts, row_keys(ids.tolist(), seed))):
+            if found is None:
+                rows.append((None, None, True))
+            else:
+                back = own.decode(found.tolist())
+                digest = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((found, digest, back == text))
+        return pd.DataFrame(rows, columns=["pieces", "decoded_sha256", "lossless"])
+
+    return lambda doc_id, text: both(F.col(doc_id).cast("string"), text)
+
+
 def round_trip(docs: DataFrame, path: str = MODEL, seed: int = SEED) -> DataFrame:
     """doc_id, pieces, n_pieces, decoded_sha256, lossless of every row of
     ``docs`` (doc_id, text): the sampled pieces, and whether decoding them gives
     the text back. Null texts have null pieces and count as lossless."""
-    pieces = docs.select("doc_id", "text", encoded(path, seed)("doc_id", "text").alias("pieces"))
-    back = pieces.select("*", decoded(path)("pieces").alias("decoded"))
-    return back.select(
-        "doc_id",
-        "pieces",
-        F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).alias("n_pieces"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
-    )
+    rows = docs.select("doc_id", round_tripped(path, seed)("doc_id", "text").alias("r"))
+    many = F.when(F.col("r.pieces").isNull(), 0).otherwise(F.size("r.pieces")).alias("n_pieces")
+    return rows.select("doc_id", "r.pieces", many, "r.decoded_sha256", "r.lossless")

@@ -73,6 +73,8 @@ HIDDEN = re.compile(
     rf"|[^\W\d_]*([^\W\d_])\1\1)[\w{_SIGN}]+"  # 1d10t, stuuupid
 )
 TOKEN = re.compile(r"[^\W\d_]+")
+REPEATED = re.compile(r"(.)\1\1")
+EDGES = ".,;:?\"[]{}"
 
 
 class LetterModel:
@@ -156,17 +158,33 @@ def letter_model(docs: DataFrame) -> LetterModel:
 
 
 def word_set(text: str, restore: Callable[[str], str]) -> set[str]:
-    """The different words of the restored text, disguised and plain."""
-    text = text.lower()
-    words = set(TOKEN.findall(text))
-    for match in HIDDEN.finditer(text):
-        words.update(restore(match.group()).split())
+    """The different words of the restored text, disguised and plain. Tokens
+    that are all letters are words as they stand; only others, those that
+    repeat a letter, and runs of single characters are looked at closely."""
+    tokens = text.lower().split()
+    distinct = {t.strip(EDGES) for t in set(tokens)}
+    words = set(filter(str.isalpha, distinct))
+    close = [t for t in distinct if not t.isalpha()]
+    for token in close:
+        words.update(TOKEN.findall(token))
+    close += filter(REPEATED.search, words)
+    close += single_runs(tokens)
+    for token in close:
+        for match in HIDDEN.finditer(token):
+            words.update(restore(match.group()).split())
     return words
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings; the latter end in a star."""
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+def single_runs(tokens: list[str]) -> list[str]:
+    """Three and more tokens in a row that are one character, perhaps with a separator."""
+    short = [i for i, t in enumerate(tokens) if len(t) < 3 and (len(t) == 1 or t[1] in SEPARATORS)]
+    runs, start = [], 0
+    for k in range(1, len(short) + 1):
+        if k == len(short) or short[k] != short[k - 1] + 1:
+            if k - start > 2:
+                runs.append(" ".join(tokens[short[start] : short[k - 1] + 1]))
+            start = k
+    return runs
 
 
 def remembered(model: LetterModel) -> Callable[[str], str]:
@@ -174,14 +192,20 @@ def remembered(model: LetterModel) -> Callable[[str], str]:
 
 
 class WordWeights:
-    """Log odds of telling features, and the logistic curve over their sum."""
+    """Log odds of telling features, words or, with a star, beginnings of words;
+    and the logistic curve over their sum."""
 
     def __init__(self, weights: dict[str, float], slope: float, offset: float):
         self.weights, self.slope, self.offset = weights, slope, offset
+        self.starts = {f.rstrip("*")[: PREFIXES[0]] for f in weights}
 
-    def evidence(self, words: set[str]) -> float:
+    def weight(self, word: str) -> float:
         get = self.weights.get
-        return sum(max(get(f, 0.0) for f in features(w)) for w in words)
+        return max(get(word, 0.0), *(get(f"{word[:n]}*", 0.0) for n in PREFIXES if len(word) >= n), 0.0)
+
+    def evidence(self, words: set[str]) -> float:
+        starts, n = self.starts, PREFIXES[0]
+        return sum(self.weight(w) for w in sorted(w for w in words if w[:n] in starts))
 
     def score(self, words: set[str]) -> float:
         x = self.offset + self.slope * math.log1p(self.evidence(words))
@@ -261,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel) -> WordWeigh
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.evidence(set(w)) for w in batch["words"].to_pylist()]
+            x = pa.array([model.evidence(set(w)) for w in batch["words"].to_pylist()], pa.float64())
             yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"], "x": x})
 
     seen = train.mapInArrow(evidence, "toxic long, x double").toPandas()

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def own_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Only the named columns, so that further ones cannot clash with ours."""
-    return df.select(*names)

@@ -16,7 +16,6 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame

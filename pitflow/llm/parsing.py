@@ -152,8 +152,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(block, guest, doc_id, text) with the rows of ``docs`` in blocks of
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (block, guest, doc_id, text) and the number of blocks, with the rows of ``docs`` in blocks of
     neighbouring ids, each block with the first row after it as a guest.
 
     Ids are cut at quantiles into blocks of about BLOCK_BYTES, of which the
@@ -185,9 +185,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = F.when(own == 0, F.lit(last)).otherwise(own - 1)
     away = F.struct(before.alias("block"), F.lit(1).alias("guest"))
     places = F.when(F.col("at.starts"), F.array(home, away)).otherwise(F.array(home))
-    return rows.select("doc_id", "text", F.explode(places).alias("p")).select(
-        "p.block", "p.guest", "doc_id", "text"
-    )
+    spread = rows.select("doc_id", "text", F.explode(places).alias("p"))
+    return spread.select("p.block", "p.guest", "doc_id", "text"), last + 1
 
 
 SCHEMA = (
@@ -204,7 +203,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     last, and the very first row follows the last. A single row is its own
     next. Empty tables give no rows; other columns are not read.
     """
-    rows = with_next(docs)
+    rows, blocks = with_next(docs)
 
     def compare(held: list[tuple[int | None, str]], following: str) -> pa.RecordBatch:
         texts = [t for _, t in held] + [following]
@@ -248,7 +247,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 held.append((doc_id, text))
                 size += len(text)
 
-    ordered = rows.repartition("block").sortWithinPartitions(
+    # One block, one task: hashing would put several into some and none into others.
+    ordered = rows.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions(
         "block", "guest", F.col("doc_id").asc_nulls_last(), "text"
     )
     return ordered.mapInArrow(walk, SCHEMA)

@@ -336,16 +336,17 @@ def extracted(network: BiLSTM) -> Callable[[Column], Column]:
 
 
 def learn(pages: DataFrame) -> BiLSTM:
-    """Learned from TRAIN_PAGES pages at most, those with the lowest hash of
-    their html among pages of up to TRAIN_LENGTH characters."""
-    sample = (
-        pages.where((F.col("html") != "") & (F.length("html") <= TRAIN_LENGTH))
-        .select("html", F.xxhash64("html").alias("h"))
-        .orderBy("h", "html")
-        .limit(TRAIN_PAGES)
-        .select("html")
+    """Learned from TRAIN_PAGES different pages at most, those with the lowest
+    hash of their html among pages of up to TRAIN_LENGTH characters. Hashes are
+    picked first, so no task sends the driver pages that are not learned from."""
+    short = pages.where((F.col("html") != "") & (F.length("html") <= TRAIN_LENGTH)).select(
+        "html", F.xxhash64("html").alias("h")
     )
-    return learned([r["html"] for r in sample.collect()])
+    lowest = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).collect()]
+    if not lowest:
+        return learned([])
+    picked = short.where(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("html").alias("html"))
+    return learned([r["html"] for r in picked.orderBy("h").collect()])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -172,8 +172,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.when(F.col("g").isNotNull(), F.col("group")).otherwise(F.pmod("group", F.lit(UNITS))).alias("a"),
         F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("doc_id"), pieces)).otherwise(-1).alias("b"),
     )
+    # No more than shards / FINE rows, so the copies of a hot group need not meet.
     named = cut(
-        rows.join(large, F.col("group") == F.col("g"), "left").select(
+        rows.join(F.broadcast(large), F.col("group") == F.col("g"), "left").select(
             "doc_id", "size", "text_crc32", item.alias("item"), F.xxhash64("doc_id", "group").alias("order")
         )
     )

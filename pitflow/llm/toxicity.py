@@ -67,11 +67,12 @@ SIGN, KEPT_SIGN, JOIN, SPLIT, REPEAT = (math.log(p) for p in (0.3, 0.02, 0.9, 0.
 
 _SIGN = "".join(map(re.escape, SIGNS))
 _SEP = "".join(map(re.escape, SEPARATORS))
+SPACED = re.compile(rf"(?<!\w)[^\W\d_](?:[{_SEP}\s]+(?:[^\W\d_]|[{_SIGN}])){{2,}}(?!\w)")  # i d i o t
 HIDDEN = re.compile(
-    rf"(?<!\w)[^\W\d_](?:[{_SEP}]+(?:[^\W\d_]|[{_SIGN}])){{2,}}(?!\w)"  # i d i o t
-    rf"|(?<![\w{_SIGN}])(?=[\w{_SIGN}]*[^\W\d_])(?=[{_SIGN}]*[^\W\d_]+[{_SIGN}]+[^\W\d_]|[{_SIGN}]+[^\W\d_]"
+    rf"(?<![\w{_SIGN}])(?=[\w{_SIGN}]*[^\W\d_])(?=[{_SIGN}]*[^\W\d_]+[{_SIGN}]+[^\W\d_]|[{_SIGN}]+[^\W\d_]"
     rf"|[^\W\d_]*([^\W\d_])\1\1)[\w{_SIGN}]+"  # 1d10t, stuuupid
 )
+SPACE = re.compile(r"\s+")
 TOKEN = re.compile(r"[^\W\d_]+")
 REPEATED = re.compile(r"(.)\1\1")
 EDGES = ".,;:?\"[]{}"
@@ -158,35 +159,25 @@ def letter_model(docs: DataFrame) -> LetterModel:
 
 
 def word_set(text: str, restore: Callable[[str], str]) -> set[str]:
-    """The different words of the restored text, disguised and plain. Tokens
-    that are all letters are words as they stand; only others, those that
-    repeat a letter, and runs of single characters are looked at closely."""
-    tokens = text.lower().split()
-    distinct = {t.strip(EDGES) for t in set(tokens)}
+    """The different words of the restored text, disguised and plain. Spaced
+    words are sought in the whole text, whatever stands around them. Tokens
+    that are all letters are words as they stand; only others and those that
+    repeat a letter are looked at closely."""
+    text = text.lower()
+    distinct = {t.strip(EDGES) for t in set(text.split())}
     words = set(filter(str.isalpha, distinct))
     close = [t for t in distinct if not t.isalpha()]
     for token in close:
         words.update(TOKEN.findall(token))
     close += filter(REPEATED.search, words)
-    close += single_runs(tokens)
     for token in close:
         for match in HIDDEN.finditer(token):
             words.update(restore(match.group()).split())
+    for match in SPACED.finditer(text):
+        words.update(restore(SPACE.sub(" ", match.group())).split())
     return words
 
 
-def single_runs(tokens: list[str]) -> list[str]:
-    """Three and more tokens in a row that are one character, perhaps with a separator."""
-    short = [i for i, t in enumerate(tokens) if len(t) < 3 and (len(t) == 1 or t[1] in SEPARATORS)]
-    runs, start = [], 0
-    for k in range(1, len(short) + 1):
-        if k == len(short) or short[k] != short[k - 1] + 1:
-            if k - start > 2:
-                runs.append(" ".join(tokens[short[start] : short[k - 1] + 1]))
-            start = k
-    return runs
-
-
 def remembered(model: LetterModel) -> Callable[[str], str]:
     return lru_cache(REMEMBERED)(model.restore)
 

@@ -53,6 +53,12 @@ def test_restores(letters, text, word):
     assert word in tox.word_set(text, letters.restore)
 
 
+@pytest.mark.parametrize("around", ["{}!", "{},", "{}.", '"{}"', "({})", "[{}]", "you '{}'?", "so: {}; and", "“{}”…"])
+@pytest.mark.parametrize("spaced, word", [("i d i o t", "idiot"), ("m o r o n", "moron"), ("c\nl o\tw  n", "clown")])
+def test_restores_spaced_words_beside_punctuation(letters, around, spaced, word):
+    assert word in tox.word_set(around.format(spaced), letters.restore)
+
+
 def test_viterbi_finds_the_best_of_all_ways(letters):
     """Against all letter choices of a lattice without separators."""
 

@@ -1,7 +1,7 @@
 """Toxicity scores over text restored by a noisy-channel model.
 
-Writers hide words by digits and signs for letters (1d10t), by spacing
-(i d i o t, i.d.i.o.t) and by repetition (stuuupid). Each such place becomes a
+Writers hide words by digits and signs for letters (1d10t, idio7), by spacing
+(i d i o t, id-iot) and by repetition (stuupid). Each such place becomes a
 lattice: a sign may stand for one of several letters, a separator for nothing
 or for a word end, a repeated letter for nothing. Viterbi finds the likeliest
 restored text under a letter trigram model of the whole corpus. Documents are
@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,15 +67,17 @@ SIGN, KEPT_SIGN, JOIN, SPLIT, REPEAT = (math.log(p) for p in (0.3, 0.02, 0.9, 0.
 
 _SIGN = "".join(map(re.escape, SIGNS))
 _SEP = "".join(map(re.escape, SEPARATORS))
-SPACED = re.compile(rf"(?<!\w)[^\W\d_](?:[{_SEP}\s]+(?:[^\W\d_]|[{_SIGN}])){{2,}}(?!\w)")  # i d i o t
-HIDDEN = re.compile(
-    rf"(?<![\w{_SIGN}])(?=[\w{_SIGN}]*[^\W\d_])(?=[{_SIGN}]*[^\W\d_]+[{_SIGN}]+[^\W\d_]|[{_SIGN}]+[^\W\d_]"
-    rf"|[^\W\d_]*([^\W\d_])\1\1)[\w{_SIGN}]+"  # 1d10t, stuuupid
-)
+_ONE = rf"(?:[^\W\d_]|[{_SIGN}])"
+SPACED = re.compile(rf"(?<!\w){_ONE}(?:[{_SEP}\s]+{_ONE}){{2,}}(?!\w)")  # i d i o t
+JOINED = re.compile(rf"[\w{_SIGN}]+(?:[{_SEP}]+[\w{_SIGN}]+)*")  # 1d10t, idio7, id-iot
 SPACE = re.compile(r"\s+")
 TOKEN = re.compile(r"[^\W\d_]+")
-REPEATED = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"(.)\1")
+SURE = re.compile(rf"[{_SIGN}][^\W\d_]|([^\W\d_])\1\1")
 EDGES = ".,;:?\"[]{}"
+#: Signs that beside a word are mostly punctuation; places are read with and without them.
+MARKS = "(!¡|"
+OUTSIDE = EDGES + MARKS + ")'“”„‘’«»…¿"
 
 
 class LetterModel:
@@ -89,38 +91,49 @@ class LetterModel:
         p3 = (three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5)
         self.log = np.log(p3).astype(np.float32)
 
+    @cached_property
+    def rows(self) -> list[list[list[float]]]:
+        """``log`` as lists, whose single values are read faster; made in each task."""
+        return self.log.tolist()
+
     def restore(self, hidden: str) -> str:
         """The likeliest text behind one disguised place. States are the last
         two letters, so the work grows with the length of the place only."""
-        log, index = self.log, _INDEX
-        # state -> (score, whether the last letter was written, back pointer)
+        rows, index = self.rows, _INDEX
+        # state -> (score, back pointer)
         states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
-        for at, char in enumerate(hidden):
+        for char in hidden:
             after: dict[tuple[str, str], tuple[float, tuple]] = {}
 
             def offer(state: tuple[str, str], score: float, trail: tuple) -> None:
                 if state not in after or after[state][0] < score:
                     after[state] = (score, trail)
 
-            for (first, last), (score, trail) in states.items():
-                here = log[index.get(first, 1), index.get(last, 1)]
-                if char in SEPARATORS:
+            if char in SEPARATORS:
+                for (first, last), (score, trail) in states.items():
                     offer((first, last), score + JOIN, trail)
                     if last:
-                        offer((last, ""), score + SPLIT + float(here[0]), (trail, " "))
-                    continue
-                letters = SIGNS.get(char, "") if not char.isalpha() else char
-                for letter in letters:
-                    cost = 0.0 if letter == char else SIGN - math.log(len(letters))
-                    if letter == last:
-                        offer((first, last), score + cost + REPEAT, trail)
-                    offer((last, letter), score + cost + float(here[index.get(letter, 1)]), (trail, letter))
-                if not char.isalpha():
-                    offer((last, ""), score + KEPT_SIGN + float(here[0]), (trail, " "))
+                        here = rows[index.get(first, 1)][index.get(last, 1)]
+                        offer((last, ""), score + SPLIT + here[0], (trail, " "))
+            elif char.isalpha():
+                at = index.get(char, 1)
+                for (first, last), (score, trail) in states.items():
+                    if char == last:
+                        offer((first, last), score + REPEAT, trail)
+                    offer((last, char), score + rows[index.get(first, 1)][index.get(last, 1)][at], (trail, char))
+            else:
+                letters = SIGNS.get(char, "")
+                cost = SIGN - math.log(len(letters) or 1)
+                for (first, last), (score, trail) in states.items():
+                    here = rows[index.get(first, 1)][index.get(last, 1)]
+                    for letter in letters:
+                        if letter == last:
+                            offer((first, last), score + cost + REPEAT, trail)
+                        offer((last, letter), score + cost + here[index[letter]], (trail, letter))
+                    offer((last, ""), score + KEPT_SIGN + here[0], (trail, " "))
             states = after
         best, trail = max(
-            (score + float(log[index.get(a, 1), index.get(b, 1)][0]), trail)
-            for (a, b), (score, trail) in states.items()
+            (score + rows[index.get(a, 1)][index.get(b, 1)][0], trail) for (a, b), (score, trail) in states.items()
         )
         out = []
         while trail:
@@ -158,23 +171,25 @@ def letter_model(docs: DataFrame) -> LetterModel:
     return LetterModel(counts)
 
 
-def word_set(text: str, restore: Callable[[str], str]) -> set[str]:
+def word_set(text: str, restore: Callable[[str], str], plain: Callable[[str], bool] = lambda word: False) -> set[str]:
     """The different words of the restored text, disguised and plain. Spaced
-    words are sought in the whole text, whatever stands around them. Tokens
-    that are all letters are words as they stand; only others and those that
-    repeat a letter are looked at closely."""
+    words are sought in the whole text, whatever stands around them, and signs
+    before letters and letters three times in every token. A double letter, an
+    inner separator or signs at the end only can be ordinary spelling as well:
+    such places are restored unless one of their words is ``plain``."""
     text = text.lower()
     distinct = {t.strip(EDGES) for t in set(text.split())}
     words = set(filter(str.isalpha, distinct))
-    close = [t for t in distinct if not t.isalpha()]
-    for token in close:
+    places = {p for p in words if REPEATED.search(p)}
+    for token in distinct - words:
         words.update(TOKEN.findall(token))
-    close += filter(REPEATED.search, words)
-    for token in close:
-        for match in HIDDEN.finditer(token):
-            words.update(restore(match.group()).split())
-    for match in SPACED.finditer(text):
-        words.update(restore(SPACE.sub(" ", match.group())).split())
+        for place in JOINED.findall(token):
+            places.update(p for p in (place, place.strip(MARKS)) if not p.isalpha() or REPEATED.search(p))
+    sure = {SPACE.sub(" ", p) for p in SPACED.findall(text)}
+    for place in places | sure:
+        parts = TOKEN.findall(place)
+        if parts and (place in sure or SURE.search(place) or not any(map(plain, parts))):
+            words.update(restore(place).split())
     return words
 
 
@@ -189,11 +204,32 @@ class WordWeights:
     def __init__(self, weights: dict[str, float], slope: float, offset: float):
         self.weights, self.slope, self.offset = weights, slope, offset
         self.starts = {f.rstrip("*")[: PREFIXES[0]] for f in weights}
+        self.heads = {f[:n] for f in weights if not f.endswith("*") for n in range(1, len(f))}
 
     def weight(self, word: str) -> float:
         get = self.weights.get
         return max(get(word, 0.0), *(get(f"{word[:n]}*", 0.0) for n in PREFIXES if len(word) >= n), 0.0)
 
+    def telling(self, word: str) -> bool:
+        return word[: PREFIXES[0]] in self.starts and self.weight(word) > 0
+
+    def parted(self, text: str) -> set[str]:
+        """Telling words that spaces part into pieces of any length (mor on). Of
+        plain words any two neighbours could be one, so only whole telling words
+        are sought, and none are learned from."""
+        tokens, found, heads = text.lower().split(), set(), self.heads
+        firsts = {t: h for t in set(tokens) if (h := t.lstrip(OUTSIDE)) in heads}
+        if not firsts:
+            return found
+        for at in [i for i, t in enumerate(tokens) if t in firsts]:
+            word, at = firsts[tokens[at]], at + 1
+            while word in heads and at < len(tokens):
+                piece, at = tokens[at], at + 1
+                if (whole := word + piece.rstrip(OUTSIDE)) in self.weights:
+                    found.add(whole)
+                word += piece
+        return found
+
     def evidence(self, words: set[str]) -> float:
         starts, n = self.starts, PREFIXES[0]
         return sum(self.weight(w) for w in sorted(w for w in words if w[:n] in starts))
@@ -235,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel) -> WordWeigh
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = remembered(letters)
         for batch in batches:
-            words = [sorted(word_set(t or "", restore)) for t in batch["text"].to_pylist()]
+            # any ordinary spelling is taken as it stands: what it could hide is not learned from
+            words = [sorted(word_set(t or "", restore, lambda word: True)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {"toxic": batch["toxic"], "words": pa.array(words, pa.list_(pa.string()))}
             )
@@ -290,7 +327,8 @@ def scored(letters: LetterModel, weights: WordWeights) -> Callable[[Column], Col
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         restore = remembered(letters)
         for texts in batches:
-            yield pd.Series([weights.score(word_set(t or "", restore)) for t in texts], dtype="float64")
+            words = (word_set(t, restore, weights.telling) | weights.parted(t) for t in texts.fillna(""))
+            yield pd.Series([weights.score(w) for w in words], dtype="float64")
 
     return score
 

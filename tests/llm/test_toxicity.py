@@ -59,6 +59,39 @@ def test_restores_spaced_words_beside_punctuation(letters, around, spaced, word)
     assert word in tox.word_set(around.format(spaced), letters.restore)
 
 
+@pytest.mark.parametrize(
+    "text, word",
+    [
+        ("stuupid", "stupid"),
+        ("iddiot", "idiot"),
+        ("mooron", "moron"),
+        ("so iiddiioott.", "idiot"),
+        ("an id-iot, you", "idiot"),
+        ("stu.pid", "stupid"),
+        ("(id-iot)", "idiot"),
+        ("(1d10t)!", "idiot"),
+        ("1 d 1 0 t", "idiot"),
+        ("you: 1 d 1 0 t!", "idiot"),
+        ("idio7", "idiot"),
+    ],
+)
+def test_restores_all_kinds_of_disguise(letters, text, word):
+    assert word in tox.word_set(text, letters.restore)
+
+
+def test_ordinary_spellings_are_restored_unless_plain(letters):
+    text = "mooron id-iot wa5 stuuupid th1s"
+    assert {"moron", "idiot", "was", "stupid", "this"} <= tox.word_set(text, letters.restore)
+    assert {"moron", "idiot", "was"}.isdisjoint(tox.word_set(text, letters.restore, lambda word: True))
+    assert {"stupid", "this"} <= tox.word_set(text, letters.restore, lambda word: True)
+
+
+def test_words_parted_into_longer_pieces():
+    weights = tox.WordWeights({"moron": 5.0, "idiot": 5.0, "idio*": 4.0}, 1.0, 0.0)
+    assert weights.parted('You "mor on", id\niot! (i di ot) m or on') == {"moron", "idiot"}
+    assert weights.parted("a mor, on id. iot moro nic on mor") == set()
+
+
 def test_viterbi_finds_the_best_of_all_ways(letters):
     """Against all letter choices of a lattice without separators."""
 

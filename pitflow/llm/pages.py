@@ -27,7 +27,7 @@ ENDS = {
 
 PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -101,8 +101,8 @@ class _Reader:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page in order, without comments, scripts, styles and
-    drawings. A block ends where a block element begins or ends; line breaks
+    """The blocks of a page in order, without comments, scripts and styles.
+    Formulas and drawings are inline: their text stays in the block. A block ends where a block element begins or ends; line breaks
     are white space. Character references are decoded, white space is one space."""
     page = page or ""
     reader, at = _Reader(), 0

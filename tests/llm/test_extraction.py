@@ -60,6 +60,14 @@ def test_blocks(network):
     assert blocks_of(None) == [] and blocks_of("<script>never closed") == [] and blocks_of("<p></p>") == []
 
 
+def test_text_of_formulas_and_drawings_stays_in_the_block():
+    page = (
+        "<p>Thus <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, see "
+        "<svg viewBox='0 0 9 9'><style>a{}</style><text>Figure 1</text><path d='M0'/></svg> there.</p>"
+    )
+    assert [b.text for b in blocks_of(page)] == ["Thus x=2 holds, see Figure 1 there."]
+
+
 def test_context_decides_blocks_that_look_alike(network):
     r = network.p["Uf"]
     assert np.abs(r).max() > 0.1  # recurrent weights are in use

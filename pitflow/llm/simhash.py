@@ -28,6 +28,8 @@ from pitflow.llm.components import connected_components, local_roots
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Values spelled out at once in a task; larger sets are split by further bits.
 SPELLED = 1 << 21
+#: Links that a task holds at most, besides those of one step and a forest.
+HELD_LINKS = 1 << 20
 #: Values that a bucket of the shuffle should have on average.
 BUCKET_VALUES = 1 << 22
 ONE = np.uint64(1)
@@ -102,18 +104,28 @@ def meetings(keys: np.ndarray, spare: np.ndarray, ids: np.ndarray, bits: int) ->
 
 
 def bucket_links(key: int, fps: np.ndarray, reps: np.ndarray, bits: int) -> tuple:
-    """The links that one bucket shows, as a spanning forest over ``reps``."""
+    """The links that one bucket shows, as a spanning forest over ``reps``. Links
+    are folded into the forest whenever HELD_LINKS have come together."""
     rest = 64 - bits
     fp = fps.view(np.uint64)
     off = np.bitwise_count((fp >> np.uint64(rest)) ^ np.uint64(key)).astype(np.int8)
     residual = fp & np.uint64((1 << rest) - 1)
-    found = list(meetings(residual, (RADIUS // 2 - off).astype(np.int8), np.arange(len(fp)), rest))
-    none = np.empty(0, dtype=np.int64)
-    a, b = (np.concatenate(x) for x in zip(*found)) if found else (none, none)
-    verified = np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS
-    a, b = a[verified], b[verified]
-    root = local_roots(len(fp), a, b)
-    hung = np.flatnonzero(root != np.arange(len(fp)))
+    nodes = np.arange(len(fp))
+    root, held, size = nodes, [], 0
+
+    def folded() -> np.ndarray:
+        hung = np.flatnonzero(root != nodes)
+        a, b = (np.concatenate(x) for x in zip(*held, (hung, root[hung])))
+        return local_roots(len(fp), a, b)
+
+    for a, b in meetings(residual, (RADIUS // 2 - off).astype(np.int8), nodes, rest):
+        linked = (np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS) & (root[a] != root[b])
+        held.append((a[linked], b[linked]))
+        size += len(held[-1][0])
+        if size > HELD_LINKS:
+            root, held, size = folded(), [], 0
+    root = folded()
+    hung = np.flatnonzero(root != nodes)
     return reps[hung], reps[root[hung]]
 
 

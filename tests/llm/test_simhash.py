@@ -63,6 +63,26 @@ def test_meeting_finds_exactly_the_pairs_within_four_bits(monkeypatch, spelled):
     assert {f: fps[roots[i]] for i, f in enumerate(fps)} == want
 
 
+def test_links_of_a_crowded_bucket_are_folded_as_they_come(monkeypatch):
+    r = random.Random(7)
+    base = r.getrandbits(64) >> 6  # all in bucket 0
+    fps = sorted({base ^ sum(1 << b for b in r.sample(range(50), 2)) for _ in range(300)})
+    at, ids = np.array(fps, dtype=np.uint64).view(np.int64), np.arange(len(fps))
+    whole = simhash.bucket_links(0, at, ids, 6)
+    most = []
+
+    def counted(n, a, b):
+        most.append(len(a))
+        return local_roots(n, a, b)
+
+    monkeypatch.setattr(simhash, "local_roots", counted)
+    monkeypatch.setattr(simhash, "SPELLED", 2000)
+    monkeypatch.setattr(simhash, "HELD_LINKS", 500, raising=False)
+    folded = simhash.bucket_links(0, at, ids, 6)
+    assert [x.tolist() for x in folded] == [x.tolist() for x in whole] and len(folded[0]) == len(fps) - 1
+    assert max(most) < 500 + 2000 + len(fps)
+
+
 def test_groups_against_brute_force(spark, make_docs, odd_rows):
     r = random.Random(5)
     base = [[r.choice("abcdefghij") * r.randint(1, 6) for _ in range(300)] for _ in range(12)]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 import oracle
 from pitflow import fixtures
@@ -408,42 +409,48 @@ def bucket_stream(spark, sf_dir):
     return rounded(spark.read.schema(stream.schema).parquet(f"{root}/buckets"))
 
 
-def in_files(posts: DataFrame, path: str, overlap: str = "0 minutes") -> None:
-    """Posts in three files in the order of time, each beginning ``overlap``
-    before the end of the one before."""
-    cuts = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
-    for start, end in zip(cuts, cuts[1:]):
-        part = posts.filter(
-            f"timestamp >= timestamp'{start}' - interval {overlap} and timestamp < timestamp'{end}'"
-        )
-        part.coalesce(1).write.mode("append").parquet(path)
+def slices(rows: DataFrame, *overlaps: str) -> Iterator[DataFrame]:
+    """All rows in three slices in the order of time, each later one beginning its
+    overlap before the end of the one before; rows without a time are in the first."""
+    bounds = [F.lit(day).cast("timestamp") for day in ("2024-01-11", "2024-01-21")]
+    starts = [bound - F.expr(f"interval {overlap}") for bound, overlap in zip(bounds, overlaps)]
+    at = F.col("timestamp")
+    yield rows.filter((at < bounds[0]) | at.isNull())
+    yield rows.filter((at >= starts[0]) & (at < bounds[1]))
+    yield rows.filter(at >= starts[1])
+
+
+def streamed(parts: Iterator[DataFrame], path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Each part written to ``path``, in as many files as it has, and then taken
+    as one batch by a run of the stream that ``start`` starts."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(part.sparkSession.readStream.schema(part.schema).parquet(path)).awaitTermination()
 
 
 def bucket_table(spark, sf_dir):
-    """All buckets, kept by a stream in update mode over three files."""
+    """All buckets, kept by a stream in update mode over three slices."""
     root = shared_folder(spark, "bucket-table")
     posts = Inputs(spark, sf_dir).posts()
-    in_files(posts, f"{root}/posts")
-    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
-    bucket_job.start_bucket_table(stream, f"{root}/table", f"{root}/checkpoint", trigger=ONCE).awaitTermination()
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return bucket_job.start_bucket_table(stream, f"{root}/table", f"{root}/checkpoint", trigger=ONCE)
+
+    streamed(slices(posts, "0 minutes", "0 minutes"), f"{root}/posts", start)
     stored = tables.current(tables.read_batches(spark, f"{root}/table", BUCKET), tables.BAR_KEY)
     return rounded(stored.select(*BUCKET.names))
 
 
 def dedupe_stream(spark, sf_dir):
-    """Three files, the last half hour of one sent again in the next."""
+    """Three slices, the last half hour of one sent again in the next."""
     root = shared_folder(spark, "dedupe")
     posts = Inputs(spark, sf_dir).posts().select("id", "ticker", "timestamp", "source")
-    in_files(posts, f"{root}/posts", "30 minutes")
-    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
-    (
-        ingest_job.dedupe_stream(stream)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(**ONCE)
-        .start(f"{root}/out")
-        .awaitTermination()
-    )
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        writer = ingest_job.dedupe_stream(stream).writeStream.format("parquet").trigger(**ONCE)
+        return writer.option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/out")
+
+    streamed(slices(posts, "30 minutes", "30 minutes"), f"{root}/posts", start)
     return spark.read.schema(posts.schema).parquet(f"{root}/out")
 
 
@@ -484,16 +491,14 @@ def alert_stream(spark, sf_dir):
     aligned = asof.align_sentiment_with_price(inputs.posts(), inputs.bars("1h"))
     rolled = signals.add_rolling_sentiment(aligned, ("1h",))
     rolled = rolled.select("ticker", "timestamp", "sentiment_roll_1h")
-    cuts = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
-    for start, end in zip(cuts, cuts[1:]):
-        again = "interval 1 day" if start == cuts[1] else "interval 0 day"
-        part = rolled.filter(f"timestamp >= timestamp'{start}' - {again} and timestamp < timestamp'{end}'")
-        part.coalesce(1).write.mode("append").parquet(f"{root}/rolled")
     target = alert_job.AlertTables(f"{root}/log", f"{root}/last")
-    stream = spark.readStream.schema(rolled.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/rolled")
-    alert_job.start_alerts(
-        stream, lambda: fixtures.subscriptions(inputs.events), target, f"{root}/checkpoint", ONCE
-    ).awaitTermination()
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return alert_job.start_alerts(
+            stream, lambda: fixtures.subscriptions(inputs.events), target, f"{root}/checkpoint", ONCE
+        )
+
+    streamed(slices(rolled, "1 day", "0 days"), f"{root}/rolled", start)
     log = tables.read_batches(spark, target.log, ALERT)
     return log.select("chat_id", "ticker", "timestamp", "kind", "threshold")
 

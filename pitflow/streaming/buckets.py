@@ -35,7 +35,8 @@ def start_bucket_table(
     feed: str = DEFAULT_FEED,
 ) -> StreamingQuery:
     """Keeps a table of all buckets, open ones too: each batch upserts those
-    that grew. ``current`` over the table is the batch aggregate of the posts."""
+    that grew. ``current`` over the table is the batch aggregate of the posts
+    within the watermark; later ones are left out, as in ``bucket_stream``."""
     return (
         bucket_stream(scored, window, watermark)
         .writeStream.outputMode("update")

@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pitflow.functions.shared import shared_folder
 from pitflow.operators.scoring import score_texts
 from pitflow.operators.sentiment import aggregate_sentiment
-from pitflow.schemas import BUCKET, RAW_POST, REJECTED_POST, SCORED_POST
+from pitflow.schemas import BUCKET, BUCKET_WINDOW, RAW_POST, REJECTED_POST, SCORED_POST
 from pitflow.sources.posts import read_post_stream
 from pitflow.sources.tables import BAR_KEY, POST_KEY, current, finished_batches, read_batches
 from pitflow.streaming.buckets import bucket_stream, start_bucket_table
@@ -183,3 +184,21 @@ def test_bucket_table_equals_the_batch_aggregate(spark):
     columns = ("ticker", "timestamp", "post_count")
     assert ordered(stored, *columns) == ordered(aggregate_sentiment(posts), *columns)
     assert stored.filter("ticker is null").count() == 0
+
+
+def test_stream_queries_take_rows_of_any_time(spark, tmp_path):
+    """Rows before, between and after the bounds of the slices, and one without a time."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    shift = F.expr("make_interval(0, 0, 0, cast(event_id % 3 - 1 AS int) * 60)")
+    ts = F.when(F.col("event_id") != F.lit(events.agg(F.min("event_id")).first()[0]), F.col("ts") + shift)
+    moved = events.withColumn("ts", ts.cast(events.schema["ts"].dataType))
+    moved.write.parquet(str(tmp_path / "events.parquet"))
+    queries = entry.queries()
+    posts = entry.Inputs(spark, str(tmp_path)).posts()
+    assert posts.filter("timestamp < '2024-01-01'").count() > 50 < posts.filter("timestamp > '2024-02-01'").count()
+    batch = entry.rounded(aggregate_sentiment(posts, BUCKET_WINDOW))
+    table = queries["bucket_table"](spark, str(tmp_path))
+    assert sorted(map(str, table.collect())) == sorted(map(str, batch.select(*table.columns).collect()))
+    got = queries["dedupe_stream"](spark, str(tmp_path)).select("id").collect()
+    dated = posts.filter("timestamp is not null").select("id").collect()
+    assert {r.id for r in dated} <= {r.id for r in got} and len(got) <= posts.count()

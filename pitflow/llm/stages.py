@@ -12,7 +12,8 @@ from pitflow.llm.common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, those with null text or no letter, go."""
+    """Documents that are ``und`` go: null text, no letter, or no language learned.
+    Shares decide nothing here, so a text in a language that was not learned stays."""
     return language.identified(docs)
 
 

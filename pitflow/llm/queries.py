@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitflow.llm import extraction, language, mixing, parsing, pieces, quality, sharding, simhash, toxicity, vectors
+from pitflow.llm import (
+    audit,
+    extraction,
+    language,
+    merges,
+    mixing,
+    parsing,
+    pieces,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    vectors,
+    whitening,
+)
 from pitflow.llm.common import table
 
 
@@ -51,6 +65,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_quality": op2_quality,
@@ -62,8 +88,12 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op11_audit": op11_audit,
+    "op12_merges": op12_merges,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
     "op7_mixing": mixing.ORACLE.replace("{docs}", "documents"),
+    "op11_audit": audit.ORACLE.replace("{docs}", "documents").replace("{labels}", "labels"),
 }

@@ -4,21 +4,22 @@ Two 64-bit fingerprints differ in at most four bits exactly if some value lies
 within two bits of both. So every distinct fingerprint emits the 2,081 values
 of its ball of radius two, equal values meet, and meeting fingerprints are
 checked and linked. The shuffle is on the leading ``bits`` of the values: all
-values of one fingerprint that share them travel as one row of 20 bytes, and
-the task spells out the remaining bits. A value's finders are linked in a
+values of one fingerprint that share them travel as one row of 16 bytes, and
+the task spells out the remaining bits. Crowded buckets get further bits. A value's finders are linked in a
 chain, never pair by pair, and each task hands on a spanning forest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -32,6 +33,8 @@ SPELLED = 1 << 21
 HELD_LINKS = 1 << 20
 #: Values that a bucket of the shuffle should have on average.
 BUCKET_VALUES = 1 << 22
+#: Fingerprints from which on a bucket is parted, by how many bits, and up to how many in all.
+CROWDED, STEP_BITS, MOST_BITS = 1 << 16, 8, 56
 ONE = np.uint64(1)
 
 
@@ -129,31 +132,54 @@ def bucket_links(key: int, fps: np.ndarray, reps: np.ndarray, bits: int) -> tupl
     return reps[hung], reps[root[hung]]
 
 
-def near_groups(prints: DataFrame) -> DataFrame:
-    """(fp, component) for every distinct fp of ``prints`` (doc_id, fp), the
-    component being the smallest doc_id reachable. Rows without id link nothing."""
-    reps = cut(
-        prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    )
-    bits = leading_bits(reps.count())
-    flips = [0]
-    for distance in (1, 2):
-        flips += [sum(1 << i for i in c) for c in combinations(range(bits), distance)]
-    lead = F.shiftrightunsigned("fp", 64 - bits)
-    spread = reps.select(
-        "fp", "rep", F.explode(F.transform(F.lit(flips), lambda m: lead.bitwiseXOR(m))).alias("key")
-    )
+def buckets(nodes: DataFrame, bits: int) -> list[tuple[int, DataFrame]]:
+    """(bits, rows): fp and key, the leading bits of values in its ball. Buckets of
+    more than CROWDED fingerprints are parted by further leading bits, and again,
+    as each fingerprint has values in a few of the parts only."""
+
+    def flips(width: int) -> list[tuple[int, int]]:
+        sets = [c for distance in range(RADIUS // 2 + 1) for c in combinations(range(width), distance)]
+        return [(sum(1 << i for i in c), len(c)) for c in sets]
 
-    def task(key, rows):
-        a, b = bucket_links(
-            key[0].as_py(), rows["fp"].to_numpy(), rows["rep"].to_numpy(), bits
-        )
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def next_bits(upto: int, width: int) -> Column:
+        return F.shiftrightunsigned("fp", 64 - upto).bitwiseAND((1 << width) - 1)
 
-    links = spread.groupBy("key").applyInArrow(task, "a long, b long")
-    found = connected_components(links)
-    return reps.join(found, reps.rep == found.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component")
+    masks = F.array(*(F.lit(m) for m, _ in flips(bits)))
+    keys = F.transform(masks, lambda m: next_bits(bits, bits).bitwiseXOR(m.cast("long")))
+    rows, found = nodes.select("fp", F.explode(keys).alias("key")), []
+    while True:
+        crowded = rows.groupBy("key").count().where(F.col("count") > CROWDED).select("key")
+        if bits + STEP_BITS > MOST_BITS or (crowded := cut(crowded)).isEmpty():
+            return [*found, (bits, rows)]
+        found.append((bits, rows.join(crowded, "key", "left_anti")))
+        spare = RADIUS // 2 - F.bit_count(next_bits(bits, bits).bitwiseXOR(F.col("key")))
+        options = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(d).alias("d")) for m, d in flips(STEP_BITS)))
+        own = next_bits(bits + STEP_BITS, STEP_BITS)
+        allowed = F.filter(options, lambda o: o["d"] <= spare)
+        parts = F.transform(allowed, lambda o: F.shiftleft("key", STEP_BITS) + own.bitwiseXOR(o["m"]))
+        rows = rows.join(crowded, "key", "left_semi").select("fp", F.explode(parts).alias("key"))
+        bits += STEP_BITS
+
+
+def near_groups(prints: DataFrame) -> DataFrame:
+    """(fp, root) for every distinct fp of ``prints`` (fp), root being the smallest
+    fp reachable. A node is a fingerprint, so neither repeated ids nor missing
+    ones join or part groups."""
+    nodes = cut(prints.select("fp").distinct())
+    first = leading_bits(nodes.count())
+
+    def links(bits: int, rows: DataFrame) -> DataFrame:
+        def task(key, group):
+            fps = group["fp"].to_numpy()
+            a, b = bucket_links(key[0].as_py(), fps, fps, bits)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return rows.groupBy("key").applyInArrow(task, "a long, b long")
+
+    each = [links(bits, rows) for bits, rows in buckets(nodes, first)]
+    found = connected_components(reduce(DataFrame.unionAll, each))
+    return nodes.join(found, nodes.fp == found.node, "left").select(
+        "fp", F.coalesce("component", "fp").alias("root")
     )
 
 
@@ -161,12 +187,18 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
 
     fingerprint: 16 lowercase hex digits. Equal texts, repeated rows included,
-    have equal fingerprints and so one component. A row without doc_id has a
-    null component. Empty tables give no rows; other columns are not read.
+    have equal fingerprints and so one component, the smallest doc_id in it. Rows
+    without doc_id link like others, but their own component_id is null. A row
+    that repeats an id with another text is in its own text's group. Empty tables
+    give no rows; other columns are not read.
     """
     prints = cut(fingerprints(docs))
     groups = near_groups(prints).withColumnRenamed("fp", "group_fp")
-    return prints.join(groups, F.col("fp") == F.col("group_fp"), "left").select(
+    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    named = cut(lowest.join(groups, F.col("fp") == F.col("group_fp")).select("group_fp", "root", "low"))
+    least = named.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component"))
+    member = named.join(least, F.col("root") == F.col("r")).select("group_fp", "component")
+    return prints.join(member, F.col("fp") == F.col("group_fp"), "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
@@ -174,11 +206,25 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group, all its columns.
+    """One row of each group, all its columns: that with the smallest doc_id, rows
+    without one last, then with the smallest hash of its text; of rows that share
+    id and text, that with the smallest hash of all columns.
 
-    Rows that repeat a doc_id count as one document; rows without doc_id belong
-    to no group and all stay.
+    Every group keeps a row, so no text goes without a near copy that stays, even
+    where an id repeats with other texts. Null and empty texts and such of white
+    space are one group. Empty tables give no rows. The texts are shuffled once.
     """
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), _fingerprint("text").alias("fp")))
+    alike = prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n"))
+    groups = near_groups(prints).withColumnRenamed("fp", "group_fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "n")).alias("k")
+    kept = cut(alike.join(groups, F.col("fp") == F.col("group_fp")).groupBy("root").agg(first).select("k"))
+    rows = docs.select(F.struct("*").alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("doc.text") == F.col("k.h"))
+    taken = rows.join(kept, same)
+    repeated = F.col("k.n") > 1
+    if kept.where(repeated).isEmpty():
+        return taken.select("doc.*")
+    # Rows that repeat id and text meet in one aggregate, combined before its shuffle.
+    one_each = taken.where(repeated).groupBy("k").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return taken.where(~repeated).select("doc.*").unionAll(one_each.select("doc.*"))

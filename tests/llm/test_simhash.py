@@ -115,8 +115,57 @@ def test_dedupe_keeps_one_row_of_each_group(spark, make_docs, odd_rows):
     kept = simhash.dedupe(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    # 1 and 2 are copies, 3, 4 and 5 have no words, rows without id stay
-    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 8] and ids.count(None) == 2
+    # 1 and 2 are copies; 3, 4, 5 and a row without id have no words
+    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 8] and ids.count(None) == 1
+
+
+def plainly_kept(rows):
+    """(doc_id, text) of the row that each group keeps, by brute force; rows whose
+    ids and texts are equal count once, and no two texts of a group share an id."""
+    prints = {t: plain_fingerprint(t) for _, t, *_ in rows}
+    groups = plain_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 4)
+    best = {}
+    for doc_id, text, *_ in rows:
+        key = groups[prints[text]]
+        rank = (doc_id is None, doc_id or 0)
+        if key not in best or rank < best[key][0]:
+            best[key] = (rank, doc_id, text)
+    return sorted(((d, t) for _, d, t in best.values()), key=repr)
+
+
+def test_dedupe_loses_no_text_where_ids_repeat(make_docs):
+    x, y = "one text of its own kind " * 9, "quite another matter altogether " * 9
+    rows = [(3, y), (7, y), (7, x), (9, x)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.dedupe(make_docs(rows)).collect()), key=repr)
+    assert got == [(3, y), (7, x)] == plainly_kept(rows)
+
+
+def test_dedupe_against_brute_force(make_docs):
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(200)) for _ in range(10)]
+    texts += [t.replace(" a ", " zz ", 1) for t in texts]
+    ids = [None, *range(8)]
+    rows = [(r.choice(ids), r.choice(texts)) for _ in range(150)]
+    rows = [row for row in rows if row[0] is not None or row[1] in texts[:3]]
+    groups = {}
+    rows = [row for row in rows if groups.setdefault((row[0], row[1][:40]), row[1]) == row[1]]
+    got = simhash.dedupe(make_docs(rows + rows))
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == plainly_kept(rows)
+
+
+@pytest.mark.parametrize("crowded", [3, 20])
+def test_crowded_buckets_are_parted_and_lose_no_link(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(3)]
+    fps = [b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 8))) for b in base for _ in range(60)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {x.fp: x.root for x in simhash.near_groups(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    want = plain_components(sorted(set(signed)), lambda a, b: ((a ^ b) % 2**64).bit_count() <= 4)
+    assert got == want
+    nodes = spark.createDataFrame([(f,) for f in set(signed)], "fp long")
+    parts = simhash.buckets(nodes, 6)
+    assert len(parts) > 2 and parts[-1][0] > 14
 
 
 def test_empty_table(spark, make_docs):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitflow.llm.pages import Block, blocks_of
+from pitflow.llm.pages import Block, Node, blocks_of
 
 PATH, WORDS, MEASURES = 256, 32, 8
 INPUT = PATH + WORDS + MEASURES
@@ -29,7 +29,7 @@ TRAIN_PAGES, TRAIN_LENGTH = 200, 200_000
 SYNTHETIC, EPOCHS, BATCH, RATE, SEED = 700, 14, 32, 0.01, 11
 #: Blocks of a training sequence; longer pages give several.
 TRAIN_BLOCKS = 120
-#: Blocks that a task labels at once; a longer page comes alone.
+#: Blocks that a task labels at once; a longer page comes alone, in stretches.
 LABEL_BLOCKS = 8192
 
 # Names on tag paths that tell what a part of a page is.
@@ -41,6 +41,7 @@ ASIDE_NAMES = (
     "legal disclaimer contentinfo complementary"
 ).split()
 ASIDE_TAGS = "nav header footer aside form button select option textarea label noscript template title dialog iframe".split()
+MAIN_TAGS = {"tag article", "tag main"}
 MAIN_NAMES = "content article post entry story main body text maincontent prose page".split()
 
 
@@ -50,15 +51,37 @@ def _path_slots(name: str) -> tuple[int, int]:
     return h % PATH, (h >> 12) % PATH
 
 
-def features(blocks: Sequence[Block]) -> np.ndarray:
-    """One row of INPUT numbers per block."""
-    out = np.zeros((len(blocks), INPUT), dtype=np.float32)
-    n = len(blocks)
-    for i, block in enumerate(blocks):
-        row, text = out[i], block.text
-        for name in set(block.path):
-            a, b = _path_slots(name)
-            row[a] = row[b] = 1
+class PathSlots:
+    """The slots of the names on an element's path, as the bits of one number. An
+    element adds its own names to its parent's number, so a deep path costs no
+    more than a short one."""
+
+    def __init__(self):
+        self.known: dict[int, int] = {}
+
+    def of(self, element: Node | None) -> np.ndarray:
+        pending = []
+        while element is not None and id(element) not in self.known:
+            pending.append(element)
+            element = element.parent
+        bits = self.known[id(element)] if element is not None else 0
+        for node in reversed(pending):
+            for name in node.names:
+                for slot in _path_slots(name):
+                    bits |= 1 << slot
+            self.known[id(node)] = bits
+        return np.unpackbits(np.frombuffer(bits.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
+
+
+def features(blocks: Sequence[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row of INPUT numbers for each of ``blocks[start:stop]``, a page's blocks."""
+    n, paths = len(blocks), PathSlots()
+    part = blocks[start:stop]
+    out = np.zeros((len(part), INPUT), dtype=np.float32)
+    for i, block in enumerate(part, start):
+        row, text = out[i - start], block.text
+        row[:PATH] = paths.of(block.element)
+        row[list(_path_slots(block.leaf))] = 1
         words = text.split(" ")
         slots = np.fromiter(
             (zlib.crc32(w.lower().encode("utf-8", "replace")) for w in words), np.uint32, len(words)
@@ -92,13 +115,13 @@ class BiLSTM:
         self.p["V"] = (r.standard_normal((2 * HIDDEN, 1)) * 0.1).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Outputs (n, t, HIDDEN); x and mask already in reading order. Padding
-        carries the state on unchanged."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool, state=None) -> tuple[np.ndarray, list, tuple]:
+        """Outputs (n, t, HIDDEN), and the state after them; x and mask already in
+        reading order. Padding carries the state on unchanged."""
         p, h_ = self.p, HIDDEN
         n, t, _ = x.shape
         z_in = x @ p["W" + d] + p["b" + d]
-        h, c = np.zeros((n, h_), np.float32), np.zeros((n, h_), np.float32)
+        h, c = state or (np.zeros((n, h_), np.float32), np.zeros((n, h_), np.float32))
         out, trace = np.empty((n, t, h_), np.float32), []
         for s in range(t):
             z = z_in[:, s] + h @ p["U" + d]
@@ -113,7 +136,7 @@ class BiLSTM:
             c = m * new_c + (1 - m) * c
             h = m * (o * tc) + (1 - m) * h
             out[:, s] = h
-        return out, trace
+        return out, trace, (h, c)
 
     def _back(self, d: str, x: np.ndarray, trace: list, d_out: np.ndarray) -> dict[str, np.ndarray]:
         p, h_ = self.p, HIDDEN
@@ -148,8 +171,8 @@ class BiLSTM:
 
     def outputs(self, rows: Sequence[np.ndarray], keep: bool = False):
         x, mask = self._padded(rows)
-        forward, trace_f = self._run("f", x, mask, keep)
-        backward, trace_b = self._run("b", x[:, ::-1], mask[:, ::-1], keep)
+        forward, trace_f, _ = self._run("f", x, mask, keep)
+        backward, trace_b, _ = self._run("b", x[:, ::-1], mask[:, ::-1], keep)
         both = np.concatenate([forward, backward[:, ::-1]], axis=2)
         logit = (both @ self.p["V"])[:, :, 0] + self.p["c"]
         return logit, (x, mask, both, trace_f, trace_b)
@@ -159,6 +182,19 @@ class BiLSTM:
         logit, _ = self.outputs(rows)
         return [logit[k, : len(r)] > 0 for k, r in enumerate(rows)]
 
+    def label_page(self, blocks: Sequence[Block]) -> np.ndarray:
+        """The same for one page of any length, its features made stretch by
+        stretch, once in each direction, with the state carried over."""
+        starts = range(0, len(blocks), LABEL_BLOCKS)
+        logit = np.full(len(blocks), self.p["c"][0], np.float32)
+        for d, weight, stretches in (("f", self.p["V"][:HIDDEN], starts), ("b", self.p["V"][HIDDEN:], reversed(starts))):
+            state, turn = None, 1 if d == "f" else -1
+            for start in stretches:
+                x = features(blocks, start, start + LABEL_BLOCKS)[None, ::turn]
+                out, _, state = self._run(d, x, np.ones(x.shape[:2], np.float32), False, state)
+                logit[start : start + LABEL_BLOCKS] += (out[0, ::turn] @ weight)[:, 0]
+        return logit > 0
+
     def fit(self, rows: Sequence[np.ndarray], truth: Sequence[np.ndarray], epochs: int = EPOCHS) -> None:
         """Adam on the mean log loss of the blocks of each batch."""
         r = np.random.default_rng(SEED)
@@ -192,13 +228,17 @@ class BiLSTM:
 def known_labels(blocks: Sequence[Block]) -> np.ndarray | None:
     """What the elements of a page themselves say, None if they don't: inside
     article or main and in no aside part of it is main text, all else is not."""
-    if not any(n in ("tag article", "tag main") for b in blocks for n in b.path):
-        return None
     aside = {f"is {n}" for n in ASIDE_NAMES} | {f"tag {t}" for t in ASIDE_TAGS}
-    return np.array(
-        [("tag article" in b.path or "tag main" in b.path) and not aside.intersection(b.path) for b in blocks],
-        dtype=np.float32,
-    )
+    paths = [set(b.element.path()) if b.element else set() for b in blocks]
+    if not any(MAIN_TAGS & path for path in paths):
+        return None
+    return np.array([bool(MAIN_TAGS & path) and not aside & path for path in paths], dtype=np.float32)
+
+
+def written(text: str, path: tuple[str, ...], link_share: float) -> Block:
+    """A block below the names of ``path``, the last of which is its leaf."""
+    tag = path[-1][len("leaf ") :]
+    return Block(text, Node(tag, path[:-1]) if tag else None, link_share)
 
 
 class _Writer:
@@ -241,7 +281,7 @@ class _Writer:
                 at, text, link = base + ("tag p", "leaf p"), self.sentences(), 0.0
             else:
                 at, text, link = base + ("leaf " + own[0][4:],), r.choice([self.words(2, 12), self.sentences()]), r.choice([0.0, 0.3])
-            out.append((Block(text, at, link), 0))
+            out.append((written(text, at, link), 0))
         return out
 
     def main(self, path: tuple[str, ...]) -> list[tuple[Block, int]]:
@@ -259,12 +299,12 @@ class _Writer:
             own += ("tag div",) + self.names(r.choice(MAIN_NAMES))
         base, out = path + own, []
         if r.random() < 0.8:
-            out.append((Block(self.words(2, 12), base + ("tag h1", "leaf h1"), 0.0), 1))
+            out.append((written(self.words(2, 12), base + ("tag h1", "leaf h1"), 0.0), 1))
         for _ in range(r.choice([1, 2, 3, 5, 9, 20])):
             tag = r.choices(["p", "h2", "li", "blockquote", "pre", "td", "figcaption"], [12, 1, 1, 1, 0.5, 0.5, 0.5])[0]
             text = self.words(1, 8) if tag == "h2" else self.words(1, 40) if r.random() < 0.3 else self.sentences()
             inner = ("tag ul",) if tag == "li" else ("tag table", "tag tr") if tag == "td" else ()
-            out.append((Block(text, base + inner + (f"tag {tag}", f"leaf {tag}"), r.choice([0.0] * 6 + [0.2, 0.9])), 1))
+            out.append((written(text, base + inner + (f"tag {tag}", f"leaf {tag}"), r.choice([0.0] * 6 + [0.2, 0.9])), 1))
             if r.random() < 0.05:
                 out += self.aside(base)
         return out
@@ -274,10 +314,10 @@ class _Writer:
         if r.random() < 0.04:  # text with hardly any markup
             tags = r.choice([(), ("tag p",)])
             leaf = f"leaf {tags[0][4:]}" if tags else "leaf"
-            blocks = [Block(self.sentences(), (*tags, leaf), 0.0) for _ in range(r.choice([1, 1, 2, 4]) if tags else 1)]
+            blocks = [written(self.sentences(), (*tags, leaf), 0.0) for _ in range(r.choice([1, 1, 2, 4]) if tags else 1)]
             return blocks, np.ones(len(blocks), dtype=np.float32)
         body = ("tag html", "tag body") + (("tag div",) + self.names("page") if r.random() < 0.2 else ())
-        parts = [(Block(self.words(2, 12), ("tag html", "tag head", "tag title", "leaf title"), 0.0), 0)]
+        parts = [(written(self.words(2, 12), ("tag html", "tag head", "tag title", "leaf title"), 0.0), 0)]
         for _ in range(r.choice([0, 1, 2, 3])):
             parts += self.aside(body)
         parts += self.main(body)
@@ -319,7 +359,11 @@ def main_texts(network: BiLSTM, pages: Sequence[str | None]) -> list[str]:
         while end < len(order) and (end + 1 - at) * len(blocks[order[end]]) <= LABEL_BLOCKS:
             end += 1
         batch = order[at:end]
-        for i, keep in zip(batch, network.label([features(blocks[i]) for i in batch])):
+        if len(blocks[batch[0]]) > LABEL_BLOCKS:
+            kept = [network.label_page(blocks[batch[0]])]
+        else:
+            kept = network.label([features(blocks[i]) for i in batch])
+        for i, keep in zip(batch, kept):
             found[i] = "\n\n".join(b.text for b, k in zip(blocks[i], keep) if k)
         at = end
     return found

@@ -1,5 +1,7 @@
 import html
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -106,3 +108,68 @@ def test_odd_pages(spark):
     assert by_url[(2, None)].text == "" and by_url[(3, "u")].n_chars == 0
     assert by_url[(1, "u")].text.startswith("News & more")
     assert extraction.extract_pages(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p title="5" tall">abc', ["abc"]),
+        ('<a href="x"">abc</a>', ["abc"]),
+        ("<b title='x>abc", ["abc"]),
+        ("<b title='x>abc</b> <i title=\"y>d", ["abc d"]),
+        ("<div class='a'b'>abc", ["abc"]),
+        ("abc <a href=\"foo", ["abc"]),
+        ("abc <a href=foo", ["abc"]),
+        ("abc <p", ["abc"]),
+        ("abc </p", ["abc"]),
+        ("1 < 2 <3 a<b> c </ d> e <", ["1 < 2 <3 a c e <"]),
+        ("<p a = 'x>y' b=>one<p/ >two", ["one", "two"]),
+        ("a<!-->b<!--->c<!-- x --!>d<!-- never closed <p>e", ["abcd"]),
+        ("a<?php echo 1 ?>b<!doctype html>c", ["abc"]),
+        ("<SCRIPT>if (a</scripts) <p></SCRIPT >a<style>p{}</STYLE>b", ["ab"]),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>d<p>e<p>f<div>g</p>h</div>", ["a", "b", "c", "d", "e", "f", "g", "h"]),
+        ("<table><tr><td>a<td>b<tr><th>c</table>", ["a", "b", "c"]),
+    ],
+)
+def test_tags_leave_no_markup_and_take_no_text(page, texts):
+    assert [b.text for b in blocks_of(page)] == texts
+
+
+def test_names_of_a_path():
+    (block,) = blocks_of("<DIV Class='mainText' data-id=no id=top><span class=x><p role=note>text")
+    assert sorted(block.element.path()) == sorted(
+        ["tag div", "is main", "is text", "is top", "tag p", "is note"]
+    ) and block.leaf == "leaf p"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ['<a "x ', "<a b='x ", "<div>x", "<p>x", "<li>x<div>", "</div>x<div><div>", "<!--", "<!-- -->", "<a b=\"'>", "<script>", "< ", "<div a='", "&amp;<b>", "<td>x<table>x", "<div class=k>"],
+)
+def test_time_and_memory_grow_with_the_page_alone(piece):
+    def measured(size):
+        tracemalloc.start()
+        start = time.process_time()
+        blocks_of(piece * (size // len(piece)))
+        seconds, (_, peak) = time.process_time() - start, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return seconds, peak
+
+    seconds, peak = measured(1_000_000)
+    small, _ = measured(125_000)
+    assert peak < 300e6 and (seconds < 5 or seconds < 16 * small)
+
+
+def test_long_page_is_labelled_as_a_whole(network, monkeypatch):
+    blocks = blocks_of(PAGE * 40)
+    whole = network.label([extraction.features(blocks)])[0]
+    monkeypatch.setattr(extraction, "LABEL_BLOCKS", 50)
+    assert len(blocks) > 400 and network.label_page(blocks).tolist() == whole.tolist()
+    assert extraction.main_texts(network, [PAGE * 40, PAGE])[1].startswith("News & more")
+
+
+def test_deeply_nested_elements(network):
+    deep = "<div>x" * 20_000
+    (text,) = extraction.main_texts(network, [deep])
+    assert set(text) <= {"x", "\n"}
+    assert len(extraction.main_texts(network, ["<div>" * 100_000 + "<p>" + "A sentence. " * 50])[0]) >= 0

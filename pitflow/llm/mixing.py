@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Only DataFrame functions. Every document has a 40-bit hash of its id. A source
+Only DataFrame functions. Every document has a 40-bit hash of its id, repeated
+rows one each. A source
 takes each of its documents a whole number of times, and once more those whose
 hash lies below the source's threshold. The threshold is found without sorting:
 sum words by source and hash bucket, find the bucket in which the running sum
@@ -15,28 +16,78 @@ from pyspark.sql import functions as F
 from pitflow.llm.common import WORD, cut
 
 BITS, LEVELS = 10, 4
+#: Sources whose states are broadcast at most, a row of some hundred bytes each.
+FEW = 10_000
+#: Parts of a source where there are more of them, and of the rows of one id.
+SALTS, CELLS = 32, 256
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 
 
-def position(doc_id: Column) -> Column:
-    """The 40-bit hash of an id."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")
+def position(text: Column) -> Column:
+    """A 40-bit hash."""
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h), written once. Null text: 0 words; a null id
-    hashes as empty text, so rows without id are taken or left together, like
-    repeated rows."""
-    return cut(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            position(F.col("doc_id")).alias("h"),
-        )
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def repeated_ids(sizes: DataFrame) -> DataFrame | None:
+    """(source, doc_id) that several rows share; None if there are none. Counted
+    before the shuffle, so an id of very many rows is one row a task."""
+    counts = sizes.groupBy(F.col("source").alias("again_source"), F.col("doc_id").alias("again_id")).count()
+    again = cut(counts.where(F.col("count") > 1).drop("count"))
+    return None if again.isEmpty() else again
+
+
+def placed(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """Adds ``h``, the place of each of ``rows`` (source, doc_id, size and others)
+    on the line that thresholds cut: the hash of its id or, if rows of its source
+    share the id, of id, size and a number. A null id hashes as empty text.
+
+    Which of the rows with equal id and size has which number makes no difference
+    to what is taken. They are numbered in CELLS parts each, so that no task has to
+    put all rows of an id in order.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if again is None:
+        return rows.withColumn("h", position(name))
+    shared = F.col("source").eqNullSafe(F.col("again_source")) & F.col("doc_id").eqNullSafe(F.col("again_id"))
+    alone = rows.join(again, shared, "left_anti").withColumn("h", position(name))
+    key = ["source", "doc_id", "size"]
+    many = rows.join(again, shared, "left_semi").withColumn("cell", F.monotonically_increasing_id() % CELLS)
+    # Fixed before it is read twice: the parts must not change between counting and numbering.
+    many = cut(many)
+    ahead = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy(*key, "cell").count()
+    first = counts.select(
+        *(F.col(c).alias(f"first_{c}") for c in (*key, "cell")),
+        F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("first"),
     )
+    same = [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in (*key, "cell")]
+    inside = F.row_number().over(Window.partitionBy(*key, "cell").orderBy("cell")) - 1
+    numbered = many.withColumn("number", inside).join(first, same)
+    own = F.concat_ws("/", name, F.col("size"), F.col("number") + F.col("first"))
+    return alone.unionByName(numbered.withColumn("h", position(own)).select(*alone.columns))
+
+
+def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, source, size, h) of every row, written once, and the repeated ids."""
+    plain = cut(docs.select("doc_id", "source", word_count().alias("size")))
+    again = repeated_ids(plain)
+    return placed(plain, again) if again is None else cut(placed(plain, again)), again
+
+
+def met(rows: DataFrame, source: Column, state: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the row of ``state`` (src and others) for their source. Up to
+    FEW sources are broadcast, so that rows stay where they are. More of them are
+    joined by source and a salt, as one source may hold a third of all rows."""
+    if few:
+        return rows.join(F.broadcast(state), source.eqNullSafe(F.col("src")))
+    salted = rows.withColumn("salt", F.floor(F.rand(0) * SALTS).cast("int"))
+    each = state.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, source.eqNullSafe(F.col("src")) & (F.col("salt") == F.col("salt_of"))).drop("salt", "salt_of")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -70,7 +121,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFr
     )
 
 
-def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """(src, source_size, target, whole, threshold): below it, documents are
     taken once more. Of the two edges around the budget the nearer one counts,
     so a source misses its target by half its boundary document at most."""
@@ -78,9 +129,7 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     carried = ["src", "source_size", "target", "whole", "prefix", "left"]
     for level in range(LEVELS):
         shift = BITS * (LEVELS - level)
-        inside = sizes.join(
-            state, F.col("source").eqNullSafe(F.col("src")) & (F.shiftright("h", shift) == F.col("prefix"))
-        )
+        inside = met(sizes, F.col("source"), state, few).where(F.shiftright("h", shift) == F.col("prefix"))
         histogram = inside.groupBy(
             *carried, F.shiftright("h", shift - BITS).alias("bucket")
         ).agg(F.sum("size").alias("words"))
@@ -106,47 +155,66 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
+def planned(sizes: DataFrame, weights, share: float, most: float) -> tuple[DataFrame, bool]:
+    """(src, source_size, target, whole, threshold), a row per source, written once,
+    and whether they are few."""
+    plan = cut(targets(sizes, weights, share, most))
+    few = plan.count() <= FEW
+    return cut(thresholds(sizes, plan, few)), few
+
+
+def repeats_of(h: Column) -> Column:
+    return F.col("whole") + (h < F.col("threshold")).cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted)
-    and repeats for every row of ``docs`` (doc_id, text, source). Empty tables
-    give an empty mix; other columns are not read."""
-    sizes = sized(docs)
-    plan = thresholds(sizes, targets(sizes, weights, share, most))
-    repeats = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("src"))).select(
+    and repeats for every row of ``docs`` (doc_id, text, source).
+
+    Null texts have no words. Rows that repeat an id are taken one by one, rows
+    without id too. A null source is a source. Empty tables give an empty mix;
+    other columns are not read.
+    """
+    sizes, _ = sized(docs)
+    plan, few = planned(sizes, weights, share, most)
+    taken = met(sizes, F.col("source"), plan, few).withColumn("repeats", repeats_of(F.col("h")))
+    return taken.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (F.col("size") * repeats).alias("taken"),
-        repeats.alias("repeats"),
+        (F.col("size") * F.col("repeats")).alias("taken"),
+        "repeats",
     )
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The rows of ``docs`` themselves, each as often as the mix takes it.
 
-    The thresholds, a row per source, come from a narrow pass over the ids and
-    word counts; the texts are then filtered as they are read, unsorted and
-    without a shuffle of their own.
+    The thresholds, a row per source, come from a narrow pass over ids and word
+    counts and are broadcast, so texts are filtered as they are read, neither
+    sorted nor shuffled. Only where ids repeat, or sources are more than FEW, are
+    texts joined with the repeated ids or the sources. Nulls and empty tables as
+    in ``mix``; all columns come back, whatever their names.
     """
-    sizes = sized(docs)
-    plan = thresholds(sizes, targets(sizes, weights, share, most)).select(
-        F.struct("src", "whole", "threshold").alias("_mix")
-    )
-    again = position(docs["doc_id"]) < F.col("_mix.threshold")
-    repeats = F.col("_mix.whole") + again.cast("long")
-    taken = docs.join(plan, docs["source"].eqNullSafe(F.col("_mix.src"))).where(repeats > 0)
-    copies = F.explode(F.array_repeat(F.lit(True), repeats.cast("int"))).alias("_copy")
-    return taken.select(*(docs[c] for c in docs.columns), copies).select(*(F.col(c) for c in docs.columns))
+    sizes, again = sized(docs)
+    plan, few = planned(sizes, weights, share, most)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count().alias("size"))
+    taken = met(placed(rows, again), F.col("source"), plan, few)
+    copies = F.explode(F.array_repeat(F.lit(True), repeats_of(F.col("h")).cast("int")))
+    return taken.select("doc", copies.alias("copy")).select("doc.*")
 
 
 ORACLE = r"""
-WITH d AS (
+WITH r AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS h
+         count(*) OVER (PARTITION BY source, doc_id) AS again
   FROM {docs}),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS number FROM r),
+d AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')
+                || CASE WHEN again > 1 THEN '/' || size || '/' || number ELSE '' END), 1, 10))::BIGINT AS h
+      FROM n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
                 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w FROM s),

@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pitflow.llm import mixing, queries
 
@@ -52,6 +53,45 @@ def test_empty_table(spark, make_docs):
     assert mixing.mixed(make_docs([])).count() == 0
 
 
+def test_repeated_ids_are_taken_one_by_one(spark, make_docs):
+    rows = [(7, "eight words of one text that is repeated", "en", "a")] * 100 + [(i, "w " * 8, "en", "b") for i in range(100)]
+    for table in (mixing.mix(make_docs(rows)), mixing.mix(make_docs([(None, *r[1:]) for r in rows]))):
+        for row in table.groupBy("source", "target").sum("taken").collect():
+            assert abs(row["sum(taken)"] - row["target"]) <= 8
+    docs = make_docs(rows)
+    assert mixing.mixed(docs).groupBy("source").count().collect() == mixing.mix(docs).groupBy("source").agg(
+        F.sum("repeats").alias("count")
+    ).collect()
+
+
+def test_many_sources_without_broadcast(spark, make_docs, odd_rows, monkeypatch):
+    rows = odd_rows + [(100 + i, "w " * (i % 9), "en", f"s{i % 7}") for i in range(300)]
+    want = sorted(map(repr, mixing.mix(make_docs(rows)).collect()))
+    texts = sorted(map(repr, mixing.mixed(make_docs(rows)).collect()))
+    monkeypatch.setattr(mixing, "FEW", 3)
+    assert sorted(map(repr, mixing.mix(make_docs(rows)).collect())) == want
+    assert sorted(map(repr, mixing.mixed(make_docs(rows)).collect())) == texts
+
+
+def test_texts_are_not_shuffled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = mixing.mixed(docs)
+    mixed.write.format("noop").mode("overwrite").save()
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "Exchange hash" not in plan and "Exchange rangepart" not in plan
+
+
+def test_clashing_names(spark):
+    names = "_mix _copy doc copy src h salt salt_of cell number first again_id again_source count repeats".split()
+    docs = spark.createDataFrame(
+        [(1, "a b", "s", *names), (1, "a b", "s", *names), (2, "c", None, *names)],
+        ["doc_id", "text", "source", *names],
+    )
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and {r.salt for r in mixed.collect()} <= {"salt"}
+    assert mixing.mix(docs).count() == 3
+
+
 def test_no_python_in_the_plan(spark, make_docs, odd_rows):
     plan = mixing.mix(make_docs(odd_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

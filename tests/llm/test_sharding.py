@@ -71,6 +71,40 @@ def test_group_above_a_shard_is_divided(spark, make_docs):
     assert max(loads) - min(loads) <= 0.05 * max(loads)
 
 
+def test_equal_rows_without_id_are_divided_too(spark, make_docs):
+    rows = [(None, "same text")] * 1600 + [(i, f"t{i}") for i in range(200)]
+    got = sharding.shard(make_docs(rows)).collect()
+    check(rows, got)
+    loads = [sum(x.size for x in got if x.shard == s) for s in range(16)]
+    assert max(loads) - min(loads) <= 0.05 * max(loads)
+
+
+def test_every_group_is_packed_by_best_fit_decreasing(spark, make_docs):
+    """3,000 groups of one to six copies, against best fit decreasing on the groups."""
+    r = random.Random(9)
+    texts = ["x" * r.choice([3, 17, 40, r.randint(0, 300)]) + str(i) for i in range(3000)]
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(r.choice([1, 1, 1, 2, 6])))]
+    got = sharding.shard(make_docs(rows)).collect()
+    check(rows, got)
+    place, size = {}, {}
+    for (_, text), row in zip(rows, sorted(got, key=lambda x: x.doc_id)):
+        assert place.setdefault(text, row.shard) == row.shard
+        size[text] = size.get(text, 0) + row.size
+    sizes = list(size.values())
+    capacity = -(-sum(sizes) // 16)
+    while plain_best_fit(sizes, capacity)[1] > 16:
+        capacity += 1
+    bins, _ = plain_best_fit(sizes, capacity)
+    by_bin = lambda where: sorted(sorted(s for s, b in zip(sizes, where) if b == n) for n in range(16))
+    assert by_bin(bins) == by_bin([place[t] for t in size])
+
+
+def test_hot_sizes_and_groups_are_numbered_in_cells(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 30)
+    rows = [(None, "a copy")] * 700 + [(1, "more")] * 90 + [(i, f"{i:05d}") for i in range(900)]
+    check(rows, sharding.shard(make_docs(rows)).collect())
+
+
 def test_odd_rows(spark, make_docs, odd_rows):
     check(odd_rows, sharding.shard(make_docs(odd_rows)).collect())
     assert sharding.shard(make_docs([])).count() == 0

@@ -43,3 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
 def remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The rows of ``sample`` (doc_id and others), a bounded number with one row
+    per id, with the text of their document. Of rows that share an id the text with
+    the smallest hash counts, so as many rows come back at most."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
+    texts = rows.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text"))["text"].alias("text"))
+    return texts.join(F.broadcast(sample), "doc_id")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitflow.llm.common import cut, remainder
+from pitflow.llm.common import cut, remainder, sampled_texts
 from pitflow.llm.letters import chunks, lower_letters
 
 FOLDS = 5
@@ -32,8 +32,8 @@ SUPPORT = 3
 #: Log odds below which a feature is ordinary speech.
 TELLING = 3.5
 PREFIXES = (4, 5, 6)
-#: Restored places that a task remembers.
-REMEMBERED = 1 << 16
+#: Characters of restored places that a task remembers, and what an entry takes besides.
+REMEMBERED, ENTRY = 1 << 24, 200
 
 # Letters that signs stand for in disguised words.
 SIGNS = {
@@ -194,7 +194,24 @@ def word_set(text: str, restore: Callable[[str], str], plain: Callable[[str], bo
 
 
 def remembered(model: LetterModel) -> Callable[[str], str]:
-    return lru_cache(REMEMBERED)(model.restore)
+    """``restore`` with a memory bounded by its size, not its entries, as a place
+    may be very long."""
+    known: dict[str, str] = {}
+    size = 0
+
+    def restore(place: str) -> str:
+        nonlocal size
+        if (found := known.get(place)) is None:
+            found = model.restore(place)
+            size += len(place) + len(found) + ENTRY
+            if size > REMEMBERED:
+                known.clear()
+                size = len(place) + len(found) + ENTRY
+            if size <= REMEMBERED:
+                known[place] = found
+        return found
+
+    return restore
 
 
 class WordWeights:
@@ -266,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel) -> WordWeigh
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(TRAIN_ROWS)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = sampled_texts(docs, sample)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = remembered(letters)
@@ -282,25 +299,20 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel) -> WordWeigh
     bad, good = docs_by_label.get(1, 0), docs_by_label.get(0, 0)
     if not bad or not good:
         return WordWeights({}, 0.0, math.log((bad + 0.5) / (good + 0.5)))
-    beginnings = [F.concat(F.substring("word", 1, n), F.lit("*")) for n in PREFIXES]
-    named = F.array("word", *(F.when(F.length("word") >= n, b) for n, b in zip(PREFIXES, beginnings)))
-
-    def counted(rows: DataFrame, name: str) -> DataFrame:
-        by_word = rows.select(F.monotonically_increasing_id().alias("id"), F.explode("words").alias("word"))
-        per_doc = by_word.select("id", F.explode(named).alias("feature")).where("feature IS NOT NULL").distinct()
-        return per_doc.groupBy("feature").agg(F.count("*").alias(name))
-
-    # Only what toxic documents hold often enough can weigh; the rest is not counted.
-    held = counted(train.where("toxic = 1"), "bad").where(F.col("bad") >= SUPPORT)
-    word_rows = train.where("toxic = 0").select(F.explode("words").alias("word"))
-    held_good = (
-        word_rows.select(F.explode(named).alias("feature"))
-        .join(held.select("feature"), "feature", "left_semi")
-        .groupBy("feature")
-        .agg(F.count("*").alias("good"))
-    )
-    table = held.join(held_good, "feature", "left").fillna(0).toPandas()
-    a, c = table["bad"].to_numpy(float), np.minimum(table["good"].to_numpy(float), good)
+
+    def named(word: Column) -> Column:
+        """The word and its beginnings; nulls where it is too short."""
+        starts = (F.when(F.length(word) >= n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in PREFIXES)
+        return F.array(word, *starts)
+
+    # Of each document every feature once, however many of its words begin alike.
+    features = F.array_distinct(F.flatten(F.transform("words", named)))
+    per_doc = train.select("toxic", F.explode(features).alias("feature")).where("feature IS NOT NULL")
+    by_label = [F.count_if(F.col("toxic") == label).alias(name) for label, name in ((1, "bad"), (0, "good"))]
+    held = per_doc.groupBy("feature").agg(*by_label)
+    # Only what toxic documents hold often enough can weigh.
+    table = held.where(F.col("bad") >= SUPPORT).toPandas()
+    a, c = table["bad"].to_numpy(float), table["good"].to_numpy(float)
     weight = np.log((a + 0.1) / (bad + 0.2)) - np.log((c + 0.1) / (good + 0.2))
     everywhere = (a + c) / (bad + good)
     gain = 2 * (
@@ -342,7 +354,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels`` (doc_id, toxic) teaches the word weights. Null and empty texts
     have no words and get the score of a document without evidence; so does
     every text if the labels show one class only. Null ids count as empty text
-    in the checksum.
+    in the checksum. Texts of any length are read whole, and repeated rows are
+    scored alike. Of rows that share an id, one is learned from; of several labels,
+    any 1 counts. Empty tables give no rows; other columns are not read.
     """
     letters = letter_model(docs)
     weights = learn(docs, labels, letters)
@@ -353,7 +367,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold."""
+    """The rows of ``docs`` that score below the threshold, as often as they are
+    there, all columns as they were. Null and empty texts score as documents
+    without evidence, rows without id like others; an empty table stays empty."""
     letters = letter_model(docs)
     weights = learn(docs, labels, letters)
     rows = docs.select(F.struct("*").alias("doc"), scored(letters, weights)("text").alias("score"))

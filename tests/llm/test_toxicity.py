@@ -5,6 +5,7 @@ from itertools import product
 import numpy as np
 import pytest
 
+from pitflow.llm.common import sampled_texts
 from pitflow.llm import queries, toxicity as tox
 from pitflow.llm.letters import lower_letters
 
@@ -125,7 +126,8 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id in (3, 4, 5)}) == 1
     kept = tox.clean(docs, labels.where("false"))
-    assert kept.columns == docs.columns and kept.count() == 0 or kept.count() == len(odd_rows)
+    assert kept.columns == docs.columns and kept.count() in (0, len(odd_rows))
+    assert tox.clean(make_docs([]), labels).count() == 0
     assert tox.score_documents(make_docs([]), labels).count() == 0
 
 
@@ -136,3 +138,62 @@ def test_clean_documents_stay(spark, make_docs):
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows[:90]], "doc_id long, toxic int")
     kept = {r.doc_id for r in tox.clean(make_docs(rows), labels).collect()}
     assert kept == {*range(60), 201}
+
+
+def test_a_feature_counts_once_a_document(spark, make_docs, letters):
+    """Five words of one beginning in a good document are one document with it."""
+    rows = [(i, "idiot idiotic") for i in range(20)] + [(100 + i, "idiots idioms idiomatic idiocy idiots") for i in range(2)]
+    rows += [(200 + i, f"fine words {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    used = [i for i, _ in rows if zlib.crc32(str(i).encode()) % tox.FOLDS]
+    bad, good = sum(i < 100 for i in used), sum(i >= 100 for i in used)
+    with_it = sum(100 <= i < 200 for i in used)
+    weights = tox.learn(make_docs(rows), labels, letters).weights
+    want = math.log((bad + 0.1) / (bad + 0.2)) - math.log((with_it + 0.1) / (good + 0.2))
+    assert with_it and ("idio*" in weights) == (want > tox.TELLING)
+    monkey = tox.TELLING
+    tox.TELLING = 0.1
+    try:
+        weights = tox.learn(make_docs(rows), labels, letters).weights
+    finally:
+        tox.TELLING = monkey
+    assert weights["idio*"] == pytest.approx(want)
+
+
+def test_memory_of_places_is_bounded_by_their_size(letters, monkeypatch):
+    monkeypatch.setattr(tox, "REMEMBERED", 1000)
+    restore = tox.remembered(letters)
+    held = restore.__closure__[[c for c in restore.__code__.co_freevars].index("known")].cell_contents
+    for i in range(60):
+        assert restore(f"1d10t{'x' * i}") == letters.restore(f"1d10t{'x' * i}")
+        assert sum(len(k) + len(v) + tox.ENTRY for k, v in held.items()) <= 1000
+    restore("1d" * 2000)
+    assert "1d" * 2000 not in held
+
+
+def plain_score(text, letters, weights):
+    """The score word by word: all words of the restored text, each with the
+    weight of the whole word or of its telling beginnings, whichever is largest."""
+    words = tox.word_set(text or "", letters.restore, weights.telling) | weights.parted(text or "")
+    evidence = 0.0
+    for word in words:
+        options = [weights.weights.get(word, 0.0)] + [weights.weights.get(word[:n] + "*", 0.0) for n in tox.PREFIXES if len(word) >= n]
+        evidence += max(*options, 0.0)
+    return 1 / (1 + math.exp(-(weights.offset + weights.slope * math.log1p(evidence))))
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    letters = tox.letter_model(docs)
+    weights = tox.learn(docs, labels, letters)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for row in tox.score_documents(docs, labels).collect():
+        assert row.score == pytest.approx(plain_score(texts[row.doc_id], letters, weights), abs=1e-9)
+        assert row.predicted == (row.score >= 0.5) and row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_one_row_of_an_id_is_learned_from(spark, make_docs):
+    docs = make_docs([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d"), (3, "e")])
+    sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.toxic) for r in sampled_texts(docs, sample).collect())
+    assert got == [(1, 1), (2, 0)]

@@ -1,15 +1,15 @@
-"""Byte-level BPE by replaying the merges over the words of the whole corpus.
-
-The pattern of the vocabulary splits every text into words, and merges never
-cross them. So the corpus is encoded word by word: each different word goes, once
-for the whole corpus, into a block of words that a task replays the merges over.
-An inverted index leads from each token that a pair of neighbours would make to
-the places of such pairs in all words of the block. The lowest rank in the index
-comes next, all its places are merged, and only the neighbours of those places
-are looked at anew. Texts are then spelled by their words' ids.
-
-Texts are not shuffled: a pass over them leaves, for each chunk of some
-megabytes, the chunk's different words and every text as numbers of these words.
+"""Byte-level BPE by replaying the merges over all words at once.
+
+The pattern of the vocabulary splits texts into words, and merges never cross
+them. So a corpus is encoded by its different words: a task gathers those of the
+documents it reads and replays the merges over all of them together. An inverted
+index leads from each token that a pair of neighbours would make to the places
+of such pairs in all words. The lowest rank in the index comes next, all its
+places are merged, and only the neighbours of those places are looked at anew.
+Texts are then spelled by their words' ids.
+
+Nothing is shuffled. To share words between tasks would cost more than it saves:
+a fifth of the words of some megabytes of text occur once in them.
 """
 
 from __future__ import annotations
@@ -18,12 +18,10 @@ import base64
 import heapq
 import sys
 import unicodedata
-import uuid
-import zlib
 from array import array
-from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,20 +29,21 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
-
-from pitflow.llm.common import shared_root
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Characters of text whose words share a chunk; a longer text is a chunk alone.
+#: Characters of text that are read before their words are encoded; a longer text comes alone.
 CHUNK_CHARS = 1 << 22
+#: Bytes of words and ids that a task remembers, with what a word takes besides.
+REMEMBERED_BYTES, WORD_BYTES = 1 << 27, 200
 #: Bytes of words that the merges are replayed over at once; a longer word is a block alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 22
 END = -1
+#: Places of a rank from which on they are merged in bulk.
+BULK = 24
 
 
 @lru_cache(2)
@@ -59,79 +58,137 @@ def tokens_by_id(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """The ids of every word, packed as little-endian unsigned 32-bit integers.
-
-    Places are numbered through all words. A merge can make a pair of lower rank
-    than its own only within its word; the other places of that word then wait
-    until the lower rank has had its turn, as they would if it stood alone.
-    """
-    token, after, before, starts = array("q"), array("q"), array("q"), []
-    single = [ranks[bytes([b])] for b in range(256)]
-    for word in words:
-        first, n = len(token), len(word)
-        starts.append(first)
-        token.extend(single[b] for b in word)
-        after.extend(range(first + 1, first + n + 1))
-        before.extend(range(first - 1, first + n - 1))
-        if n:
-            after[-1] = before[first] = END
-    ends = [*starts[1:], len(token)]
-    piece = {rank: text for text, rank in ranks.items()}
-    known: dict[tuple[int, int], int | None] = {}
-
-    def made(left: int, right: int) -> int | None:
-        """The token that two neighbours make, if there is one."""
-        pair = (token[left], token[right])
-        if pair not in known:
-            known[pair] = ranks.get(piece[pair[0]] + piece[pair[1]])
-        return known[pair]
-
-    places: dict[int, array] = {}
-    queue: list[int] = []
-
-    def noted(left: int, right: int) -> int:
-        """Enters a pair in the index. The rank of what it makes, or one above all."""
-        rank = made(left, right)
+class Replay:
+    """Words as linked tokens, and the index over their pairs."""
+
+    def __init__(self, words: list[bytes], ranks: dict[bytes, int]):
+        self.ranks, self.none = ranks, len(ranks)
+        self.piece = {rank: text for text, rank in ranks.items()}
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(sizes)
+        single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        letters = single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        place = np.arange(len(letters), dtype=np.int32)
+        last, first = self.ends[sizes > 0] - 1, (self.ends - sizes)[sizes > 0]
+        after, before = place + 1, place - 1
+        after[last] = before[first] = END
+        # One memory, read and written singly by the arrays and in bulk by the views.
+        self.token, self.after, self.before = (array("i", x.tobytes()) for x in (letters, after, before))
+        self.tokens, self.afters, self.befores = (
+            np.frombuffer(x, dtype=np.int32) for x in (self.token, self.after, self.before)
+        )
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        self.known: dict[int, int] = {}  # pair -> rank of what it makes
+        self.places: dict[int, array] = {}
+        self.queue: list[int] = []
+        left = np.flatnonzero(after != END)
+        self.enter_all(left, letters[left].astype(np.int64) * self.none + letters[left + 1])
+
+    def made(self, pair: int) -> int:
+        """The rank of the token that a pair makes, or one above all."""
+        rank = self.known.get(pair)
         if rank is None:
-            return len(ranks)
-        if rank not in places:
-            places[rank] = array("q")
-            heapq.heappush(queue, rank)
-        places[rank].append(left)
+            left, right = divmod(pair, self.none)
+            rank = self.known[pair] = self.ranks.get(self.piece[left] + self.piece[right], self.none)
+        return rank
+
+    def listed(self, rank: int) -> array:
+        found = self.places.get(rank)
+        if found is None:
+            found = self.places[rank] = array("i")
+            heapq.heappush(self.queue, rank)
+        return found
+
+    def enter(self, left: int, pair: int) -> int:
+        rank = self.made(pair)
+        if rank < self.none:
+            self.listed(rank).append(left)
         return rank
 
-    for left, right in enumerate(after):
-        if right != END:
-            noted(left, right)
-    while queue:
-        rank = heapq.heappop(queue)
-        word_end, waiting = 0, array("q")  # up to word_end a lower rank comes first
-        for left in sorted(places.pop(rank)):
+    def enter_all(self, left: np.ndarray, pairs: np.ndarray) -> None:
+        different, which = np.unique(pairs, return_inverse=True)
+        rank = np.array([self.made(p) for p in different.tolist()], dtype=np.int64)[which]
+        left, rank = left[rank < self.none], rank[rank < self.none]
+        order = np.argsort(rank, kind="stable")
+        left, rank = left[order].astype(np.int32), rank[order]
+        cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+        for some, r in zip(np.split(left, cuts), rank[np.concatenate([[0], cuts])].tolist() if len(rank) else []):
+            self.listed(r).frombytes(some.tobytes())
+
+    def merge_all(self, rank: int, left: np.ndarray) -> None:
+        """Merges at places in different words."""
+        right = self.afters[left]
+        beyond, previous = self.afters[right], self.befores[left]
+        self.tokens[left], self.tokens[right], self.afters[left] = rank, END, beyond
+        at = beyond != END
+        self.befores[beyond[at]] = left[at]
+        self.enter_all(left[at], rank * self.none + self.tokens[beyond[at]].astype(np.int64))
+        at = previous != END
+        self.enter_all(previous[at], self.tokens[previous[at]].astype(np.int64) * self.none + rank)
+
+    def merge_in_turn(self, rank: int, places: list[int]) -> list[int]:
+        """Merges at places in order. The places that have to wait, as a merge in
+        their word made a pair of lower rank."""
+        token, after, before, none = self.token, self.after, self.before, self.none
+        word_end, waiting = 0, []
+        for left in places:
             if left < word_end:
                 waiting.append(left)
                 continue
             right = after[left]
-            if token[left] == END or right == END or made(left, right) != rank:
+            if token[left] == END or right == END or self.made(token[left] * none + token[right]) != rank:
                 continue
             beyond, previous = after[right], before[left]
             token[left], token[right], after[left] = rank, END, beyond
             lowest = rank
             if beyond != END:
                 before[beyond] = left
-                lowest = min(lowest, noted(left, beyond))
+                lowest = min(lowest, self.enter(left, rank * none + token[beyond]))
             if previous != END:
-                lowest = min(lowest, noted(previous, left))
+                lowest = min(lowest, self.enter(previous, token[previous] * none + rank))
             if lowest < rank:
-                word_end = ends[bisect_right(starts, left) - 1]
-        if waiting:
-            if rank in places:
-                places[rank].extend(waiting)
+                word_end = int(self.ends[self.word[left]])
+        return waiting
+
+    def run(self) -> None:
+        while self.queue:
+            rank = heapq.heappop(self.queue)
+            found = self.places.pop(rank)
+            if len(found) < BULK:
+                waiting = self.merge_in_turn(rank, sorted(found))
             else:
-                places[rank] = waiting
-                heapq.heappush(queue, rank)
-    ids = np.frombuffer(token, dtype=np.int64)
-    return [ids[a:b][ids[a:b] != END].astype("<u4").tobytes() for a, b in zip(starts, ends)]
+                left = np.unique(np.frombuffer(found, dtype=np.int32))
+                left = left[(self.tokens[left] != END) & (self.afters[left] != END)]
+                pairs = self.tokens[left].astype(np.int64) * self.none + self.tokens[self.afters[left]]
+                different, which = np.unique(pairs, return_inverse=True)
+                left = left[np.array([self.made(p) == rank for p in different.tolist()], dtype=bool)[which]]
+                word = self.word[left]
+                again = np.zeros(len(left), dtype=bool)  # words with several places
+                again[1:] |= word[1:] == word[:-1]
+                again[:-1] |= word[1:] == word[:-1]
+                waiting = self.merge_in_turn(rank, left[again].tolist())
+                self.merge_all(rank, left[~again])
+            if waiting:
+                self.listed(rank).extend(waiting)
+
+    def ids(self) -> list[bytes]:
+        kept = self.tokens != END
+        ids, upto = self.tokens[kept].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(kept)])
+        ends = upto[self.ends].tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
+    """The ids of every word, packed as little-endian unsigned 32-bit integers.
+
+    The lowest rank in the index comes next, with its places in all words. A merge
+    can make a pair of lower rank only within its word; the other places of that
+    word then wait until the lower rank has had its turn, as they would if the
+    word stood alone.
+    """
+    state = Replay(words, ranks)
+    state.run()
+    return state.ids()
 
 
 @lru_cache(1)
@@ -152,10 +209,12 @@ class Splitter:
     """Splits texts into words as the library does."""
 
     def __init__(self, pattern: str, unknown: tuple[int, ...]):
-        self.pattern, self.signs = regex.compile(pattern), dict.fromkeys(unknown, "\ue000")
+        self.pattern, self.unknown = regex.compile(pattern), unknown
+        self.signs = dict.fromkeys(unknown, "\ue000")
+        self.newer = frozenset(map(chr, unknown))
 
     def known(self, words: Iterable[str]) -> bool:
-        return set("".join(words)).isdisjoint(map(chr, self.signs))
+        return self.newer.isdisjoint(set("".join(words)))
 
     def words(self, text: str) -> list[str]:
         return self.pattern.findall(text)
@@ -166,81 +225,65 @@ class Splitter:
 
 
 def in_chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows of (doc_id, text) with up to ``most`` characters together."""
     chunk, size = [], 0
     for batch in batches:
-        for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
             text = text or ""
             if chunk and size + len(text) > most:
                 yield chunk
                 chunk, size = [], 0
-            chunk.append((row, text))
+            chunk.append((doc_id, text))
             size += len(text)
     if chunk:
         yield chunk
 
 
-def numbered(docs: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
-    """(chunk, row, spelled, words): a row per text, spelled as numbers of its
-    chunk's words, and a row per chunk with those words. ``docs`` has row and text."""
-    output = StructType(
-        [
-            StructField("chunk", LongType()),
-            docs.schema["row"],
-            StructField("spelled", BinaryType()),
-            StructField("words", ArrayType(BinaryType())),
-        ]
-    )
-    schema = to_arrow_schema(output)
+class Vocabulary:
+    """The different words seen so far, numbered, and their ids."""
 
-    unknown = unknown_characters()
+    def __init__(self, ranks: dict[bytes, int], split: Splitter, block_bytes: int):
+        self.ranks, self.split, self.block_bytes = ranks, split, block_bytes
+        self.forget()
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern, unknown)
-
-        def spelled(texts: list[tuple], words_of: Callable[[str], list[str]]) -> tuple[dict, list]:
-            numbers: dict[str, int] = {}
-            rows = []
-            for row, text in texts:
-                at = np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text)], dtype=np.int32)
-                rows.append((row, zlib.compress(at.tobytes(), 1)))
-            return numbers, rows
-
-        first = TaskContext.get().partitionId() << 32
-        for chunk, texts in enumerate(in_chunks(batches, chunk_chars), first):
-            numbers, rows = spelled(texts, split.words)
-            if not split.known(numbers):
-                numbers, rows = spelled(texts, split.words_around_unknown)
-            rows = [(chunk, *row, None) for row in rows]
-            rows.append((chunk, None, None, [w.encode() for w in numbers]))
-            columns = zip(zip(*rows), schema.types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=schema)
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.bytes = 0
 
-    return docs.mapInArrow(task, output)
+    def spelled(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text as numbers of its words."""
+        numbers, seen = self.numbers, len(self.numbers)
 
+        def by(words_of: Callable[[str], list[str]]) -> list[np.ndarray]:
+            return [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], dtype=np.int32) for t in texts]
 
-def encoded_words(words: DataFrame, path: str, block_bytes: int) -> DataFrame:
-    """(word, ids) of every row of ``words`` (word), which are all different."""
+        found = by(self.split.words)
+        return found if self.split.known(islice(numbers, seen, None)) else by(self.split.words_around_unknown)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
+    def learn(self) -> None:
+        """Replays the merges over the words that have no ids yet, in blocks."""
         block, size = [], 0
-
-        def finished() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {"word": pa.array(block, pa.binary()), "ids": pa.array(replay(block, ranks), pa.binary())}
-            )
-
-        for batch in batches:
-            for word in batch["word"].to_pylist():
-                if block and size + len(word) > block_bytes:
-                    yield finished()
-                    block, size = [], 0
-                block.append(word)
-                size += len(word)
+        for word in [w.encode() for w in islice(self.numbers, len(self.ids), None)]:
+            if block and size + len(word) > self.block_bytes:
+                self._add(block)
+                block, size = [], 0
+            block.append(word)
+            size += len(word)
         if block:
-            yield finished()
+            self._add(block)
 
-    return words.mapInArrow(task, "word binary, ids binary")
+    def _add(self, block: list[bytes]) -> None:
+        found = replay(block, self.ranks)
+        self.ids += found
+        self.bytes += sum(map(len, block)) + sum(map(len, found)) + WORD_BYTES * len(block)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.bytes > REMEMBERED_BYTES:
+            self.forget()
+        spelled = self.spelled(texts)
+        self.learn()
+        return [b"".join(map(self.ids.__getitem__, s.tolist())) for s in spelled]
 
 
 def encode(
@@ -254,32 +297,22 @@ def encode(
     whole text as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. Repeated rows and rows without doc_id are
-    rows like any other, as no step joins by doc_id. A text is read whole,
-    however long; it and its chunk's words are what a task holds at least.
-    Empty tables give no rows; other columns are not read.
+    rows like any other. A text is read whole, however long; it and its words are
+    what a task holds at least. Empty tables give no rows; other columns are not
+    read.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_root(spark)}/merges-{uuid.uuid4().hex}"
-    # Written once: the numbers of a chunk's words must not change between the two readings.
-    numbered(docs.select(F.col("doc_id").alias("row"), "text"), pattern, chunk_chars).write.parquet(folder)
-    chunks, texts = spark.read.parquet(folder), spark.read.parquet(folder)
-    wanted = chunks.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("number", "word"))
-    codes = encoded_words(wanted.select("word").distinct(), path, block_bytes)
-    found = wanted.join(codes, "word").select("chunk", "number", "ids")
-    texts = texts.where("spelled IS NOT NULL").select("chunk", "row", "spelled")
-
-    def spell(key, words: pa.Table, rows: pa.Table) -> pa.Table:
-        order = np.argsort(words["number"].to_numpy())
-        ids = words["ids"].take(pa.array(order)).to_pylist()
-        out = [
-            b"".join(map(ids.__getitem__, np.frombuffer(zlib.decompress(s), dtype=np.int32).tolist()))
-            for s in rows["spelled"].to_pylist()
-        ]
-        return pa.table({"doc_id": rows["row"], "ids": pa.array(out, pa.binary())})
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    both = found.groupBy("chunk").cogroup(texts.groupBy("chunk"))
-    return both.applyInArrow(spell, f"doc_id {id_type}, ids binary")
+    rows = docs.select("doc_id", "text")
+    output = StructType([rows.schema["doc_id"], StructField("ids", BinaryType())])
+    schema, unknown = to_arrow_schema(output), unknown_characters()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary(read_ranks(path), Splitter(pattern, unknown), block_bytes)
+        for chunk in in_chunks(batches, chunk_chars):
+            doc_ids, texts = zip(*chunk)
+            columns = zip((doc_ids, words.encode(texts)), schema.types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=schema)
+
+    return rows.mapInArrow(task, output)
 
 
 def decoded(ids: Column, path: str = RANKS) -> Column:

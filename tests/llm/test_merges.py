@@ -43,9 +43,11 @@ def small_ranks(tokens):
     return {**{bytes([b]): b for b in range(256)}, **{t: 256 + i for i, t in enumerate(tokens)}}
 
 
+@pytest.mark.parametrize("bulk", [1, 24, 10**9])
 @pytest.mark.parametrize("seed", range(20))
-def test_replay_equals_single_words_under_any_ranks(seed):
+def test_replay_equals_single_words_under_any_ranks(monkeypatch, seed, bulk):
     """Ranks in no order of their parts, so that merges make pairs of lower rank."""
+    monkeypatch.setattr(merges, "BULK", bulk)
     rng = np.random.default_rng(seed)
     texts = {bytes(rng.choice([97, 98, 99], size=rng.integers(2, 5)).tolist()) for _ in range(25)}
     ranks = small_ranks(rng.permutation(sorted(texts)).tolist())
@@ -53,6 +55,17 @@ def test_replay_equals_single_words_under_any_ranks(seed):
     assert [unpack(i) for i in merges.replay(words, ranks)] == [one_by_one(w, ranks) for w in words]
 
 
+def test_words_that_were_forgotten_are_learned_again(monkeypatch, ranks, library):
+    split = merges.Splitter(public_tokenizers.PATTERN, merges.unknown_characters())
+    words = merges.Vocabulary(ranks, split, 100)
+    texts = [f"word{i} and others, {i} {chr(split.unknown[0])}x" for i in range(50)]
+    want = [library.encode_ordinary(t) for t in texts]
+    assert [unpack(i) for i in words.encode(texts)] == want
+    monkeypatch.setattr(merges, "REMEMBERED_BYTES", 0)
+    assert [unpack(i) for t in texts for i in words.encode([t])] == want
+    assert len(words.ids) < 20
+
+
 def test_pairs_that_make_the_same_token_go_from_left_to_right():
     ranks = small_ranks([b"ab", b"ba", b"aba"])
     word = b"abaaba" * 3

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +15,20 @@ from pitflow.functions.shared import shared_folder
 from pitflow.operators import alerts as al
 from pitflow.operators import asof, backtest, scoring, sentiment, signals, views
 from pitflow.plans import research
-from pitflow.schemas import ALERT, BAR_INTERVALS, BUCKET, SCORED_POST
+from pitflow.schemas import ALERT, BAR_INTERVALS, BUCKET, SCORED_POST, STORED_SCORE
 from pitflow.sources import bars as bar_source
 from pitflow.sources import posts as post_source
-from pitflow.sources import tables
+from pitflow.sources import live, tables
 from pitflow.streaming import alerts as alert_job
 from pitflow.streaming import buckets as bucket_job
 from pitflow.streaming import ingest as ingest_job
+from pitflow.streaming import market
+from pitflow.streaming import signals as signal_job
 
-if find_spec("corpus_pipeline") and find_spec("pitflow.llm") and find_spec("pitflow.llm.queries"):
+try:
     import corpus_pipeline
     from pitflow.llm import queries as llm
-else:
+except ImportError:  # the subpackage or a library that it needs is not there
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,11 +184,6 @@ def score_posts(spark, sf_dir):
     return rounded(Inputs(spark, sf_dir).scored_documents().drop("text"))
 
 
-def score_posts_whole(spark, sf_dir):
-    """The same rows as ``score_posts``, which reads whole texts too by now."""
-    return score_posts(spark, sf_dir)
-
-
 def score_posts_udf(spark, sf_dir):
     factory = scoring.lexicon_scorer(fixtures.POSITIVE_WORDS, fixtures.NEGATIVE_WORDS)
     posts = Inputs(spark, sf_dir).document_posts()
@@ -503,6 +499,78 @@ def alert_stream(spark, sf_dir):
     return log.select("chat_id", "ticker", "timestamp", "kind", "threshold")
 
 
+def market_alerts(spark, sf_dir):
+    """Raw posts and ticks in three slices, the job restarted for each, against
+    all chats at their own windows."""
+    inputs = Inputs(spark, sf_dir)
+    root = shared_folder(spark, "market")
+    chats = fixtures.subscriptions(inputs.events)
+    rows = inputs.events.withColumn("timestamp", F.col("ts"))
+    target = signal_job.SignalTables(f"{root}/log", f"{root}/late")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        events = stream.drop("timestamp")
+        return signal_job.start_market_alerts(
+            fixtures.posts(events), fixtures.ticks(events), lambda: chats, target, f"{root}/checkpoint", ONCE
+        )
+
+    streamed(slices(rows, "0 days", "0 days"), f"{root}/events", start)
+    log = tables.read_batches(spark, target.log, ALERT)
+    return log.select("chat_id", "ticker", "timestamp", "kind", "threshold")
+
+
+def out_of_order(rows: DataFrame, parts: int) -> Iterator[DataFrame]:
+    """All rows in ``parts`` batches by a hash of their time, so that every batch has
+    rows from all over the table and most come long after later ones."""
+    part = F.pmod(F.xxhash64("timestamp"), F.lit(parts))
+    for number in range(parts):
+        yield rows.filter(part == number)
+
+
+def live_buckets(spark, sf_dir):
+    """Buckets of posts that arrive in no order, kept by a stream and folded."""
+    root = shared_folder(spark, "live-buckets")
+    table = market.bucket_part_table(f"{root}/table")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return market.start_live_buckets(stream, table, f"{root}/checkpoint", trigger=ONCE, fold_every=2)
+
+    streamed(out_of_order(Inputs(spark, sf_dir).posts(), 4), f"{root}/posts", start)
+    return rounded(market.buckets_of(table.current(spark)))
+
+
+def live_bars(spark, sf_dir):
+    """Bars of ticks in three slices, a part of each one late by a slice."""
+    root = shared_folder(spark, "live-bars")
+    table = market.bar_part_table(f"{root}/table")
+    ticks = fixtures.ticks(Inputs(spark, sf_dir).events)
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return market.start_live_bars(stream, table, "15m", f"{root}/checkpoint", ONCE, fold_every=2)
+
+    late = F.pmod(F.xxhash64("tick_id"), F.lit(5)) == 0
+    first, second, third = slices(ticks, "0 days", "0 days")
+    parts = [first.filter(~late), second.filter(~late).unionByName(first.filter(late))]
+    parts.append(third.unionByName(second.filter(late)))
+    streamed(iter(parts), f"{root}/ticks", start)
+    return rounded(market.bars_of(table.current(spark)))
+
+
+def live_table(spark, sf_dir):
+    """Posts in ten batches of two feeds, the later feed with posts sent again, and
+    folded three times while they come."""
+    inputs = Inputs(spark, sf_dir)
+    spark_rows = inputs.posts().select(*STORED_SCORE.names)
+    again = inputs.resent_posts().select(*STORED_SCORE.names)
+    table = live.keyed_table(shared_folder(spark, "live"), STORED_SCORE, tables.POST_KEY, ("first", "second"))
+    for batch_id, rows in enumerate(out_of_order(spark_rows, 5)):
+        table.take(rows, batch_id, "first", fold_every=2)
+    for batch_id, rows in enumerate(out_of_order(again, 5)):
+        table.write(rows.limit(0), batch_id, "second")  # an attempt that failed half way
+        table.take(rows, batch_id, "second", fold_every=3)
+    return rounded(table.current(spark))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return signal_frame("1h", "1h")(spark, "/root/testdata/sf0.001")
 
@@ -523,7 +591,6 @@ def queries() -> dict[str, Query]:
         "recent_posts_one_ticker": recent_posts_one_ticker,
         "post_feed": post_feed,
         "score_posts": score_posts,
-        "score_posts_whole": score_posts_whole,
         "score_posts_udf": score_posts_udf,
         "ohlcv_15m": ohlcv("15m"),
         "ohlcv_1h": ohlcv("1h"),
@@ -565,6 +632,10 @@ def queries() -> dict[str, Query]:
         "post_stream": post_stream,
         "written_rows": written_rows,
         "alert_stream": alert_stream,
+        "market_alerts": market_alerts,
+        "live_buckets": live_buckets,
+        "live_bars": live_bars,
+        "live_table": live_table,
         **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 

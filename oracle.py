@@ -176,6 +176,15 @@ SELECT chat_id, c.* FROM newest JOIN crossings c USING (ticker, timestamp) JOIN
 WHERE label = '{label}' AND timestamp >= subscribed_at)"""
 
 
+def _history(label: str) -> str:
+    return f"""SELECT chat_id, ticker, timestamp, kind, threshold FROM (
+WITH {_frame(_ALERT_BARS[label], label)},
+{_SUBSCRIPTIONS},
+{_CROSSINGS}
+SELECT chat_id, c.* FROM crossings c JOIN chats USING (ticker)
+WHERE label = '{label}' AND timestamp >= subscribed_at)"""
+
+
 _PROVIDER = f"""{_bars("15m", "event_type")},
 provider AS (SELECT ticker, timestamp, open, high, low, close - 101.0::DOUBLE AS close, volume FROM bars)"""
 
@@ -296,7 +305,6 @@ SELECT ticker, id,
 FROM ranked WHERE rank <= 10""",
         "score_posts": f"{scored}\n{_SCORE_OUT}",
         "score_posts_udf": f"{scored}\n{_SCORE_OUT}",
-        "score_posts_whole": f"{scored}\n{_SCORE_OUT}",
         "ingest_stream": f"{scored}\n{_SCORE_OUT} WHERE CAST(id AS BIGINT) % 50 <> 0",
         "ohlcv_15m": _bar_query("15m"),
         "ohlcv_1h": _bar_query("1h"),
@@ -360,6 +368,10 @@ SELECT {_FIELDS} FROM posts JOIN events ON CAST(event_id AS VARCHAR) = id WHERE
         "written_rows": f"""WITH {posts},
 {_RESENT}
 SELECT 0 AS batch_id, count(*) AS rows FROM posts UNION ALL SELECT 1, count(*) FROM resent""",
+        "market_alerts": " UNION ALL ".join(map(_history, _ALERT_BARS)),
+        "live_buckets": _bucket_query("15m"),
+        "live_bars": _bar_query("15m"),
+        "live_table": _MERGED,
         "alert_history": f"WITH {hourly},\n{_CROSSINGS}\nSELECT ticker, timestamp, kind, threshold FROM crossings",
         "alert_stream": f"""WITH {hourly},
 {_SUBSCRIPTIONS},

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pitflow.schemas import ENTRY_THRESHOLD, EXIT_THRESHOLD, SIGNAL_WINDOW
 
-#: Groups that the chats of a ticker are spread over, unless asked for others.
-SPREAD = 16
+#: Chats of a ticker and window that stay together; more are spread over groups of as many.
+CHATS_TOGETHER = 10_000
 
 
 def latest_signal(signals: DataFrame, as_of: datetime | Column | None = None) -> DataFrame:
@@ -37,24 +37,34 @@ def crossings(
 def for_chats(
     events: DataFrame,
     subscriptions: DataFrame,
-    label: str = SIGNAL_WINDOW,
-    spread: int = SPREAD,
+    label: str | None = SIGNAL_WINDOW,
+    together: int = CHATS_TOGETHER,
 ) -> DataFrame:
-    """One alert per event and chat subscribed to this window. Where chats have
-    a ``subscribed_at``, events before it do not concern them.
-
-    Most chats may follow the same ticker, so chats are spread over ``spread``
-    groups, and each event is present in every group. Events are few; a cluster
-    with many cores and a ticker with very many chats wants more groups."""
+    """One alert per event and chat subscribed to this window; with ``label`` None,
+    to the window in the event's own ``window`` column. Where chats have a
+    ``subscribed_at``, events before it do not concern them.
+
+    Most chats may follow the same ticker. They are counted first, and those of a
+    ticker and window with more than ``together`` are spread over as many groups as
+    their number asks for, its events being present in every group. Other chats and
+    events stay one row. There are fewer such tickers than chats / ``together``, so
+    their numbers are broadcast."""
     since = F.col("subscribed_at") if "subscribed_at" in subscriptions.columns else F.lit(None)
-    chats = (
-        subscriptions.filter(F.col("subscribed") & (F.col("window") == label))
-        .select("chat_id", "ticker", since.cast("timestamp").alias("_since"))
-        .withColumn("_group", F.pmod(F.xxhash64("chat_id"), F.lit(spread)))
+    wanted = F.col("subscribed") if label is None else F.col("subscribed") & (F.col("window") == label)
+    if label is not None:
+        events = events.withColumn("window", F.lit(label))
+    key = ["ticker", "window"]
+    chats = subscriptions.filter(wanted).select(
+        "chat_id", *key, since.cast("timestamp").alias("_since")
     )
-    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+    crowds = chats.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / together).alias("_groups")).filter("_groups > 1")
+    crowds = F.broadcast(crowds)
+    groups = F.coalesce(F.col("_groups"), F.lit(1).cast("long"))
+    spread = chats.join(crowds, key, "left").withColumn("_group", F.pmod(F.xxhash64("chat_id"), groups))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
+    present = events.join(crowds, key, "left").withColumn("_group", each)
     return (
-        chats.join(events.withColumn("_group", groups), ["ticker", "_group"])
+        spread.drop("_groups").join(present.drop("_groups"), [*key, "_group"])
         .filter(F.col("_since").isNull() | (F.col("timestamp") >= F.col("_since")))
         .select("chat_id", "ticker", "timestamp", "kind", "threshold")
     )
@@ -67,10 +77,11 @@ def alerts(
     label: str = SIGNAL_WINDOW,
     entry_threshold: float = ENTRY_THRESHOLD,
     exit_threshold: float = EXIT_THRESHOLD,
+    together: int = CHATS_TOGETHER,
 ) -> DataFrame:
     """Alerts due if each ticker's newest bar has a signal."""
     newest = latest_signal(signals, as_of)
-    return for_chats(crossings(newest, entry_threshold, exit_threshold), subscriptions, label)
+    return for_chats(crossings(newest, entry_threshold, exit_threshold), subscriptions, label, together)
 
 
 def alerts_of_all_windows(

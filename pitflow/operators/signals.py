@@ -39,7 +39,8 @@ def widest_us(windows: Sequence[str]) -> int:
 
 
 def exact_value(name: str) -> Column:
-    return F.col(name).cast(_EXACT)
+    """Exact to 15 places. A value of 1000 or more is no score and counts as missing."""
+    return F.col(name).try_cast(_EXACT)
 
 
 def exact_mean(total: Column, count: Column) -> Column:
@@ -60,7 +61,7 @@ def roll_in_cells(df: DataFrame, windows: Sequence[str], value: str = "avg_senti
     for label in windows:
         before = in_cell().rangeBetween(Window.unboundedPreceding, -duration_us(label))
         total = F.sum(exact).over(upto_now) - F.coalesce(F.sum(exact).over(before), F.lit(0))
-        count = F.count(value).over(upto_now) - F.count(value).over(before)
+        count = F.count(exact).over(upto_now) - F.count(exact).over(before)
         means[roll_column(label)] = exact_mean(total, count)
     return df.withColumns(means)
 
@@ -97,7 +98,7 @@ def last_values_of_aligned(aligned: DataFrame, label: str, value: str = "avg_sen
         .groupBy("ticker", CELL)
         .agg(
             F.max_by(F.struct(*aligned.columns), F.col(US)).alias("_last"),
-            exact_mean(F.sum(exact_value(value)), F.count(value)).alias("_mean"),
+            exact_mean(F.sum(exact_value(value)), F.count(exact_value(value))).alias("_mean"),
         )
         .select("ticker", CELL, F.when(F.col("_last").isNotNull(), F.col("_mean")).alias("_value"))
     )

@@ -47,6 +47,12 @@ SCORE_FIELDS = T.StructType(
 
 SCORED_POST = T.StructType(RAW_POST.fields + SCORE_FIELDS.fields)
 
+#: What a scored post is known by once its text is stored elsewhere.
+STORED_SCORE = T.StructType(
+    [f for f in RAW_POST.fields if f.name in ("id", "ticker", "timestamp")]
+    + [f for f in SCORE_FIELDS.fields if f.name == "sentiment_score"]
+)
+
 REJECTED_POST = T.StructType(
     [T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())]
 )

@@ -47,6 +47,7 @@ def write_batch(
     feed: str = DEFAULT_FEED,
     observation: Observation | None = None,
     key: Sequence[str] | None = None,
+    partitions: Sequence[str] = PARTITIONS,
 ) -> None:
     """Writes or replaces one batch. An empty one is written too: it clears
     what an earlier attempt left. With ``key``, of several rows with one key
@@ -61,9 +62,9 @@ def write_batch(
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows"))
     (
-        df.hint("rebalance", *PARTITIONS)
+        df.hint("rebalance", *partitions)
         .write.mode("overwrite")
-        .partitionBy(*PARTITIONS)
+        .partitionBy(*partitions)
         .parquet(batch_path(root, batch_id, feed))
     )
 
@@ -111,6 +112,7 @@ def read_batches(
 
 
 PROGRESS = T.StructType([T.StructField("finished_at", T.TimestampType())])
+BATCH_FIELDS = [T.StructField("feed", T.StringType()), T.StructField("batch_id", T.LongType())]
 
 
 def mark_started(spark: SparkSession, root: str, batch_id: int, feed: str = DEFAULT_FEED) -> None:
@@ -127,9 +129,7 @@ def finished_batches(batches: DataFrame, progress: str) -> DataFrame:
     """The rows of batches whose job came to its end; ``progress`` is the folder
     the job marks them in. A reader beside a running stream sees whole batches
     only, and none while it is written once more."""
-    schema = T.StructType(
-        PROGRESS.fields + [T.StructField("feed", T.StringType()), T.StructField("batch_id", T.LongType())]
-    )
+    schema = T.StructType(PROGRESS.fields + BATCH_FIELDS)
     done = read_path(batches.sparkSession, progress, schema, missing_ok=True)
     return batches.join(done.select("feed", "batch_id"), ["feed", "batch_id"], "left_semi")
 

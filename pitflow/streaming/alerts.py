@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pitflow.functions.durations import duration_us, interval_sql
-from pitflow.operators.alerts import crossings, for_chats, not_yet_sent
+from pitflow.operators.alerts import CHATS_TOGETHER, crossings, for_chats, not_yet_sent
 from pitflow.operators.keyed import latest_per_key
 from pitflow.operators.signals import generate_signals, roll_column
 from pitflow.schemas import ALERT, ALERT_TRIGGER, ENTRY_THRESHOLD, EXIT_THRESHOLD, SIGNAL_WINDOW
@@ -84,6 +84,7 @@ def alert_batch(
     exit_threshold: float = EXIT_THRESHOLD,
     feed: str = DEFAULT_FEED,
     lateness: str = LATENESS,
+    together: int = CHATS_TOGETHER,
 ) -> None:
     """Checks all bars from the first new one of a ticker on, and logs alerts.
 
@@ -116,7 +117,7 @@ def alert_batch(
             .join(first_new, "ticker")
             .filter("timestamp >= _first")
         )
-        due = for_chats(crossings(signals, entry_threshold, exit_threshold), subscriptions(), label)
+        due = for_chats(crossings(signals, entry_threshold, exit_threshold), subscriptions(), label, together)
         earliest = fresh.agg(F.to_date(F.min("timestamp"))).scalar()
         sent = read_batches(spark, tables.log, ALERT, missing_ok=True).filter(
             ((F.col("batch_id") < batch_id) | (F.col("feed") != feed)) & (F.col("date") >= earliest)

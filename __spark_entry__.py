@@ -320,10 +320,11 @@ ALERT_TIME = datetime(2024, 1, 16, 12, tzinfo=timezone.utc)
 
 def _alerts(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    frames = {
-        label: research.trading_signals(inputs.posts(), inputs.bars(interval), label)
-        for label, interval in BAR_INTERVALS.items()
-    }
+    posts, frames = inputs.posts(), {}
+    for interval in dict.fromkeys(BAR_INTERVALS.values()):
+        bars, windows = inputs.bars(interval), [w for w, i in BAR_INTERVALS.items() if i == interval]
+        for label in windows:
+            frames[label] = research.trading_signals(posts, bars, label, windows=windows)
     chats = fixtures.subscriptions(inputs.events)
     return al.alerts_of_all_windows(frames, chats, as_of=ALERT_TIME), chats
 

@@ -41,17 +41,23 @@ def signal_frame(
 
 
 def _signals_in_cells(
-    scored: DataFrame, bars: DataFrame, label: str, bucket: str = BUCKET_WINDOW, **options
+    scored: DataFrame,
+    bars: DataFrame,
+    label: str,
+    bucket: str = BUCKET_WINDOW,
+    windows: Sequence[str] = (),
+    **options,
 ) -> DataFrame:
     narrow = bars.select("ticker", "timestamp", "close")
     buckets = aggregate_sentiment(scored, bucket).select("ticker", "timestamp", "avg_sentiment")
-    frame = signal_frame_in_cells(narrow, buckets, label, (label,), **options)
+    frame = signal_frame_in_cells(narrow, buckets, label, windows or (label,), **options)
     return frame.select("ticker", "close", "entry_signal", "exit_signal", CELL, US)
 
 
 def trading_signals(scored: DataFrame, bars: DataFrame, label: str = SIGNAL_WINDOW, **options) -> DataFrame:
     """Only what a backtest reads. The narrow inputs keep every shuffle narrow,
-    and only the signal's own window is rolled."""
+    and only the signal's own window is rolled. Frames of several labels over the
+    same bars that name the same ``windows`` share one shuffle of the bars."""
     return leave_cells(_signals_in_cells(scored, bars, label, **options))
 
 

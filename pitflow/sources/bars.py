@@ -4,12 +4,13 @@ from collections.abc import Sequence
 from datetime import datetime
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitflow.functions.cells import CELL, DEFAULT_CELL, US, in_cell, over_cells, placed, with_cells
 from pitflow.functions.durations import bucket_us, duration_us, interval_sql
 from pitflow.operators.keyed import latest_per_key
+from pitflow.operators.median import weighted_median
 from pitflow.schemas import BAR
 
 # Names providers use for the two key columns.
@@ -110,9 +111,9 @@ def resample(ticks: DataFrame, interval: str) -> DataFrame:
 def bar_spacing(bars: DataFrame, cell: str = DEFAULT_CELL) -> DataFrame:
     """Median distance between neighbouring bars of each ticker.
 
-    Distances are counted per (ticker, distance) before anything is put in
-    order. Different distances of one ticker add up to at most its whole span,
-    so there are at most sqrt(2 * span) of them: one on a regular grid.
+    Distances are counted per (ticker, distance) first, and the median is found by
+    radix selection: on a regular grid there is one distance, and on an irregular
+    one no task puts those of a ticker in order.
     """
     rows = with_cells(bars.select("ticker", "timestamp"), cell)
     inside = rows.withColumn("gap", F.col(US) - F.lag(US).over(in_cell())).select("ticker", "gap")
@@ -124,11 +125,4 @@ def bar_spacing(bars: DataFrame, cell: str = DEFAULT_CELL) -> DataFrame:
     )
     counted = inside.unionByName(edges).filter("gap is not null").groupBy("ticker", "gap").count()
 
-    per_ticker = Window.partitionBy("ticker")
-    upto = per_ticker.orderBy("gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_upto", F.sum("count").over(upto)).withColumn(
-        "_total", F.sum("count").over(per_ticker)
-    )
-    lower = F.min(F.when(F.expr("_upto >= (_total + 1) div 2"), F.col("gap")))
-    upper = F.min(F.when(F.expr("_upto >= _total div 2 + 1"), F.col("gap")))
-    return ranked.groupBy("ticker").agg(((lower + upper) / 2).alias("spacing_us"))
+    return weighted_median(counted, ["ticker"], "gap", "count", "spacing_us")

@@ -11,15 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 import oracle
 from pitflow import fixtures
+from pitflow.functions.rocks import with_rocks
 from pitflow.functions.shared import shared_folder
 from pitflow.operators import alerts as al
 from pitflow.operators import asof, backtest, scoring, sentiment, signals, views
 from pitflow.plans import research
-from pitflow.schemas import ALERT, BAR_INTERVALS, BUCKET, SCORED_POST, STORED_SCORE
+from pitflow.schemas import ALERT, BAR_INTERVALS, BUCKET, SCORED_POST, SIGNAL_ROW, STORED_SCORE
 from pitflow.sources import bars as bar_source
 from pitflow.sources import posts as post_source
 from pitflow.sources import live, tables
 from pitflow.streaming import alerts as alert_job
+from pitflow.streaming import backtests as backtest_job
 from pitflow.streaming import buckets as bucket_job
 from pitflow.streaming import ingest as ingest_job
 from pitflow.streaming import market
@@ -451,6 +453,41 @@ def dedupe_stream(spark, sf_dir):
     return spark.read.schema(posts.schema).parquet(f"{root}/out")
 
 
+def dedupe_history(spark, sf_dir):
+    """Three slices, all of the first one sent again with each later one, ten and
+    twenty days behind."""
+    root = shared_folder(spark, "dedupe-history")
+    posts = Inputs(spark, sf_dir).posts().select("id", "ticker", "timestamp", "source")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        writer = ingest_job.dedupe_stream(stream, None).writeStream.format("parquet").trigger(**ONCE)
+        writer = writer.option("checkpointLocation", f"{root}/checkpoint")
+        return with_rocks(spark, lambda: writer.start(f"{root}/out"))
+
+    first, second, third = slices(posts, "0 days", "0 days")
+    parts = iter((first, second.unionByName(first), third.unionByName(first)))
+    streamed(parts, f"{root}/posts", start)
+    return spark.read.schema(posts.schema).parquet(f"{root}/out")
+
+
+def backtest_stream(spark, sf_dir):
+    """Figures kept over three slices of bars, then over closes of one ticker that
+    were wrong at first."""
+    inputs = Inputs(spark, sf_dir)
+    root = shared_folder(spark, "backtest-stream")
+    bars = inputs.bars("1h")
+    signals = research.trading_signals(inputs.posts(), bars).select(*SIGNAL_ROW.names)
+    wrong = signals.withColumn("close", F.when(F.col("ticker") == "click", F.col("close") + 1).otherwise(F.col("close")))
+    kept = backtest_job.BacktestTables.at(f"{root}/tables")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return backtest_job.start_backtests(stream, kept, f"{root}/checkpoint", ONCE, fold_every=2)
+
+    parts = [*slices(wrong, "1 day", "0 days"), signals.filter("ticker = 'click'")]
+    streamed(iter(parts), f"{root}/signals", start)
+    return backtest.summary_view(kept.figures(spark))
+
+
 def post_stream(spark, sf_dir):
     """Bus records in several files, through the stream source to valid posts."""
     root = shared_folder(spark, "bus")
@@ -634,6 +671,8 @@ def queries() -> dict[str, Query]:
         "written_rows": written_rows,
         "alert_stream": alert_stream,
         "market_alerts": market_alerts,
+        "dedupe_history": dedupe_history,
+        "backtest_stream": backtest_stream,
         "live_buckets": live_buckets,
         "live_bars": live_bars,
         "live_table": live_table,

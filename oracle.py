@@ -369,6 +369,8 @@ SELECT {_FIELDS} FROM posts JOIN events ON CAST(event_id AS VARCHAR) = id WHERE
 {_RESENT}
 SELECT 0 AS batch_id, count(*) AS rows FROM posts UNION ALL SELECT 1, count(*) FROM resent""",
         "market_alerts": " UNION ALL ".join(map(_history, _ALERT_BARS)),
+        "backtest_stream": _backtest_query("1h", "1h"),
+        "dedupe_history": f"WITH {posts}\nSELECT id, ticker, timestamp, source FROM posts",
         "live_buckets": _bucket_query("15m"),
         "live_bars": _bar_query("15m"),
         "live_table": _MERGED,

@@ -27,7 +27,8 @@ from pitflow.functions.cells import (
     with_cells,
 )
 from pitflow.functions.durations import DAY_US
-from pitflow.schemas import FEE, INITIAL_CASH
+from pitflow.operators.median import weighted_median
+from pitflow.schemas import CELL_SUMMARY, FEE, INITIAL_CASH
 from pitflow.sources.bars import bar_spacing
 
 FLAT, LONG = 0, 1
@@ -69,8 +70,13 @@ def _rows(signals: DataFrame, fee: float, cell: str) -> DataFrame:
     return rows.withColumns({f"_peak{s}": F.max(f"_path{s}").over(upto) for s in starts})
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """One row per (ticker, cell), resolved: how it starts and what it adds.
+#: What a cell adds, for both of its possible starts.
+PARTS = ("total", "high", "low", "fall", "first", "gain1", "gain2")
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """One row per (ticker, cell): all that the figures need of its bars. It depends
+    on no other cell, so it can be stored, and replaced when its bars change.
 
     A cell's first bar also moves from the last close of the cell before, which
     only counts when the position was long."""
@@ -88,7 +94,6 @@ def _cells(rows: DataFrame) -> DataFrame:
         inner_sum(F.col("_move")).alias("hold1"),
         inner_sum(F.col("_move"), 2).alias("hold2"),
     ]
-    parts = ("total", "high", "low", "fall", "first", "gain1", "gain2")
     for s in (FLAT, LONG):
         step, path = F.col(f"_step{s}"), F.col(f"_path{s}")
         aggregates += [
@@ -100,8 +105,11 @@ def _cells(rows: DataFrame) -> DataFrame:
             inner_sum(step).alias(f"gain1{s}"),
             inner_sum(step, 2).alias(f"gain2{s}"),
         ]
-    cells = rows.groupBy("ticker", CELL).agg(*aggregates)
+    return rows.groupBy("ticker", CELL).agg(*aggregates)
 
+
+def _cells(cells: DataFrame) -> DataFrame:
+    """The summaries resolved: how each cell starts and what it adds."""
     cells = cells.withColumns(
         {
             "start": F.coalesce(F.last("last_event", ignorenulls=True).over(before_cell()), F.lit(FLAT)),
@@ -115,7 +123,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     )
     is_long = F.col("start") == LONG
     cells = cells.withColumns(
-        {p: F.when(is_long, F.col(f"{p}{LONG}")).otherwise(F.col(f"{p}{FLAT}")) for p in parts}
+        {p: F.when(is_long, F.col(f"{p}{LONG}")).otherwise(F.col(f"{p}{FLAT}")) for p in PARTS}
     ).withColumn("shift", F.when(is_long, F.col("gap")).otherwise(0.0))
     cells = cells.withColumn("added", F.col("total") + F.col("shift"))
     cells = cells.withColumn(
@@ -135,7 +143,7 @@ def equity_curve(
     """Per bar: position after the bar, value, both cumulative returns and the
     fall from the highest value so far."""
     rows = _rows(signals, fee, cell)
-    starts = _cells(rows).select("ticker", CELL, "start", "base", "peak", "ticker_close")
+    starts = _cells(_summaries(rows)).select("ticker", CELL, "start", "base", "peak", "ticker_close")
     is_long = F.col("start") == LONG
 
     def picked(name: str) -> Column:
@@ -199,11 +207,25 @@ def backtest_summary(
     """
     if spacing is None:
         spacing = bar_spacing(signals.filter(F.col("close") > 0), cell)
+    result = _figures(_summaries(_rows(signals, fee, cell)), spacing)
+    if tickers is None:
+        return result
+    asked = signals.sparkSession.createDataFrame([(t,) for t in tickers], "ticker string")
+    return asked.join(result, "ticker", "left").withColumns(
+        {
+            "status": F.coalesce("status", F.lit("no_bars")),
+            "n_bars": F.coalesce("n_bars", F.lit(0).cast("long")),
+        }
+    )
+
+
+def _figures(summaries: DataFrame, spacing: DataFrame) -> DataFrame:
+    """One row of figures per ticker."""
     first_gain = F.expm1(F.col("first") + F.col("shift"))
     first_hold = F.expm1("gap")
     low = F.least(F.col("fall"), F.col("base") + F.col("low") - F.col("peak"))
     totals = (
-        _cells(_rows(signals, fee, cell))
+        _cells(summaries)
         .groupBy("ticker")
         .agg(
             F.sum("n").alias("n_bars"),
@@ -218,7 +240,7 @@ def backtest_summary(
         .join(spacing, "ticker", "left")
     )
     enough = F.col("n_bars") >= MIN_BARS
-    result = totals.select(
+    return totals.select(
         "ticker",
         F.when(enough, "ok").otherwise("too_few_bars").alias("status"),
         "n_bars",
@@ -228,15 +250,39 @@ def backtest_summary(
         F.when(enough, (F.col("hold") - 1) * 100).alias("benchmark_total_return_pct"),
         F.when(enough, _sharpe("hold1", "hold2")).alias("benchmark_sharpe_ratio"),
     )
-    if tickers is None:
-        return result
-    asked = signals.sparkSession.createDataFrame([(t,) for t in tickers], "ticker string")
-    return asked.join(result, "ticker", "left").withColumns(
-        {
-            "status": F.coalesce("status", F.lit("no_bars")),
-            "n_bars": F.coalesce("n_bars", F.lit(0).cast("long")),
-        }
+
+
+# --- stored summaries ----------------------------------------------------------
+
+
+def cell_summaries(signals: DataFrame, fee: float = FEE, cell: str = DEFAULT_CELL) -> DataFrame:
+    """``CELL_SUMMARY`` rows of ``signals``, stamped with their cell's start: what
+    the figures need of each cell, and the distances between its bars."""
+    rows = _rows(signals, fee, cell)
+    gaps = rows.select("ticker", CELL, (F.col(US) - F.lag(US).over(in_cell())).alias("gap"))
+    counted = gaps.filter("gap is not null").groupBy("ticker", CELL, "gap").agg(F.count(F.lit(1)).alias("n"))
+    lists = counted.groupBy("ticker", CELL).agg(F.collect_list(F.struct("gap", "n")).alias("gaps"))
+    edges = rows.groupBy("ticker", CELL).agg(F.min(US).alias("first_us"), F.max(US).alias("last_us"))
+    both = _summaries(rows).join(edges, ["ticker", CELL]).join(lists, ["ticker", CELL], "left")
+    return both.withColumn("timestamp", F.timestamp_micros(CELL)).select(*CELL_SUMMARY.names)
+
+
+def spacing_of_summaries(summaries: DataFrame) -> DataFrame:
+    """``bar_spacing`` of the bars behind the summaries."""
+    cells = summaries.withColumn(CELL, F.unix_micros("timestamp"))
+    inside = cells.select("ticker", F.inline("gaps"))
+    edges = cells.select(
+        "ticker", (F.col("first_us") - F.lag("last_us").over(over_cells())).alias("gap"), F.lit(1).cast("long").alias("n")
     )
+    counted = inside.unionByName(edges).groupBy("ticker", "gap").agg(F.sum("n").alias("n"))
+    return weighted_median(counted, ["ticker"], "gap", "n", "spacing_us")
+
+
+def figures_of_summaries(summaries: DataFrame) -> DataFrame:
+    """``backtest_summary`` of the bars behind the summaries; cells whose bars are
+    all gone have none."""
+    held = summaries.filter("n > 0")
+    return _figures(held.withColumn(CELL, F.unix_micros("timestamp")), spacing_of_summaries(held))
 
 
 def summary_view(summary: DataFrame) -> DataFrame:

@@ -101,3 +101,34 @@ ALERT = T.StructType(
         T.StructField("threshold", T.DoubleType()),
     ]
 )
+
+#: A bar's signals as stored; what a backtest reads.
+SIGNAL_ROW = T.StructType(
+    [
+        T.StructField("ticker", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("close", T.DoubleType()),
+        T.StructField("entry_signal", T.BooleanType()),
+        T.StructField("exit_signal", T.BooleanType()),
+    ]
+)
+
+_GAP = T.StructType([T.StructField("gap", T.LongType()), T.StructField("n", T.LongType())])
+#: One stored cell of a backtest. The names that end in 0 hold if it starts flat, in 1 if long.
+CELL_SUMMARY = T.StructType(
+    [
+        T.StructField("ticker", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("last_event", T.IntegerType()),
+        T.StructField("first_us", T.LongType()),
+        T.StructField("last_us", T.LongType()),
+        T.StructField("gaps", T.ArrayType(_GAP)),
+    ]
+    + [T.StructField(n, T.DoubleType()) for n in ("first_close", "last_close", "hold1", "hold2")]
+    + [
+        T.StructField(f"{part}{start}", T.DoubleType())
+        for start in (0, 1)
+        for part in ("total", "high", "low", "fall", "first", "gain1", "gain2")
+    ]
+)

@@ -69,13 +69,19 @@ class LiveTable:
     # --- writing -----------------------------------------------------------
 
     def write(
-        self, rows: DataFrame, batch_id: int, feed: str = DEFAULT_FEED, observation: Observation | None = None
+        self,
+        rows: DataFrame,
+        batch_id: int,
+        feed: str = DEFAULT_FEED,
+        observation: Observation | None = None,
+        key: Sequence[str] | None = None,
     ) -> None:
-        """Writes or replaces one batch; readers see it once it is whole."""
+        """Writes or replaces one batch; readers see it once it is whole. With
+        ``key``, of several rows with one key only the greatest is written."""
         spark = rows.sparkSession
         mark_started(spark, self.progress, batch_id, feed)
         chosen = rows.select(*self.row.names)
-        write_batch(chosen, self.batches, batch_id, feed, observation, partitions=BY_DATE)
+        write_batch(chosen, self.batches, batch_id, feed, observation, key, partitions=BY_DATE)
         mark_finished(spark, self.progress, batch_id, feed)
 
     def take(
@@ -88,8 +94,13 @@ class LiveTable:
     ) -> None:
         """A stream's batch: written, and from time to time the earlier ones folded."""
         self.write(rows, batch_id, feed, observation)
+        self.fold_now_and_then(rows.sparkSession, batch_id, feed, fold_every)
+
+    def fold_now_and_then(
+        self, spark: SparkSession, batch_id: int, feed: str = DEFAULT_FEED, fold_every: int = FOLD_EVERY
+    ) -> None:
         if batch_id and batch_id % fold_every == 0:
-            self.fold(rows.sparkSession, {feed: batch_id})
+            self.fold(spark, {feed: batch_id})
 
     # --- reading -----------------------------------------------------------
 

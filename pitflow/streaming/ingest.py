@@ -67,6 +67,11 @@ def start_ingest(
     )
 
 
-def dedupe_stream(posts: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """One row per id across batches, as long as copies arrive within the watermark."""
+def dedupe_stream(posts: DataFrame, watermark: str | None = WATERMARK) -> DataFrame:
+    """One row per id across batches, as long as copies arrive within the watermark;
+    with ``watermark`` None, however late they arrive. Then the state has every id
+    ever seen: start the query by ``with_rocks``, so that it is on the executors'
+    disks, where the store's own Bloom filters spare most look-ups of new ids."""
+    if watermark is None:
+        return posts.dropDuplicates(["id"])
     return posts.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["id"])

@@ -13,12 +13,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pitflow.functions.cells import placed
 from pitflow.functions.durations import bucket_us, duration_us
+from pitflow.functions.rocks import with_rocks
 from pitflow.functions.text import not_nan
 from pitflow.operators.alerts import CHATS_TOGETHER, for_chats
 from pitflow.schemas import ALERT_TRIGGER, BAR_INTERVALS, BUCKET_WINDOW, ENTRY_THRESHOLD, EXIT_THRESHOLD
@@ -31,8 +32,6 @@ OUTPUT = "ticker string, window string, us long, kind string, threshold double,
 STATE = "bars binary, ends binary, totals binary, counts binary, sent binary, newest long"
 #: Fixed point of scores, as the batch has it: sums do not depend on their order.
 EXACT, LARGEST = 10**15, 1000.0
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -239,20 +238,6 @@ def told_batch(
         told.unpersist()
 
 
-def with_rocks(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
-    """Starts a query with the state store that the operator needs, and leaves the
-    session as it was."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
-    try:
-        return start()
-    finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
-
-
 def start_market_alerts(
     scored: DataFrame,
     ticks: DataFrame,

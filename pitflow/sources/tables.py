@@ -13,6 +13,7 @@ checkpoint counts from 0 again and needs a new feed, later in ``feeds``.
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,15 @@ def write_batch(
     )
 
 
+def observed_rows(observation: Observation) -> int:
+    """The rows that a write counted. Spark leaves the write's own counting out where
+    it finds that there is nothing to write; the metrics are then missing."""
+    try:
+        return observation.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def table_schema(row: T.StructType) -> T.StructType:
     """Explicit types for reading: inferred ones would turn a ticker that looks
     like a number into one."""

@@ -3,14 +3,18 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pitflow.operators.sentiment import dedupe_posts
 from pitflow.schemas import RAW_FIELDS, TRIGGER, WATERMARK
 from pitflow.sources.posts import with_reject_reason
-from pitflow.sources.tables import DEFAULT_FEED, batch_path, mark_finished, mark_started, write_batch
+from pitflow.sources.tables import DEFAULT_FEED, batch_path, mark_finished, mark_started, observed_rows, write_batch
+
+
+#: Called with a batch's number and the rows written to each table.
+Report = Callable[[int, dict[str, int]], None]
 
 
 @dataclass(frozen=True)
@@ -27,20 +31,26 @@ def ingest_batch(
     tables: PostTables,
     score: Callable[[DataFrame], DataFrame],
     feed: str = DEFAULT_FEED,
+    report: Report | None = None,
 ) -> None:
     """Every table gets this batch's folder replaced, so running a batch again
     changes nothing; readers of ``finished_batches`` see it before or after, not
     in between. Records are read and parsed once, the model sees each post
-    once, and an empty batch never reaches it."""
+    once, and an empty batch never reaches it. ``report`` gets the batch's number and
+    how many rows went to each table, counted by the writes themselves."""
     checked = with_reject_reason(records).persist()
     posts = dedupe_posts(checked.filter("reason is null").select(*RAW_FIELDS)).persist()
     mark_started(records.sparkSession, tables.progress, batch_id, feed)
+    seen = {name: Observation(f"{name} of {feed} {batch_id}") for name in ("rejected", "raw", "scored")}
     try:
         rejected = checked.filter("reason is not null").select("value", "reason")
+        rejected = rejected.observe(seen["rejected"], F.count(F.lit(1)).alias("rows"))
         rejected.write.mode("overwrite").parquet(batch_path(tables.rejected, batch_id, feed))
-        write_batch(posts, tables.raw, batch_id, feed)
-        write_batch(score(posts), tables.scored, batch_id, feed)
+        write_batch(posts, tables.raw, batch_id, feed, seen["raw"])
+        write_batch(score(posts), tables.scored, batch_id, feed, seen["scored"])
         mark_finished(records.sparkSession, tables.progress, batch_id, feed)
+        if report is not None:
+            report(batch_id, {name: observed_rows(observation) for name, observation in seen.items()})
     finally:
         posts.unpersist()
         checked.unpersist()
@@ -53,13 +63,14 @@ def start_ingest(
     checkpoint: str,
     trigger: dict | None = None,
     feed: str = DEFAULT_FEED,
+    report: Report | None = None,
 ) -> StreamingQuery:
     """``records`` is a stream with a ``value`` column. The number of records
     per batch shows in the query's progress as ``records``."""
     counted = records.observe("records", F.count(F.lit(1)).alias("rows"))
     return (
         counted.writeStream.foreachBatch(
-            lambda batch, batch_id: ingest_batch(batch, batch_id, tables, score, feed)
+            lambda batch, batch_id: ingest_batch(batch, batch_id, tables, score, feed, report)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": TRIGGER}))

@@ -101,6 +101,41 @@ def test_a_live_table_reports_its_rows(spark):
     assert seen.get["rows"] == 2
 
 
+def test_ingest_reports_what_it_wrote(spark):
+    from pitflow.streaming.ingest import PostTables, ingest_batch
+
+    root, told = shared_folder(spark, "told"), []
+    post = '{"id":"%s","ticker":"A","timestamp":"2024-01-02T10:00:00Z","source":"news","text":"x"}'
+    rows = [(post % "a",), (post % "a",), (post % "b",), ("{bad",)]
+    records = spark.createDataFrame(rows, "value string")
+    score = lambda posts: posts.selectExpr("*", *(f"0.5D AS {c}" for c in ("positive", "neutral", "negative", "sentiment_score")))
+    target = PostTables(*(f"{root}/{n}" for n in ("raw", "scored", "rejected", "progress")))
+    ingest_batch(records, 3, target, score, report=lambda batch_id, rows: told.append((batch_id, rows)))
+    ingest_batch(records.limit(0), 4, target, score, report=lambda batch_id, rows: told.append((batch_id, rows)))
+    assert told == [(3, {"rejected": 1, "raw": 2, "scored": 2}), (4, {"rejected": 0, "raw": 0, "scored": 0})]
+
+
+def test_chats_of_a_crowded_ticker_are_spread_by_their_number(spark):
+    chats = [(i, "A" if i < 900 else f"T{i % 9}", "1h", True) for i in range(1000)]
+    subscriptions = spark.createDataFrame(chats, "chat_id long, ticker string, window string, subscribed boolean")
+    events = [(t, at("10:00"), "entry", 0.4) for t in ["A", *(f"T{k}" for k in range(9))]]
+    signals = spark.createDataFrame(events, "ticker string, timestamp timestamp, kind string, threshold double")
+    whole = sorted(map(tuple, al.for_chats(signals, subscriptions).collect()))
+    spread = al.for_chats(signals, subscriptions, together=50)
+    assert sorted(map(tuple, spread.collect())) == whole and len(whole) == 1000
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_of_any_size_end_no_job(spark):
+    from pitflow.operators.signals import add_rolling_sentiment
+
+    rows = [("A", plus("10:00", 15 * i), v) for i, v in enumerate([0.5, 2500.0, None, float("nan"), 0.1])]
+    aligned = spark.createDataFrame(rows, "ticker string, timestamp timestamp, avg_sentiment double")
+    got = [r.sentiment_roll_1h for r in add_rolling_sentiment(aligned).orderBy("timestamp").collect()]
+    assert got == [0.5, 0.5, 0.5, 0.5, 0.1]  # what is no score counts as missing
+
+
 def test_parts_of_any_split_give_the_batch_aggregates(spark):
     rows = [("AB"[i % 2], plus("10:00", 4 * i % 97), None if i % 11 == 0 else i / 50 - 1) for i in range(100)]
     rows += [(None, at("10:00"), 1.0), ("A", None, 1.0), ("A", at("10:03"), float("nan"))]

@@ -6,7 +6,11 @@ depends on a few neighbours only, and a phrase starts wherever the label is a
 local maximum. A phrase's name is a hash of the names in it, and the phrases
 are parsed again, level by level. Equal substrings get equal phrases inside,
 wherever they stand, so the share of common phrase names measures likeness.
-The fingerprint keeps the smallest phrase names of two levels.
+
+The fingerprint samples the phrase names of two levels, and the sample grows with
+the text: all names below a bound, one in SCALE, and at least the KEPT smallest.
+With m names of both texts looked at, the standard error of a likeness is at most
+0.5 / sqrt(m) a level: 0.07 for short texts, 0.02 for one of 20,000 words.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pitflow.llm.letters import chunks, code_points
 #: Levels of parsing, and those whose phrases the fingerprint samples. A level
 #: shortens the sequence about threefold.
 LEVELS, SAMPLED = 3, (2, 3)
-#: Phrase names kept of each sampled level.
-KEPT = 48
+#: Phrase names kept of each sampled level at least, and the share kept of many.
+KEPT, SCALE = 48, 16
+BOUND = 2**32 // SCALE
 #: Names of one level with eight hexadecimal digits each, levels apart by a dash.
 DIGITS = 8
 #: Texts of one block of documents, which a task reads in order, in bytes.
 BLOCK_BYTES = 8 << 20
 #: Blocks at most; beyond that they grow, which costs parallelism, not memory.
-MOST_BLOCKS = 10_000
+MOST_BLOCKS = 40_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(64, dtype=np.uint64)
@@ -100,7 +105,8 @@ def parsed(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """The fingerprint of each text: up to KEPT sorted names per sampled level."""
+    """The fingerprint of each text: sorted names per sampled level, the KEPT
+    smallest or all below BOUND, whichever are more."""
     found = [[] for _ in texts]
     filled = [i for i, t in enumerate(texts) if t]
     if filled:
@@ -115,21 +121,24 @@ def fingerprints(texts: list[str]) -> list[str]:
                 ends = np.append(first[1:], len(names))
                 for i, a, b in zip(filled, first, ends):
                     part = short[a:b]
-                    if len(part) > 4 * KEPT:
-                        # the names below a bound hold the KEPT smallest almost surely
-                        few = part[part <= np.uint32(min(2**32 - 1, 8 * KEPT * (2**32 // len(part))))]
-                        distinct = np.unique(few)
-                        part = distinct if len(distinct) >= KEPT else part
-                    found[i].append(np.unique(part)[:KEPT])
+                    few = np.unique(part[part < BOUND])
+                    found[i].append(few if len(few) >= KEPT else np.unique(part)[:KEPT])
     return ["-".join(x.astype(">u4").tobytes().hex() for x in levels) for levels in found]
 
 
+def sampled(level: str) -> tuple[set[int], int]:
+    """The names of one level of a fingerprint, and below which value they are all
+    that the text has."""
+    names = np.frombuffer(bytes.fromhex(level), dtype=">u4").tolist()
+    return set(names), 2**32 if len(names) < KEPT else max(BOUND, names[-1] + 1)
+
+
 def likeness(a: str, b: str) -> float:
     """Estimated share of common phrases, 0 to 1, the mean over the levels.
 
-    Of the smallest names of both together, as many as one fingerprint keeps,
-    the share that both have. Two empty texts are alike, an empty one and
-    another are not.
+    Of the names that both samples would hold, those below the lesser of their
+    limits, the share that both texts have. Two empty texts are alike, an empty
+    one and another are not.
     """
     if a == b:
         return 1.0
@@ -137,11 +146,10 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     shares = []
     for x, y in zip(a.split("-"), b.split("-")):
-        x = {x[i : i + DIGITS] for i in range(0, len(x), DIGITS)}
-        y = {y[i : i + DIGITS] for i in range(0, len(y), DIGITS)}
-        smallest = sorted(x | y)[:KEPT]
-        both = x & y
-        shares.append(sum(s in both for s in smallest) / len(smallest))
+        (x, upto_x), (y, upto_y) = sampled(x), sampled(y)
+        upto = min(upto_x, upto_y)
+        either = {name for name in x | y if name < upto}
+        shares.append(len(x & y & either) / len(either) if either else 0.0)
     return sum(shares) / len(shares)
 
 

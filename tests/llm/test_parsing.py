@@ -88,3 +88,35 @@ def test_likeness_follows_shared_text():
     assert parsing.likeness(x, x) == 1 and parsing.likeness(x, y) < 0.05
     assert 0.2 < parsing.likeness(x, z) < 0.5  # a third of the phrases of both
     assert parsing.likeness("", "") == 1 and parsing.likeness("", x) == 0
+
+
+def true_share(a, b):
+    """Share of common phrases over all of them, the mean over the levels."""
+    shares = []
+    for level in parsing.SAMPLED:
+        x, y = (set(phrases(t, level).tolist()) for t in (a, b))
+        shares.append(len(x & y) / len(x | y))
+    return sum(shares) / len(shares)
+
+
+@pytest.mark.parametrize("words, most", [(300, 0.2), (3000, 0.08), (20_000, 0.03)])
+def test_error_of_the_estimate_falls_with_the_length(words, most):
+    r = random.Random(words)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(5000)]
+    errors = []
+    for share in (0.2, 0.5, 0.75, 0.9):
+        a = " ".join(r.choices(vocabulary, k=words))
+        b = a[: int(len(a) * share)] + " ".join(r.choices(vocabulary, k=int(words * (1 - share))))
+        errors.append(parsing.likeness(*parsing.fingerprints([a, b])) - true_share(a, b))
+    assert max(map(abs, errors)) < most
+
+
+def test_a_passage_shared_by_long_texts_shows():
+    """A passage of 1,000 words among 20,000 others each."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(n))
+    passage = text(1000)
+    a, b = (f"{text(10_000)} {passage} {text(10_000)}" for _ in range(2))
+    shared = parsing.likeness(*parsing.fingerprints([a, b]))
+    apart = parsing.likeness(*parsing.fingerprints([text(20_000), text(20_000)]))
+    assert shared > apart + 0.005

@@ -218,7 +218,9 @@ def dedupe(docs: DataFrame) -> DataFrame:
     alike = prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n"))
     groups = near_groups(prints).withColumnRenamed("fp", "group_fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "n")).alias("k")
-    kept = cut(alike.join(groups, F.col("fp") == F.col("group_fp")).groupBy("root").agg(first).select("k"))
+    # One row a fingerprint before the join, so the copies of a hot one do not meet there.
+    of_print = alike.groupBy("fp").agg(first).join(groups, F.col("fp") == F.col("group_fp"))
+    kept = cut(of_print.groupBy("root").agg(F.min("k").alias("k")).select("k"))
     rows = docs.select(F.struct("*").alias("doc"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("doc.text") == F.col("k.h"))
     taken = rows.join(kept, same)

@@ -310,7 +310,8 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel) -> WordWeigh
     per_doc = train.select("toxic", F.explode(features).alias("feature")).where("feature IS NOT NULL")
     by_label = [F.count_if(F.col("toxic") == label).alias(name) for label, name in ((1, "bad"), (0, "good"))]
     held = per_doc.groupBy("feature").agg(*by_label)
-    # Only what toxic documents hold often enough can weigh.
+    # Every feature that is there as often could have told by chance, so all count below.
+    looked_at = held.where(F.col("bad") + F.col("good") >= SUPPORT).count()
     table = held.where(F.col("bad") >= SUPPORT).toPandas()
     a, c = table["bad"].to_numpy(float), table["good"].to_numpy(float)
     weight = np.log((a + 0.1) / (bad + 0.2)) - np.log((c + 0.1) / (good + 0.2))
@@ -319,7 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel) -> WordWeigh
         a * np.log(np.maximum(a, 1e-9) / (bad * everywhere))
         + c * np.log(np.maximum(c, 1e-9) / (good * everywhere))
     )
-    telling = (gain > 2 * math.log(len(table) + 1) + 4) & (weight > TELLING)
+    telling = (gain > 2 * math.log(looked_at + 1) + 4) & (weight > TELLING)
     weights = dict(zip(table["feature"][telling], weight[telling]))
     model = WordWeights(weights, 1.0, 0.0)
 

@@ -26,6 +26,8 @@ SMOOTHING, ROUNDS = 0.2, 10
 OVERLAP = 3
 #: Languages whose counts a task holds before it hands them on.
 HELD_LANGUAGES = 64
+#: Languages that are learned at most.
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -123,8 +125,12 @@ class _Fit:
 
 def learn(docs: DataFrame, train: Column) -> Model:
     """The model of the non-null languages of all rows of ``docs`` (text, lang)
-    that ``train`` names. What is gathered has a row per language and trigram
-    bucket, whatever the size of the corpus."""
+    that ``train`` names; of more than MOST_LANGUAGES, those with the most rows, as
+    a column full of other values must not become a model of each. What is gathered
+    has a row per language and trigram bucket, whatever the size of the corpus."""
+    known = docs.where(train & F.col("lang").isNotNull())
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    names = [r["lang"] for r in common.collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -151,7 +157,7 @@ def learn(docs: DataFrame, train: Column) -> Model:
         yield from flush()
 
     rows = (
-        docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+        known.where(F.col("lang").isin(names) & F.col("text").isNotNull())
         .select("lang", "text")
         .mapInArrow(count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
@@ -184,7 +190,10 @@ def identify(docs: DataFrame) -> DataFrame:
     Learned from rows with a language whose crc32(doc_id) mod 3 is not 1. A text
     that is null or without a letter is ``und`` with score 0, and so is every
     text where no language could be learned. A null doc_id counts as empty text
-    in the checksum. score is the share of the predicted language.
+    in the checksum. score is the share of the predicted language. Texts of any
+    length are read whole, repeated rows are learned from as often as they are
+    there and predicted alike, empty tables give no rows, and other columns are
+    not read.
     """
     fold = remainder(F.col("doc_id"), FOLDS)
     model = learn(docs, fold != HELD_OUT)
@@ -194,7 +203,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that have a language with a share of ``least`` or more."""
+    """The rows of ``docs`` that have a language with a share of ``least`` or more,
+    as often as they are there and with all columns as they were. Rows without id
+    are rows like any other, null texts and those without a letter go, and so do
+    all rows where no language could be learned; an empty table stays empty."""
     model = learn(docs, remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     found = docs.select(F.struct("*").alias("doc"), inferred(model)("text").alias("r"))
     return found.where((F.col("r.lang_pred") != UNKNOWN) & (F.col("r.score") >= least)).select("doc.*")

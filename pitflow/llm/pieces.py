@@ -330,7 +330,10 @@ def round_tripped(path: str = MODEL, seed: int = SEED, sharpness: float = SHARPN
 def round_trip(docs: DataFrame, path: str = MODEL, seed: int = SEED) -> DataFrame:
     """doc_id, pieces, n_pieces, decoded_sha256, lossless of every row of
     ``docs`` (doc_id, text): the sampled pieces, and whether decoding them gives
-    the text back. Null texts have null pieces and count as lossless."""
+    the text back. Null texts have null pieces and count as lossless. Empty texts
+    have no pieces. Repeated rows draw the same pieces, as the key of a row is its
+    id; rows without id share one key. Texts of any length are read whole. Empty
+    tables give no rows; other columns are not read."""
     rows = docs.select("doc_id", round_tripped(path, seed)("doc_id", "text").alias("r"))
     many = F.when(F.col("r.pieces").isNull(), 0).otherwise(F.size("r.pieces")).alias("n_pieces")
     return rows.select("doc_id", "r.pieces", many, "r.decoded_sha256", "r.lossless")

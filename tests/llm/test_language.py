@@ -69,3 +69,11 @@ def test_rejection_keeps_columns_and_clean_rows(spark, make_docs, odd_rows):
     kept = language.identified(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {1, 2, 6, 8, None}
+
+
+def test_a_column_of_other_values_is_not_learned_whole(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, "the cat and the dog are here", "en") for i in range(40)]
+    rows += [(100 + i, "der hund und die katze sind hier", "de") for i in range(30)]
+    rows += [(200 + i, f"words of {i}", f"junk {i}") for i in range(50)]
+    assert {r.lang_pred for r in language.identify(make_docs(rows)).collect()} == {"en", "de"}

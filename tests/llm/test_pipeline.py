@@ -42,3 +42,24 @@ def test_stages_one_by_one(spark):
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.where("NOT lossless").count() == 0 and rows.count() > 100
+
+
+def test_stages_over_odd_rows_and_none(spark, make_docs, odd_rows):
+    rows = odd_rows + [(50 + i, f"ordinary words of a text, number {i}", "en", "a") for i in range(30)]
+    docs, labels = make_docs(rows), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, make_docs([])):
+            result = stage(spark, table, SF)
+            if name != "sentencepiece":
+                assert result.columns == docs.columns, name
+            held = {repr(r) for r in table.collect()}
+            found = result.collect()
+            assert table is docs or not found, name
+            if name in ("language_id", "toxicity", "simhash_near_dedup", "mixing"):
+                assert {repr(r) for r in found} <= held, name
+            else:
+                assert len(found) == table.count() and all(r.lossless for r in found)
+    kept = stages.language_id(spark, docs, SF).collect()
+    # all but the two null texts, the empty one and that of white space
+    assert len(kept) == len(rows) - 4
+    assert len(stages.toxic_removed(spark, docs, SF).collect()) >= len(rows) - 2

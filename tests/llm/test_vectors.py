@@ -94,3 +94,11 @@ def test_bounds_never_lose_a_pair():
         got = {(i, j) for a, b in vectors.linked_pairs(x, x, turn, cosine, True) for i, j in zip(a.tolist(), b.tolist())}
         i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
         assert got == set(zip(i.tolist(), j.tolist()))
+
+
+def test_clashing_columns(spark):
+    names = "component links n l e rep copies x d tile i j side lead step many before root node".split()
+    rows = [(1, [1.0, 0.0], 3), (2, [1.0, 0.0], 3), (3, [0.99, 0.1], 3), (4, [0.0, 1.0], 3), (5, None, 3), (6, [1.0, 0.0], None)]
+    table = spark.createDataFrame([(*r, *names) for r in rows], ["vec_id", "embedding", "label", *names])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(table).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True)}

@@ -268,6 +268,30 @@ def signal_frame(interval: str, label: str, ticker: str = "event_type") -> Query
     return run
 
 
+def stored_series(inputs: Inputs) -> research.StoredSeries:
+    """1h bars and buckets of users in a cell table: some first with wrong values, then
+    all of them, the wrong ones put right."""
+    path = shared_folder(inputs.spark, "series")
+    series = research.StoredSeries.at(path.rsplit("/", 1)[1].replace("-", "_"), path, "24h", groups=8)
+    rows = (
+        (series.add_bars, inputs.bars("1h", "user_id"), "close"),
+        (series.add_buckets, sentiment.aggregate_sentiment(inputs.posts("user_id")), "avg_sentiment"),
+    )
+    for add, frame, value in rows:
+        wrong = frame.filter(F.hour("timestamp") % 3 == 0).withColumn(value, F.col(value) * 2 + 1)
+        add(wrong, 0)
+        add(frame, 1)
+    return series
+
+
+def asof_stored(spark, sf_dir):
+    return rounded(stored_series(Inputs(spark, sf_dir)).asof_align(spark))
+
+
+def signal_frame_stored(spark, sf_dir):
+    return rounded(stored_series(Inputs(spark, sf_dir)).signal_frame(spark, "4h"))
+
+
 def latest_signal(spark, sf_dir):
     frame = Inputs(spark, sf_dir)
     return rounded(al.latest_signal(research.signal_frame(frame.posts(), frame.bars("1h"))))
@@ -649,6 +673,8 @@ def queries() -> dict[str, Query]:
         "signal_frame_15m": signal_frame("15m", "15m"),
         "signal_frame_24h": signal_frame("1d", "24h"),
         "signal_frame_users": signal_frame("1h", "4h", "user_id"),
+        "asof_stored": asof_stored,
+        "signal_frame_stored": signal_frame_stored,
         "latest_signal": latest_signal,
         "chart_series": chart_series,
         "equity_curve": equity_curve,

@@ -340,6 +340,8 @@ SELECT ticker, timestamp, round(avg_sentiment, 6) AS avg_sentiment,
         "signal_frame_15m": _frame_query("15m", "15m"),
         "signal_frame_24h": _frame_query("1d", "24h"),
         "signal_frame_users": _frame_query("1h", "4h", "user_id"),
+        "asof_stored": _aligned_query("1h", "user_id"),
+        "signal_frame_stored": _frame_query("1h", "4h", "user_id"),
         "latest_signal": f"""{_frame_query("1h", "1h")}
 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY timestamp DESC) = 1""",
         "chart_series": f"""WITH {hourly}

@@ -1,5 +1,7 @@
 """Strict backward as-of join of bars onto sentiment buckets."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from pitflow.functions.cells import (
     CELL,
     DEFAULT_CELL,
     US,
+    before_cell,
     cell_start,
     in_cell,
     is_home,
@@ -16,10 +19,15 @@ from pitflow.functions.cells import (
 )
 from pitflow.functions.durations import duration_us
 from pitflow.operators.sentiment import aggregate_sentiment
-from pitflow.schemas import BUCKET_COLUMNS, BUCKET_WINDOW
+from pitflow.schemas import (
+    BARS_FIRST,
+    BUCKET_COLUMNS,
+    BUCKET_STRUCT,
+    BUCKET_WINDOW,
+    BUCKETS_SECOND,
+    SIDE,
+)
 
-_BUCKET = "_bucket"
-_BARS_FIRST, _BUCKETS_SECOND = 0, 1
 
 
 def align_in_cells(
@@ -38,34 +46,38 @@ def align_in_cells(
     """
     width = duration_us(cell)
     present = [c for c in BUCKET_COLUMNS if c in buckets.columns]
-    packed = placed(buckets).select("ticker", "timestamp", F.struct(*present).alias(_BUCKET))
-    packed_type = packed.schema[_BUCKET].dataType
+    packed = placed(buckets).select("ticker", "timestamp", F.struct(*present).alias(BUCKET_STRUCT))
+    packed_type = packed.schema[BUCKET_STRUCT].dataType
 
     bar_rows = (
         with_cells(bars, cell, overlap_us)
-        .withColumn("_side", F.lit(_BARS_FIRST))
-        .withColumn(_BUCKET, F.lit(None).cast(packed_type))
+        .withColumn(SIDE, F.lit(BARS_FIRST))
+        .withColumn(BUCKET_STRUCT, F.lit(None).cast(packed_type))
     )
-    bucket_rows = with_cells(packed, cell, overlap_us).withColumn("_side", F.lit(_BUCKETS_SECOND))
+    bucket_rows = with_cells(packed, cell, overlap_us).withColumn(SIDE, F.lit(BUCKETS_SECOND))
     carried_rows = _carried_buckets(bars, packed, cell, width, overlap_us).withColumn(
-        "_side", F.lit(_BUCKETS_SECOND)
+        SIDE, F.lit(BUCKETS_SECOND)
     )
 
-    so_far = in_cell("_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = in_cell(SIDE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matched = (
         bar_rows.unionByName(bucket_rows, allowMissingColumns=True)
         .unionByName(carried_rows, allowMissingColumns=True)
-        .withColumn(_BUCKET, F.last(_BUCKET, ignorenulls=True).over(so_far))
-        .filter(F.col("_side") == _BARS_FIRST)
+        .withColumn(BUCKET_STRUCT, F.last(BUCKET_STRUCT, ignorenulls=True).over(so_far))
+        .filter(F.col(SIDE) == BARS_FIRST)
     )
+    return _unpacked(matched, present).drop(SIDE)
+
+
+def _unpacked(matched: DataFrame, present: Sequence[str]) -> DataFrame:
     for name in present:
-        value = F.col(f"{_BUCKET}.{name}")
+        value = F.col(f"{BUCKET_STRUCT}.{name}")
         if name == "avg_sentiment":
             value = F.coalesce(value, F.lit(0.0))
         elif name == "post_count":
             value = F.coalesce(value, F.lit(0).cast("long"))
         matched = matched.withColumn(name, value)
-    return matched.drop("_side", _BUCKET)
+    return matched.drop(BUCKET_STRUCT)
 
 
 def _carried_buckets(
@@ -83,7 +95,7 @@ def _carried_buckets(
         packed.withColumn(US, us)
         .withColumn(CELL, cell_start(F.col(US) + F.lit(overlap_us), width) + F.lit(width))
         .groupBy("ticker", CELL)
-        .agg(F.max_by(F.struct(US, _BUCKET), F.col(US)).alias("_newest"))
+        .agg(F.max_by(F.struct(US, BUCKET_STRUCT), F.col(US)).alias("_newest"))
         .withColumn("_kind", F.lit(0))
     )
     earlier = (
@@ -95,8 +107,40 @@ def _carried_buckets(
         bar_cells.unionByName(newest, allowMissingColumns=True)
         .withColumn("_newest", F.last("_newest", ignorenulls=True).over(earlier))
         .filter(F.expr(f"_kind = 1 and _newest is not null and {CELL} is not null"))
-        .select("ticker", CELL, f"_newest.{US}", f"_newest.{_BUCKET}")
+        .select("ticker", CELL, f"_newest.{US}", f"_newest.{BUCKET_STRUCT}")
+    )
+
+
+def align_stored(rows: DataFrame, cell: str = DEFAULT_CELL, overlap_us: int = 0) -> DataFrame:
+    """``align_in_cells`` of bars and buckets that one table holds (``SERIES_ROW``), in
+    cells and with their overlap copies. Where that table is stored by (ticker, cell)
+    neither is shuffled: buckets of earlier cells come in by a join with one row per
+    (ticker, cell).
+
+    A bucket without a copy in a cell is older than every row of that cell, so
+    it is what bars get that found none inside."""
+    is_bar = F.col(SIDE) == BARS_FIRST
+    last_copy = F.col(CELL) == cell_start(F.col(US) + F.lit(overlap_us), duration_us(cell))
+    leaves = (F.col(SIDE) == BUCKETS_SECOND) & last_copy
+    carried = (
+        rows.groupBy("ticker", CELL)
+        .agg(
+            F.max_by(F.when(leaves, F.col(BUCKET_STRUCT)), F.when(leaves, F.col(US))).alias("_newest"),
+            F.bool_or(is_bar).alias("_has_bars"),
+        )
+        .withColumn("_newest", F.last("_newest", ignorenulls=True).over(before_cell()))
+        .filter("_has_bars and _newest is not null")
+        .select("ticker", CELL, "_newest")
+    )
+    so_far = in_cell(SIDE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matched = (
+        rows.withColumn(BUCKET_STRUCT, F.last(BUCKET_STRUCT, ignorenulls=True).over(so_far))
+        .filter(is_bar)
+        .join(carried, ["ticker", CELL], "left")
+        .withColumn(BUCKET_STRUCT, F.coalesce(BUCKET_STRUCT, "_newest"))
+        .drop(SIDE, "_newest")
     )
+    return _unpacked(matched, BUCKET_COLUMNS)
 
 
 def asof_align(bars: DataFrame, buckets: DataFrame, cell: str = DEFAULT_CELL) -> DataFrame:

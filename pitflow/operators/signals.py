@@ -182,6 +182,18 @@ def signal_frame_in_cells(
 ) -> DataFrame:
     """As-of join, rolling means and signals over a single shuffle of the bars."""
     aligned = align_in_cells(bars, buckets, cell, widest_us(windows))
+    return signals_of_aligned(aligned, label, windows, entry_threshold, exit_threshold)
+
+
+def signals_of_aligned(
+    aligned: DataFrame,
+    label: str = SIGNAL_WINDOW,
+    windows: Sequence[str] = ROLLING_WINDOWS,
+    entry_threshold: float = ENTRY_THRESHOLD,
+    exit_threshold: float = EXIT_THRESHOLD,
+) -> DataFrame:
+    """Rolling means and signals of aligned rows in cells, with overlap copies for
+    the widest window."""
     rolled = home_rows(roll_in_cells(aligned, windows))
     last = last_values_of_aligned(aligned, label)
     return signals_in_cells(rolled, label, entry_threshold, exit_threshold, last)

@@ -82,6 +82,16 @@ BUCKET = T.StructType(
 
 BUCKET_COLUMNS = ("avg_sentiment", "post_count", "avg_positive", "avg_negative")
 
+#: Bars sort before buckets of the same instant.
+SIDE = "_side"
+BARS_FIRST, BUCKETS_SECOND = 0, 1
+BUCKET_STRUCT = "_bucket"
+#: Bars and buckets in one table; each row is one of both, the rest is null.
+SERIES_ROW = T.StructType(
+    [*BAR.fields, T.StructField(SIDE, T.IntegerType())]
+    + [T.StructField(BUCKET_STRUCT, T.StructType([f for f in BUCKET.fields if f.name in BUCKET_COLUMNS]))]
+)
+
 SUBSCRIPTION = T.StructType(
     [
         T.StructField("chat_id", T.LongType()),

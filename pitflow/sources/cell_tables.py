@@ -11,7 +11,7 @@ apart by a column of the key: Spark forgets the partitioning of two bucketed tab
 at their union as soon as anything stands between scan and union.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +74,19 @@ class CellTable:
         self.attach(spark)
         grouped.write.insertInto(self.name)
 
+    def _newest(self, spark: SparkSession) -> DataFrame:
+        self.attach(spark)
+        keys = ["ticker", CELL, US, *self.also]
+        return latest_per_key(spark.table(self.name), keys, [F.col(VERSION).desc()])
+
     def rows(self, spark: SparkSession) -> DataFrame:
         """What counts now, in cells, overlap copies included, hashed by (ticker, cell)."""
-        self.attach(spark)
-        newest = latest_per_key(spark.table(self.name), ["ticker", CELL, US, *self.also], [F.col(VERSION).desc()])
-        return newest.drop(VERSION)
+        return self._newest(spark).drop(VERSION)
+
+    def fold(self, spark: SparkSession, name: str, path: str) -> "CellTable":
+        """A new table of what counts now, one file a group. Versions stay, so later ones
+        may follow in the new table. Rows are in their groups already and are not shuffled.
+        The old folder is the caller's to delete, when no reader needs it any more."""
+        folded = replace(self, name=name, path=path).attach(spark)
+        self._newest(spark).select(*self.stored.names).write.insertInto(name, overwrite=True)
+        return folded

@@ -4,11 +4,14 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitflow.functions.shared import shared_folder
 from pitflow.operators.asof import asof_align
 from pitflow.operators.signals import build_signal_frame
 from pitflow.plans.research import StoredSeries
+from pitflow.schemas import SIDE
+from pitflow.sources.cell_tables import VERSION
 from tests.helpers import bars, buckets, plus
 
 
@@ -86,6 +89,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
 
 
+def test_a_folded_table_holds_what_counts_in_one_file_a_group(spark):
+    prices, means = sample(spark)
+    stored = series(spark)
+    for version in range(3):
+        stored.add_bars(prices.withColumn("close", F.col("close") + (2 - version)), version)
+    stored.add_buckets(means.filter("ticker = 'A'"), 0)
+    path = shared_folder(spark, "folded")
+    for _ in range(2):  # a fold that runs again replaces what it wrote
+        folded = StoredSeries(stored.table.fold(spark, stored.table.name + "_folded", path))
+    raw = spark.read.parquet(path)
+    assert raw.filter(F.col(SIDE) == 0).select(VERSION).distinct().collect() == [(2,)]
+    assert 0 < len(raw.inputFiles()) <= 4 < len(spark.read.parquet(stored.table.path).inputFiles())
+    same(folded.asof_align(spark), asof_align(prices, means.filter("ticker = 'A'")))
+    folded.add_buckets(means, 3)
+    same(folded.asof_align(spark), asof_align(prices, means))
+
+
 @pytest.mark.parametrize("broadcast", ["10m", "-1"])
 def test_neither_bars_nor_buckets_are_shuffled(spark, broadcast):
     """The only exchanges are those of carry rows, one per (ticker, cell): they stand

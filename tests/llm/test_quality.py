@@ -79,3 +79,60 @@ def test_features_of_a_text():
     assert found["different_lines"] == 1.0 and found["upper_case"] == np.sqrt(1 / 10)
     assert found["digits"] == np.sqrt(2 / len(text)) and found["bars"] == np.sqrt(1 / len(text))
     assert found["words_without_letters"] == np.sqrt(2 / 10)
+
+
+def labelled(n, seed=5):
+    r = np.random.default_rng(seed)
+    good = r.random(n) < 0.7
+    x = r.standard_normal((n, len(quality.FEATURES))) + good[:, None] * r.random(len(quality.FEATURES))
+    return x, good
+
+
+def test_all_pairs_teach():
+    """Every pair of a good and a bad row listed, against what ``ranked`` makes of them."""
+    x, good = labelled(300)
+    one, other = quality.ranked(x, good), quality.ranked(x, good, 7)
+    z = (x - one.mean) / one.spread
+    pairs = (z[good][:, None] - z[~good][None]).reshape(-1, len(quality.FEATURES))
+    assert np.abs(one.weights - quality._maximised(pairs)).max() < 1e-6
+    assert np.abs(one.score(x) - other.score(x)).max() < 1e-9
+
+
+def test_sums_over_pairs_of_grid_points():
+    x, good = labelled(200)
+    w = np.random.default_rng(6).standard_normal(x.shape[1]) * 2
+    value, gradient, curvature = quality._of_all_pairs(
+        lambda width, part: quality._added([part(x, good)]), lambda x: x, x.shape[1]
+    )(w)
+    pairs = (x[good][:, None] - x[~good][None]).reshape(-1, x.shape[1])
+    lost = 1 / (1 + np.exp(pairs @ w))
+    assert abs(value + np.logaddexp(0, -pairs @ w).mean()) < 1e-9
+    assert np.abs(gradient - (pairs * lost[:, None]).mean(axis=0)).max() < 1e-9
+    exact = (pairs * (lost * (1 - lost))[:, None]).T @ pairs / len(pairs)
+    assert np.abs(curvature() - exact).max() < 0.01 * np.abs(exact).max()
+
+
+def test_strengths_at_ranks():
+    r = np.random.default_rng(8)
+    s = np.concatenate([r.standard_normal(500), np.repeat([-1.5, -0.0, 0.0, 2.5, 1e-300, -1e9], 20), -r.random(50) * 1e-9])
+    ranks = [0, 1, 50, 51, 300, 400, len(s) - 2, len(s) - 1]
+    x = s[:, None]
+    found = quality._at_ranks(lambda width, part: quality._added([part(x, None)]), lambda x: x[:, 0], ranks)
+    assert (found == np.sort(s)[ranks]).all()
+
+
+def test_every_labelled_row_teaches(spark):
+    """More rows than were once learned from at most, in tasks of their own."""
+    n = 27_000
+    docs = spark.range(n, numPartitions=3).selectExpr(
+        "id AS doc_id", "concat_ws(' ', repeat('word ', int(id % 23)), id, if(id % 7 < 3, '!', 'end.')) AS text"
+    )
+    labels = docs.selectExpr("doc_id", "int(doc_id % 7 > 1 OR doc_id % 23 = 5) AS quality")
+    ranking = quality.learn(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert len(rows) > 20_000
+    x, good = np.array([quality.measured(r.text) for r in rows]), np.array([r.quality == 1 for r in rows])
+    assert np.abs(ranking.mean - x.mean(axis=0)).max() < 1e-9
+    assert np.abs(ranking.spread[x.std(axis=0) > 1e-9] - x.std(axis=0)[x.std(axis=0) > 1e-9]).max() < 1e-9
+    assert ranking.threshold == np.sort(ranking.strength(x))[[(~good).sum() - 1, (~good).sum()]].mean()
+    assert np.abs(ranking.score(x) - quality.ranked(x, good).score(x)).max() < 1e-6

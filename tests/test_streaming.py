@@ -1,6 +1,7 @@
 """The streams against their batch twins, on files arriving one at a time."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,35 @@ def test_stream_queries_take_rows_of_any_time(spark, tmp_path):
     got = queries["dedupe_stream"](spark, str(tmp_path)).select("id").collect()
     dated = posts.filter("timestamp is not null").select("id").collect()
     assert {r.id for r in dated} <= {r.id for r in got} and len(got) <= posts.count()
+
+
+@pytest.mark.parametrize("layout", ["file", "folder", "partitioned"])
+def test_stream_queries_read_a_table_of_any_layout(spark, tmp_path, layout):
+    """One file, a folder of files, and a folder with a column in its folders' names."""
+
+    def store(frame, name, column):
+        target = tmp_path / f"{name}.parquet"
+        if layout == "partitioned":
+            frame.write.partitionBy(column).parquet(str(target))
+        elif layout == "folder":
+            frame.repartition(3).write.parquet(str(target))
+        else:
+            frame.coalesce(1).write.parquet(str(tmp_path / "parts" / name))
+            shutil.copy(next((tmp_path / "parts" / name).glob("part-*")), target)
+
+    texts = [(i, "the cat" if i % 2 else "and dog", "en" if i % 3 else "de", "web", 7) for i in range(1, 104)]
+    store(spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long"), "documents", "lang")
+    times = [(i, plus("10:00", 10 * i).replace(tzinfo=None), i % 4, "click", 1.0, json.dumps({"k": i})) for i in range(40)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    store(spark.createDataFrame(times, schema), "events", "event_type")
+
+    posts = entry.queries()["ingest_stream"](spark, str(tmp_path)).collect()
+    assert sorted(int(r.id) for r in posts) == [i for i, *_ in texts if i % 50]
+    assert all(r.ticker == ("en" if int(r.id) % 3 else "de") for r in posts)
+    assert all((r.sentiment_score > 0) == bool(int(r.id) % 2) for r in posts)
+
+    batch = aggregate_sentiment(entry.Inputs(spark, str(tmp_path)).posts())
+    final = batch.filter(F.col("timestamp") <= F.lit(plus("10:00", 390)) - F.expr("interval 1 hour"))
+    got = entry.queries()["bucket_stream"](spark, str(tmp_path))
+    columns = ("ticker", "timestamp", "post_count")
+    assert ordered(got, *columns) == ordered(final, *columns) != []

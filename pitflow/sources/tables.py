@@ -49,24 +49,27 @@ def write_batch(
     observation: Observation | None = None,
     key: Sequence[str] | None = None,
     partitions: Sequence[str] = PARTITIONS,
+    gather: bool = True,
+    codec: str | None = None,
 ) -> None:
     """Writes or replaces one batch. An empty one is written too: it clears
     what an earlier attempt left. With ``key``, of several rows with one key
     only the later and then the greater one is written.
 
     The rebalance hint gathers the rows of a date and ticker into few files and
-    still splits a date and ticker that is too big for one task. Pass an
-    ``Observation`` to get the row count out of the same job."""
+    still splits a date and ticker that is too big for one task; ``gather`` is false
+    for rows that are gathered already. Pass an ``Observation`` to get the row count
+    out of the same job. ``codec`` is one of Parquet's, the session's by default."""
     df = with_date(df)
     if key is not None:
         df = latest_per_key(df, list(key), _by_content(df, *key))
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows"))
     (
-        df.hint("rebalance", *partitions)
+        (df.hint("rebalance", *partitions) if gather else df)
         .write.mode("overwrite")
         .partitionBy(*partitions)
-        .parquet(batch_path(root, batch_id, feed))
+        .parquet(batch_path(root, batch_id, feed), compression=codec)
     )
 
 
@@ -121,6 +124,14 @@ def read_batches(
     return batches
 
 
+def read_batch(
+    spark: SparkSession, root: str, row: T.StructType, batch_id: int = 0, feed: str = DEFAULT_FEED
+) -> DataFrame:
+    """The rows of one batch, a task's rows from as few dates and tickers as its files."""
+    fields = [f for f in table_schema(row).fields if f.name not in ("feed", "batch_id")]
+    return read_path(spark, batch_path(root, batch_id, feed), T.StructType(fields)).select(*row.names)
+
+
 PROGRESS = T.StructType([T.StructField("finished_at", T.TimestampType())])
 BATCH_FIELDS = [T.StructField("feed", T.StringType()), T.StructField("batch_id", T.LongType())]
 

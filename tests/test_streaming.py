@@ -98,6 +98,43 @@ def test_readers_see_finished_batches_only(spark, tables):
     assert seen() == 3
 
 
+def test_posts_scored_in_place(spark, tables):
+    """The same tables as otherwise; a date and ticker too big for a task is split, and
+    tickers may look like a number or a path."""
+    known, folder = "spark.sql.adaptive.advisoryPartitionSizeInBytes", shared_folder(spark, "bus")
+    words = F.concat_ws(" ", F.lit("the"), *(F.sha2(F.concat_ws("-", "id", F.lit(n)), 512) for n in range(20)))
+    ticker = F.element_at(F.array(*map(F.lit, ("007", "a/b=c%", "1e5"))), F.greatest(F.lit(1), F.col("id") - 1998).cast("int"))
+    fields = {"id": F.col("id").cast("string"), "ticker": ticker, "timestamp": F.lit("2024-01-02T10:00:00Z"), "source": F.lit("web"), "text": words}
+    posts = spark.range(2002).select(*(c.alias(n) for n, c in fields.items()))
+    values = posts.select(F.to_json(F.struct("*")).alias("value"))
+    bad = spark.createDataFrame([("{bad",), (value("late").replace("10:00", "never"),)], "value string")
+    values.unionByName(values.limit(7)).unionByName(bad).write.parquet(folder)
+    records, told = spark.read.parquet(folder), []
+    before = spark.conf.get(known)
+    spark.conf.set(known, "256k")
+    try:
+        for batch_id, in_place in enumerate((False, True, True)):
+            ingest_batch(records, batch_id, tables, lexicon, report=lambda _, rows: told.append(rows), in_place=in_place)
+        ingest_batch(records, 1, tables, lexicon, in_place=True)  # again
+        ingest_batch(records.limit(0), 2, tables, lexicon, in_place=True)  # nothing is left of it
+    finally:
+        spark.conf.set(known, before)
+    count = values.count()
+    assert told == [{"rejected": 2, "raw": count, "scored": count}] * 3
+    for root, row in ((tables.raw, RAW_POST), (tables.scored, SCORED_POST)):
+        found = read_batches(spark, root, row)
+        spread, placed = (found.filter(F.col("batch_id") == n).select(*row.names) for n in (0, 1))
+        assert sorted(map(str, spread.collect())) == sorted(map(str, placed.collect()))
+        assert placed.count() == placed.select("id").distinct().count() == count
+        assert found.filter("batch_id = 2").count() == 0
+        assert {r.ticker for r in placed.select("ticker").distinct().collect()} == {"007", "a/b=c%", "1e5"}
+    raw = read_batches(spark, tables.raw, RAW_POST).filter("batch_id = 1 and ticker = '007'")
+    assert raw.select(F.input_file_name()).distinct().count() > 1
+    rejects = read_batches(spark, tables.rejected, REJECTED_POST).filter("batch_id < 2")
+    assert sorted(r.reason for r in rejects.collect()) == ["bad timestamp", "bad timestamp", "malformed", "malformed"]
+    assert all(r.value for r in rejects.collect())
+
+
 def post_files(spark, groups):
     path = shared_folder(spark, "scored")
     for group in groups:
